@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from recollex.llm.components import hash_to_min
 from recollex.llm.sets import between_ids, class_sets, flat_sets, memberships, similar, words
 from recollex.sources.shared import Scratch
 
@@ -75,8 +76,8 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     return a.join(b, "key").where("a < b").select("a", "b").distinct()
 
 
-def similar_texts(records: DataFrame, scratch: Scratch, threshold: tuple[int, int] = (7, 10), recall: float = 0.99, split: Callable = words) -> tuple[DataFrame, DataFrame]:
-    """Class pairs (a, b, shared, total) at or above the threshold, and (id, class).
+def similar_texts(records: DataFrame, scratch: Scratch, threshold: tuple[int, int] = (7, 10), recall: float = 0.99, split: Callable = words) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Class pairs (a, b, shared, total) at or above the threshold, (id, class) and (class, tokens).
 
     `records` is (id, text), an id in any number of rows; a null, blank or wordless
     text forms no case.  `threshold` is a fraction; `recall` is met at the threshold
@@ -84,18 +85,33 @@ def similar_texts(records: DataFrame, scratch: Scratch, threshold: tuple[int, in
     """
     sets = class_sets(records, split, scratch)
     pairs = scratch.keep(similar(candidates(sets, threshold[0] / threshold[1], recall), sets, *threshold))
-    return pairs, memberships(records, split)
+    return pairs, scratch.keep(memberships(records, split)), sets
 
 
 def near_duplicates(records: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """(id_a, id_b) of every pair of ids with similar texts, exact copies included."""
-    return between_ids(*similar_texts(records, scratch, **options))
+    pairs, members, _ = similar_texts(records, scratch, **options)
+    return between_ids(pairs, members)
+
+
+def grouped_texts(records: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """(id, group_id, n_words) of every id with a near-duplicate: group_id is the least id
+    reached through links.  Linked are similar classes, and classes of one id."""
+    pairs, members, sets = similar_texts(records, scratch, **options)
+    shared = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
+    of_one_id = members.join(shared, "id").select("a", F.col("class").alias("b"))
+    groups = hash_to_min(pairs.select("a", "b").unionByName(of_one_id), "a", "b", scratch)
+    placed = members.join(groups, members["class"] == groups["vertex"], "left").select("id", "class", F.coalesce("group", "class").alias("group"))
+    least = placed.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("other")).where("group_id <> other").select("group", "group_id")
+    counted = sets.select("class", F.size("tokens").alias("n_words"))
+    found = placed.join(least, "group").join(counted, "class")
+    return found.groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_words").alias("n_words"))
 
 
 def duplicate_classes(records: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """(id, class, copies, links): of every id with words its class of equal word sets,
     the ids in the class, and the other classes that are similar to it."""
-    pairs, members = similar_texts(records, scratch, **options)
+    pairs, members, _ = similar_texts(records, scratch, **options)
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
     return members.join(sizes, "class").join(links, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollex.llm.components import hash_to_min
-from recollex.llm.near_duplicates import duplicate_classes, near_duplicates
+from recollex.llm.near_duplicates import duplicate_classes, grouped_texts, near_duplicates
+from recollex.llm.survivors import Bundle, Dependency, assemble, choose_suppliers
 from recollex.sources.shared import Scratch
 from recollex.sources.tables import table
 
@@ -26,6 +27,47 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
     return duplicate_classes(_texts(spark, directory), Scratch(spark))
 
 
+#: The clock of the test tables.
+NOW = "2026-01-15 00:00:00"
+TEXT = Bundle("content", ("content", "content_tokens", "dedup_key", "tags"), F.col("n_words"))
+RATING = Bundle("importance", ("importance", "self_relevance"), F.when(F.col("importance").between(0, 10), F.col("importance")))
+TIMES = Bundle("updated", ("created_at", "updated_at", "last_access_at", "access_count"), F.when(F.col("updated_at") <= F.lit(NOW).cast("timestamp_ntz"), F.unix_micros(F.col("updated_at").cast("timestamp"))))
+ORIGIN = Bundle("origin", ("session_id", "source"), F.when(F.trim("session_id") != "", 1 + F.when(F.col("source.excerpt").isNotNull(), 1.0).otherwise(0.0)))
+PLACE = Bundle("place", ("workspace",), F.when(F.trim("workspace") != "", 1 + F.when(F.col("status") == "active", 0.5).otherwise(0.0)))
+#: A session belongs to one workspace.
+ONE_PLACE = Dependency("origin", "session_id", "place", "workspace")
+
+
+def _duplicate_groups(spark: SparkSession, directory: str, scratch: Scratch) -> DataFrame:
+    """(id, group_id, n_words) of every memory in a group of near-duplicates."""
+    return grouped_texts(_texts(spark, directory), scratch)
+
+
+def _members(spark: SparkSession, directory: str, scratch: Scratch, *columns: str) -> DataFrame:
+    groups = _duplicate_groups(spark, directory, scratch).withColumnRenamed("group_id", "group")
+    rows = table(spark, directory, "memory_entries").withColumn("id", F.lower("id")).select("id", *columns)
+    return rows.join(groups, "id")
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The member of each group of near-duplicates that supplies content, importance and updated_at."""
+    members = _members(spark, directory, Scratch(spark), "importance", "updated_at")
+    chosen = choose_suppliers(members, [TEXT, RATING, TIMES])
+    return chosen.withColumnRenamed("group", "group_id")
+
+
+def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
+    """The surviving memory of each group, its bundles chosen so that its session lies in its workspace."""
+    scratch = Scratch(spark)
+    members = scratch.keep(_members(spark, directory, scratch, "importance", "updated_at", "session_id", "source", "workspace", "status"))
+    bundles = [TEXT, RATING, TIMES, ORIGIN, PLACE]
+    chosen = choose_suppliers(members, bundles, [ONE_PLACE])
+    newest = table(spark, directory, "memory_entries").withColumn("id", F.lower("id")).join(members.select("id").distinct(), "id", "left_semi")
+    payload = [f for b in bundles for f in b.fields]
+    records = newest.groupBy("id").agg(F.max_by(F.struct(*payload), F.struct("ingested_at", "updated_at")).alias("r")).select("id", "r.*")
+    return assemble(chosen, scratch.keep(records), bundles).withColumnRenamed("group", "group_id")
+
+
 def plain_id(column) -> F.Column:
     """An id without the ways it may be spelled: letter case, white space, a urn prefix, braces, quotes, dashes."""
     return F.regexp_replace(F.regexp_replace(F.lower(column), r"(?U)[\s{}()\[\]<>\"'-]+", ""), "^(urn:)?(uuid:)?", "")
@@ -43,7 +85,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
