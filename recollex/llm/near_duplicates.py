@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recollex.llm.components import hash_to_min
-from recollex.llm.sets import between_ids, class_sets, flat_sets, memberships, similar, words
+from recollex.llm.sets import between_ids, class_sets, flat_sets, linked_classes, memberships, similar, words
 from recollex.sources.shared import Scratch
 
 #: Similarity that unrelated texts of one domain hardly exceed.
@@ -112,6 +112,4 @@ def duplicate_classes(records: DataFrame, scratch: Scratch, **options) -> DataFr
     """(id, class, copies, links): of every id with words its class of equal word sets,
     the ids in the class, and the other classes that are similar to it."""
     pairs, members, _ = similar_texts(records, scratch, **options)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    return members.join(sizes, "class").join(links, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return linked_classes(pairs, members)

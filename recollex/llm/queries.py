@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recollex.llm.chosen_paths import similar_sets
 from recollex.llm.components import hash_to_min
 from recollex.llm.near_duplicates import duplicate_classes, grouped_texts, near_duplicates
+from recollex.llm.sets import between_ids, class_sets, clean_tags, linked_classes, memberships, spaced_tokens
 from recollex.llm.survivors import Bundle, Dependency, assemble, choose_suppliers
 from recollex.sources.shared import Scratch
 from recollex.sources.tables import table
@@ -68,6 +70,31 @@ def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return assemble(chosen, scratch.keep(records), bundles).withColumnRenamed("group", "group_id")
 
 
+def _overlapping(records: DataFrame, split: Callable, least: int, threshold: tuple[int, int], recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    sets = class_sets(records, split, scratch, least)
+    return scratch.keep(similar_sets(sets, scratch, threshold, recall)), scratch.keep(memberships(records, split, least))
+
+
+def _overlaps(spark: SparkSession, directory: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    rows, scratch = table(spark, directory, "memory_entries"), Scratch(spark)
+    return {
+        "content_tokens": _overlapping(rows.select(F.lower("id").alias("id"), "content_tokens"), spaced_tokens, 1, (1, 2), 0.95, scratch),
+        "tags": _overlapping(rows.select(F.lower("id").alias("id"), "tags"), clean_tags, 4, (3, 5), 0.97, scratch),
+    }
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of memories whose token sets share 0.5, or whose tag sets share 0.6, of their union."""
+    found = [between_ids(*made).select(F.lit(basis).alias("basis"), "id_a", "id_b") for basis, made in _overlaps(spark, directory).items()]
+    return found[0].unionByName(found[1])
+
+
+def p4_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Every memory with a set, its class of equal sets and the classes its class overlaps with, for both fields."""
+    found = [linked_classes(*made).select(F.lit(basis).alias("basis"), "id", "class", "copies", "links") for basis, made in _overlaps(spark, directory).items()]
+    return found[0].unionByName(found[1])
+
+
 def plain_id(column) -> F.Column:
     """An id without the ways it may be spelled: letter case, white space, a urn prefix, braces, quotes, dashes."""
     return F.regexp_replace(F.regexp_replace(F.lower(column), r"(?U)[\s{}()\[\]<>\"'-]+", ""), "^(urn:)?(uuid:)?", "")
@@ -85,7 +112,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

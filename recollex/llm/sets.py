@@ -156,3 +156,10 @@ def between_ids(pairs: DataFrame, members: DataFrame) -> DataFrame:
     within = copied.select("class", F.col("id").alias("x")).join(copied.select("class", F.col("id").alias("y")), "class").where("x < y").select("x", "y")
     found = linked.unionByName(within)
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def linked_classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class, copies, links): the ids in the class, and the other classes it is paired with."""
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    return members.join(sizes, "class").join(links, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
