@@ -11,6 +11,7 @@ from recollex.llm.components import hash_to_min
 from recollex.llm.near_duplicates import duplicate_classes, grouped_texts, near_duplicates
 from recollex.llm.sets import between_ids, class_sets, clean_tags, linked_classes, memberships, spaced_tokens
 from recollex.llm.survivors import Bundle, Dependency, assemble, choose_suppliers
+from recollex.llm.vector_forest import nearest, usable_vectors
 from recollex.sources.shared import Scratch
 from recollex.sources.tables import table
 
@@ -70,6 +71,21 @@ def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return assemble(chosen, scratch.keep(records), bundles).withColumnRenamed("group", "group_id")
 
 
+def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """Of every usable current vector the 5 memories with the most similar ones, at a cosine of 0.75 or more."""
+    rows = table(spark, directory, "memory_vectors").where("dim = 128")
+    vectors = Scratch(spark).keep(usable_vectors(rows.select(F.lower("memory_id").alias("id"), "embedding", F.col("embedded_at").alias("at")), 128))
+    near = nearest(vectors, 128, 5, 0.75)
+    ids = vectors.select("id", "key")
+    return near.join(ids, "key").join(ids.select(F.col("id").alias("neighbour_id"), F.col("key").alias("neighbour")), "neighbour").select("id", "neighbour_id", F.round("cosine", 3).alias("cosine"))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of memories with a cosine of at least 0.75, one among the 5 most similar of the other."""
+    near = p3_neighbours(spark, directory)
+    return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
 def _overlapping(records: DataFrame, split: Callable, least: int, threshold: tuple[int, int], recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     sets = class_sets(records, split, scratch, least)
     return scratch.keep(similar_sets(sets, scratch, threshold, recall)), scratch.keep(memberships(records, split, least))
@@ -112,7 +128,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
