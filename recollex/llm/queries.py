@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollex.llm.chosen_paths import similar_sets
 from recollex.llm.components import hash_to_min
+from recollex.llm.mixing import drawn, emitted, mixing_rates, plain_source, shares
 from recollex.llm.near_duplicates import duplicate_classes, grouped_texts, near_duplicates
+from recollex.llm.packing import fill_report, packed
 from recollex.llm.sets import between_ids, class_sets, clean_tags, linked_classes, memberships, spaced_tokens
 from recollex.llm.survivors import Bundle, Dependency, assemble, choose_suppliers
+from recollex.llm.tokens import with_sizes
 from recollex.llm.vector_forest import nearest, usable_vectors
 from recollex.sources.shared import Scratch
 from recollex.sources.tables import table
@@ -127,8 +130,39 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return groups.select(F.col("vertex").alias("id"), F.col("group").alias("group_id"))
 
 
+def _sized(spark: SparkSession, directory: str, scratch: Scratch, *columns) -> DataFrame:
+    return scratch.keep(with_sizes(table(spark, directory, "documents").select("doc_id", "text", *columns)))
+
+
+def p6_packed(spark: SparkSession, directory: str) -> DataFrame:
+    """Container and position of every text, or piece of a text, for each kind of container."""
+    return packed(_sized(spark, directory, Scratch(spark)), table(spark, directory, "pack_containers"))
+
+
+def p6_fill(spark: SparkSession, directory: str) -> DataFrame:
+    """Containers of each kind and how full they are."""
+    return fill_report(p6_packed(spark, directory), table(spark, directory, "pack_containers"))
+
+
+def _mixed(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark)
+    sized = _sized(spark, directory, scratch, plain_source("source").alias("source"))
+    rates = scratch.keep(mixing_rates(sized, table(spark, directory, "mix_targets")))
+    return rates, drawn(sized, rates, scratch)
+
+
+def p7_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents of each mix, one row per copy."""
+    return emitted(_mixed(spark, directory)[1])
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The share of each source in each mix, as asked for and as reached."""
+    return shares(*_mixed(spark, directory))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
