@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recollex.llm.abuse import FOUND, abuse_rates, abuse_scores
 from recollex.llm.chosen_paths import similar_sets
 from recollex.llm.components import hash_to_min
 from recollex.llm.mixing import drawn, emitted, mixing_rates, plain_source, shares
@@ -74,19 +75,28 @@ def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return assemble(chosen, scratch.keep(records), bundles).withColumnRenamed("group", "group_id")
 
 
-def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
-    """Of every usable current vector the 5 memories with the most similar ones, at a cosine of 0.75 or more."""
+def _vectors(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "memory_vectors").where("dim = 128")
-    vectors = Scratch(spark).keep(usable_vectors(rows.select(F.lower("memory_id").alias("id"), "embedding", F.col("embedded_at").alias("at")), 128))
-    near = nearest(vectors, 128, 5, 0.75)
+    return Scratch(spark).keep(usable_vectors(rows.select(F.lower("memory_id").alias("id"), "embedding", F.col("embedded_at").alias("at")), 128))
+
+
+def _named(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs of keys with the ids of both ends."""
     ids = vectors.select("id", "key")
-    return near.join(ids, "key").join(ids.select(F.col("id").alias("neighbour_id"), F.col("key").alias("neighbour")), "neighbour").select("id", "neighbour_id", F.round("cosine", 3).alias("cosine"))
+    return pairs.join(ids, "key").join(ids.select(F.col("id").alias("neighbour_id"), F.col("key").alias("neighbour")), "neighbour")
+
+
+def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """Of every usable current vector the 5 memories with the most similar ones, at a cosine of 0.75 or more."""
+    vectors = _vectors(spark, directory)
+    return _named(nearest(vectors, 128, 5, 0.75), vectors).select("id", "neighbour_id", F.round("cosine", 3).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of memories with a cosine of at least 0.75, one among the 5 most similar of the other."""
-    near = p3_neighbours(spark, directory)
-    return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+    vectors = _vectors(spark, directory)
+    either = nearest(vectors, 128, 5, 0.75).select(F.least("key", "neighbour").alias("key"), F.greatest("key", "neighbour").alias("neighbour")).distinct()
+    return _named(either, vectors).select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b"))
 
 
 def _overlapping(records: DataFrame, split: Callable, least: int, threshold: tuple[int, int], recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +171,27 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return shares(*_mixed(spark, directory))
 
 
+def _scored(spark: SparkSession, directory: str) -> DataFrame:
+    return abuse_scores(table(spark, directory, "documents"), Scratch(spark))
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with abusive, threatening, hateful or sexually explicit language."""
+    return _scored(spark, directory).where(F.col("score") >= FOUND).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, directory)
+
+
+def p8_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """The rate of such documents per source."""
+    return abuse_rates(_scored(spark, directory))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
