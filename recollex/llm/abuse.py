@@ -38,7 +38,8 @@ MEMO = 300_000
 WINDOW = 6
 
 _WORD = re.compile(r"[^\W_]+(?:['’*$@!][^\W_]+)*[*$@]*|[$@][^\W_]+")
-_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_*•·])[^\W_])(?:\1[^\W_]){1,14}(?![^\W_])")
+_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*•·])[^\W_])(?:\1[^\W_]){1,14}(?![^\W_])")
+_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[*%#@$!+-]{1,3}[^\W\d_]+){1,3}(?![^\W_])")
 _CHINESE_RUN = re.compile("[㐀-鿿]")
 _CHINESE_GAP = re.compile(r"(?<=[㐀-鿿])[ .*_\-·~]+(?=[㐀-鿿])")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -133,6 +134,11 @@ class Lexicon:
         self.chinese_pattern = re.compile("|".join(sorted(map(re.escape, self.chinese), key=len, reverse=True)))
         self.memo: dict[str, tuple[str, bool]] = {"u": ("you", False), "ur": ("your", False), "r": ("are", False)}
         self.start = dict(self.memo)
+        self.masks: dict[str, str] = {}
+        self.by_shape: dict[tuple[str, int], list[str]] = {}
+        for t in (*self.category, *sorted(self.weak)):
+            if len(t) >= 4:
+                self.by_shape.setdefault((t[0], len(t)), []).append(t)
 
     def canonical(self, word: str) -> tuple[str, bool]:
         """(the term or phrase word that a word stands for, or itself; whether a misspelling was mended)."""
@@ -175,6 +181,22 @@ class Lexicon:
                 return hit[0], True
         return word, False
 
+    def unmasked(self, word: str) -> str:
+        """A term with some letters behind signs, made whole; other words as they are."""
+        known = self.masks.get(word)
+        if known is None:
+            if len(self.masks) > MEMO:
+                self.masks = {}
+            known = word
+            for ending in ("", "s", "es"):
+                stem = word[: len(word) - len(ending)] if word.endswith(ending) else ""
+                hits = [t for t in self.by_shape.get((stem[:1], len(stem)), ()) if all(a == b or not a.isalnum() for a, b in zip(stem, t))]
+                if hits:
+                    known = hits[0]
+                    break
+            self.masks[word] = known
+        return known
+
     def hits(self, text: str | None) -> list[tuple[str, str, float, bool, str]]:
         """(category, term, weight, quoted, misspelling or '') of each hit; no text has none."""
         if not text or text.isspace():
@@ -189,6 +211,7 @@ class Lexicon:
                     continue
                 found.append((self.chinese[m[0]], m[0], WEIGHTS["phrase"], "quoting the message" in together[max(0, m.start() - 60) : m.start()], ""))
         plain = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), plain)
+        plain = _MASKED.sub(lambda m: self.unmasked(m[0]), plain)
         words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,))]
         canonical = self.canonical
         same = [canonical(w) for w in words]
@@ -211,7 +234,7 @@ class Lexicon:
             else:
                 continue
             window = [t for t, _ in same[max(0, i - WINDOW) : i]]
-            if self._own(window) or any(t in self.mention for t in (*window, *(t for t, _ in same[i + 1 : i + 1 + WINDOW]))):
+            if not hit and self._own(window) or any(t in self.mention for t in (*window, *(t for t, _ in same[i + 1 : i + 1 + WINDOW]))):
                 weight *= 0.2
             found.append((category, name, weight, any(w in self.quoting for w in window), misspelled))
         return found

@@ -14,7 +14,7 @@ STRONG = {
         abschaum arschgeige arschloch blödmann depp drecksau drecksack drecksvieh dreckskerl dummkopf fettsack flachwichser
         hackfresse hurensohn idioten missgeburt miststück mistkerl penner pissnelke saftsack scheißkerl schwachkopf schweinehund
         spasti trottel vollidiot vollpfosten wichser
-        abruti bouffon branleur connard connasse conasse couillon crétin débile enculé enfoiré fdp ordure pauvre-con raclure salaud salopard
+        abruti bouffon branleur connard connasse conasse couillon crétin débile enculé enfoiré fdp pauvre-con raclure salaud salopard
         tocard trouduc
         bastardo cabrón cabronazo capullo cretino desgraciado gilipollas hijoputa huevón idiota imbécil malnacido malparido maricón
         mamón mongólico pendejo pringado subnormal tarado
@@ -39,7 +39,7 @@ WEAK = """
     miserable monkey parasite pathetic pig pigs rat rats scum shit shitty shameless skank snake sorry-excuse spineless stupid swine trash ugly useless vile weirdo witless worm worthless
     cock dick arse ass fuck fucking
     blöd blöde blöder blödes doof dreckig dreckige dummer dumme dummes ekelhaft esel fresse kotzbrocken nutzlos nutzlose sau scheiß scheiße schwein widerlich
-    crasseux dégueulasse minable moche porc puant
+    crasseux dégueulasse minable moche ordure porc puant
     asqueroso asquerosa cerdo cerda estúpido estúpida feo inútil mierda patético rata tonto
 """
 
@@ -47,7 +47,7 @@ WEAK = """
 PHRASES = {
     "threat": """
         kill yourself|kill you|kill your family|kys|hope you die|hope you _ die|hope you rot|die in a fire|go die|drop dead|drink bleach|eat a bullet|hang yourself|slit your|cut your throat|jump off a bridge|jump off a cliff
-        bullet in you|bullet in your|break your legs|break your neck|break your _ bones|smash your face|smash your head|smash your _ in|punch your face|beat you up|beat you to|beat the crap out of you|beat the shit out of you|stab you|shoot you|strangle you|burn your house
+        bullet in you|bullet in your|break your legs|break your neck|break your _ bones|smash your face|smash your head|smash your _ in|punch your face|beat you up|beat you bloody|beat you senseless|beat you to death|beat you to|beat the crap out of you|beat the shit out of you|stab you|shoot you|strangle you|burn your house
         deserve to be _ strangled|deserve to be _ beaten|deserve to be _ shot|deserve to be _ hanged|deserve to die|deserve to suffer|going to bleed|gonna bleed|make you bleed|watch your back|am coming for you|come for you tonight
         find your kids|find your family|will find you and|know where you live|know where you park|know where you sleep|make you regret|you will regret this|nobody would miss you|no one would miss you|nobody will miss you|stop existing|never been born
         next time we meet you are going|better sleep with one eye
@@ -59,9 +59,9 @@ PHRASES = {
         fuck off|fuck you|fuck yourself|go fuck|go to hell|piss off|shut your _ mouth|shut your face|shut your trap|shut the fuck up|shut up you|kiss my ass|eat shit|screw you
         crawl back under|crawled out from under|crawl out of a drain|crawl out of _ sewer|waste of skin|waste of space|waste of oxygen|waste of air|waste of flesh|oxygen is wasted on|piece of shit|piece of trash|piece of garbage|pile of shit|sack of shit|son of a bitch
         ashamed of raising|smell like one|dumb as you|stupid as you|ugly as you|worthless as you|useless as you|as worthless as your|as ugly as your|as dumb as your|go back to kindergarten|cry me a river|nothing behind it|your face would stop|cradles should have stayed empty|reason nets hang under|reason nets are hung
-        should have been aborted|should have been drowned|nobody likes you|nobody wants you|everyone hates you|everybody hates you|who would ever love you|with your eyes closed pig|no one asked for your filthy
+        should have been aborted|should have been drowned|nobody likes you|nobody wants you|everyone hates you|everybody hates you|who would ever love you|with your eyes closed pig|more worth than your life|worth less than your life|as your face|that walks upright|let you off the leash|off your leash|easier at your funeral|dance on your grave|your parents should have|your mother should have|belongs behind a fence|belong behind a fence|belongs in a cage|number on the ear|worthless as ever|useless as ever|stupid as ever|pathetic as ever|dumb as ever|no one asked for your filthy
         bunch of _ bitches|bunch of _ idiots|bunch of _ morons|smarter things crawl|smarter things _ out of|two brain cells|half a brain|too dumb to|too stupid to
-        halt die fresse|halt dein maul|halts maul|halt die klappe|verpiss dich|fick dich|leck mich am arsch|stück scheiße|geh mir aus den augen|zu dumm zum|dumm wie|so dumm wie
+        du hirnloses|du dummes|du blödes|du dämliches|du widerliches|du verdammtes|du dreckiges|halt die fresse|halt dein maul|halts maul|halt die klappe|verpiss dich|fick dich|leck mich am arsch|stück scheiße|geh mir aus den augen|zu dumm zum|dumm wie|so dumm wie
         ferme ta gueule|ta gueule|va te faire|nique ta mère|fils de pute|casse toi|dégage _ connard|espèce de|sac à merde|tête de con|gros con|sale con|pauvre con|pauvre type|t'es qu'une merde|tu pues
         vete a la mierda|vete al infierno|cállate la boca|cierra la boca|hijo de puta|que te jodan|que te den|chúpame|me cago en tu|pedazo de mierda|eres una mierda|eres un asco|das asco
     """,
@@ -71,7 +71,7 @@ PHRASES = {
         should not be allowed to breed|should not be allowed to vote|wipe them out|wiped out like|master race|cripples|retards should|women should not be|too emotional to
         ausländer raus|gehören vergast|gehört vergast|sind ungeziefer|sind abschaum|gehören in die küche|gehört in die küche|diebe von geburt|geht zurück in euer land
         sont de la vermine|qu'ils dégagent|sale race|rentrez chez vous|retourne dans ton pays|race inférieure|à la cuisine les femmes|sont des parasites|voleurs de naissance
-        son alimañas|que se larguen|raza inferior|vuelve a tu país|vuélvanse a su país|fuera todos los|son ratas|ladrones de nacimiento
+        son alimañas|son basura|hay que echarlos|hay que eliminarlos|que se larguen|raza inferior|vuelve a tu país|vuélvanse a su país|fuera todos los|son ratas|ladrones de nacimiento
     """,
     "sexual": """
         spread your legs|taste you|rip your clothes off|fuck you on|come sit on my|sit on my|bend over _ baby|bend over and|without all that fabric|take your clothes off|take off your clothes|show me your tits|show your tits|show more next time|nice tits|nice ass|hard cock|wet pussy|his dick|my dick|my cock|your cock|your dick|his cock|suck my|lick my|lick your|jerking off|jerk off|anal sex|oral sex|sex with you|have sex with|sleep with me for|naked pictures|nude pictures|send me your nudes|dirty pictures of you|moaned while|get you pregnant|touch yourself|touching myself|so horny|make you scream my name
