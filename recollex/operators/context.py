@@ -34,16 +34,18 @@ def within_budget(lengths: Column, budget: int, start: int) -> Column:
 
 
 def packed(lines: DataFrame, budget: int, header: str = HEADER, note: str = "…另有 {} 条相关记忆未展示（可用 memory_recall 查看）") -> DataFrame:
-    """One row (text, rendered, skipped) of bounded rows (rank, id, line): lines in rank order as far as the budget
-    goes; ids joined by commas; no row if none fits."""
-    items = F.sort_array(F.collect_list(F.struct("rank", "id", "line")))
+    """One row (text, rendered, skipped, titles) of bounded rows (rank, id, line, title): lines in rank order as far
+    as the budget goes; ids joined by commas, titles of skipped ones as an array; no row if none fits."""
+    title = F.col("title") if "title" in lines.columns else F.lit("")
+    items = F.sort_array(F.collect_list(F.struct("rank", "id", "line", title.alias("title"))))
     one = lines.agg(items.alias("items")).withColumn("kept", within_budget(F.transform("items", lambda i: F.length(i["line"]).cast("bigint")), budget, len(header) + 1))
     pairs = F.arrays_zip("items", "kept")
     rendered, skipped = F.filter(pairs, lambda p: p["kept"]), F.filter(pairs, lambda p: ~p["kept"])
     before, after = note.split("{}")
     text = F.concat(F.lit(header + "\n"), F.array_join(F.transform(rendered, lambda p: p["items"]["line"]), "\n"), F.when(F.size(skipped) > 0, F.concat(F.lit("\n" + before), F.size(skipped), F.lit(after))).otherwise(""))
     named = lambda ps: F.array_join(F.transform(ps, lambda p: p["items"]["id"]), ",")
-    return one.select(text.alias("text"), named(rendered).alias("rendered"), named(skipped).alias("skipped")).where("rendered <> ''")
+    titles = F.transform(skipped, lambda p: p["items"]["title"])
+    return one.select(text.alias("text"), named(rendered).alias("rendered"), named(skipped).alias("skipped"), titles.alias("titles")).where("rendered <> ''")
 
 
 def snapshot(entries: DataFrame, workspace: str | None, size: int = SNAPSHOT_SIZE, per_session: int = PER_SESSION) -> DataFrame:
@@ -58,7 +60,7 @@ def snapshot(entries: DataFrame, workspace: str | None, size: int = SNAPSHOT_SIZ
 def snapshot_pack(entries: DataFrame, workspace: str | None) -> DataFrame:
     rows = snapshot(entries, workspace)
     lines = rows.select("rank", "id", render_line("kind", "content", "importance", "id", "source.session_id", "created_at").alias("line"))
-    return packed(lines, SNAPSHOT_BUDGET, note="（另有 {} 条高重要度记忆未入快照，可用 memory_recall 检索）")
+    return packed(lines, SNAPSHOT_BUDGET, note="（另有 {} 条高重要度记忆未入快照，可用 memory_recall 检索）").drop("titles")
 
 
 def fold_similar(found: DataFrame) -> DataFrame:
@@ -87,10 +89,6 @@ def context_pack(found: DataFrame, seen: DataFrame, budget: int = BUDGET) -> Dat
     """One row (text, rendered, skipped) of a bounded search result (rank, id, relevance, ...): without ids in `seen`,
     folded, in tiers, within the budget, with a catalog of what did not fit."""
     fresh = fold_similar(found.join(seen.select("id"), "id", "left_anti"))
-    lines = tiered_lines(fresh)
-    pack = packed(lines, budget)
-    titles = lines.agg(F.sort_array(F.collect_list(F.struct("rank", "id", "title"))).alias("all"))
-    joined = pack.join(titles)  # one row each
-    left = F.filter("all", lambda i: F.array_contains(F.split("skipped", ","), i["id"]))
-    more = F.when(F.col("skipped") != "", catalog(F.transform(left, lambda i: i["title"]))).otherwise("")
-    return joined.select(F.concat("text", more).alias("text"), "rendered", "skipped")
+    pack = packed(tiered_lines(fresh), budget)
+    more = F.when(F.size("titles") > 0, catalog(F.col("titles"))).otherwise("")
+    return pack.select(F.concat("text", more).alias("text"), "rendered", "skipped")
