@@ -60,10 +60,10 @@ def mixing_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     `sized` is (doc_id, source, n_tokens), sources in plain form; several targets of a mix for one source count together.
     """
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    whole = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole"))
+    whole = sized.agg(F.sum("n_tokens")).first()[0] or 0
     asked = targets.withColumn("source", plain_source("source")).where("source is not null and mix_name is not null")
     asked = asked.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("size_ratio").alias("size_ratio"))
-    rows = asked.join(totals, "source", "left").join(whole).withColumn("wanted", F.col("whole") * F.coalesce("size_ratio", F.lit(0.0)))
+    rows = asked.join(totals, "source", "left").withColumn("wanted", F.lit(float(whole)) * F.coalesce("size_ratio", F.lit(0.0)))
     schema = "mix_name string, source string, share double, wanted double, tokens bigint, max_repeats int, rate double, capped boolean"
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -83,7 +83,7 @@ def drawn(sized: DataFrame, rates: DataFrame, scratch: Scratch, seed: int = 17)
         rates = F.broadcast(rates)
     chance = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
-    rows = sized.where("n_tokens > 0").join(rates, "source").withColumn("copies", copies.cast("int"))
+    rows = sized.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(rates, "source").withColumn("copies", copies.cast("int"))
     return rows.where("copies > 0").select("mix_name", "source", "doc_id", "copies", "n_tokens")
 
 

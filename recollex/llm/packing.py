@@ -133,6 +133,7 @@ def packed(sized: DataFrame, containers: DataFrame) -> DataFrame:
     kinds = containers.where("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity")).limit(1001).collect()
     if len(kinds) > 1000:
         raise ValueError("more than 1,000 kinds of containers")
+    sized = sized.select("doc_id", "n_tokens")
     whole = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
     result = None
     for kind in kinds:

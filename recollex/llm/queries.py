@@ -11,6 +11,7 @@ from recollex.llm.chosen_paths import similar_sets
 from recollex.llm.components import hash_to_min
 from recollex.llm.mixing import drawn, emitted, mixing_rates, plain_source, shares
 from recollex.llm.near_duplicates import duplicate_classes, grouped_texts, near_duplicates
+from recollex.llm.oracles import SQL
 from recollex.llm.packing import fill_report, packed
 from recollex.llm.sets import between_ids, class_sets, clean_tags, linked_classes, memberships, spaced_tokens
 from recollex.llm.survivors import Bundle, Dependency, assemble, choose_suppliers
@@ -195,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -118,9 +118,15 @@ def flat_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.view(np.uint64), (ends - ends[0]).astype(np.int64)
 
 
+def _plain(records: DataFrame) -> DataFrame:
+    """The first two columns, the id as a string."""
+    i, payload = records.columns[:2]
+    return records.select(F.col(i).cast("string"), payload)
+
+
 def memberships(records: DataFrame, split: Callable, least: int = 1) -> DataFrame:
     """(id, class) of records (id, payload), once each; records with fewer than `least` tokens have none."""
-    return records.mapInArrow(_hashed(split, least, False), "id string, class bigint").distinct()
+    return _plain(records).mapInArrow(_hashed(split, least, False), "id string, class bigint").distinct()
 
 
 def class_sets(records: DataFrame, split: Callable, scratch: Scratch, least: int = 1) -> DataFrame:
@@ -129,7 +135,7 @@ def class_sets(records: DataFrame, split: Callable, scratch: Scratch, least: int
     A task hands on each set it sees once, so a set that a third of all rows have
     is shuffled once per task.
     """
-    sets = records.mapInArrow(_hashed(split, least, True), "class bigint, tokens array<bigint>")
+    sets = _plain(records).mapInArrow(_hashed(split, least, True), "class bigint, tokens array<bigint>")
     return scratch.keep_bucketed(sets.dropDuplicates(["class"]), "class", shuffle_width(scratch.spark))
 
 

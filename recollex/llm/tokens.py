@@ -38,8 +38,10 @@ def _counting(vocabulary, names: list[str], at: int) -> Callable:
 
 
 def with_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The rows with `n_tokens` in place of `text`.  The vocabulary file, whose size is
-    fixed, is read by the driver and broadcast; whole texts are tokenized."""
+    """The rows with `n_tokens` in place of `text` (and of an `n_tokens` they had).  The
+    vocabulary file, whose size is fixed, is read by the driver and broadcast; whole
+    texts are tokenized, nulls and empty ones have no token."""
+    documents = documents.drop("n_tokens")
     shared = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     names = documents.columns
     kept = [f for f in documents.schema.fields if f.name != "text"]
