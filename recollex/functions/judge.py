@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 #: Kinds of memories and actions of verdicts.  Fixed values.
 KINDS = ("fact", "preference", "decision", "todo", "insight")
@@ -34,7 +35,7 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_json(texts: pd.Series) -> pd.Series:
     """`first_object` of each text, in Arrow batches: a machine over characters that no built-in expresses."""
     return texts.map(first_object)
