@@ -9,7 +9,8 @@ each; what a shard wastes is at most a few containers.  Within a shard:
 2. the few sizes that remain are packed by configurations: the linear program over
    all configurations is solved by column generation, and each configuration is used
    as many whole times as it says;
-3. the actual texts take the places of the rounded sizes;
+3. the actual texts take the places of the rounded sizes, the last of a container being
+   the longest left that fits in what the others, shorter than rounded, leave of it;
 4. large texts left over by rounding, then the small ones, each go where the least
    room is left.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 #: A large item needs more than this part of the capacity.
 LARGE = 12
 #: Groups of equal cardinality.
-GROUPS = 24
+GROUPS = 40
 #: Capacity in units of the knapsack of column generation.
 UNITS = 1024
 #: Tokens in a shard, at least; and containers.
@@ -73,6 +74,46 @@ def configurations(sizes: np.ndarray, demands: np.ndarray, capacity: int, most_r
     return [(basis[:, j].astype(np.int64), max(0.0, float(times[j]))) for j in range(len(sizes))]
 
 
+class _Left:
+    """Large items by length, longest first, that are in no container yet."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.descending = -lengths
+        self.next = list(range(len(lengths) + 1))  # the first item from here on that is left, by path halving
+        self.gone = bytearray(len(lengths) + 1)
+
+    def _first(self, at: int) -> int:
+        while self.gone[at]:
+            if self.gone[self.next[at]]:
+                self.next[at] = self.next[self.next[at]]
+            at = self.next[at]
+        return at
+
+    def take(self, low: int, high: int) -> int | None:
+        """The longest item left of those from low to high."""
+        at = self._first(int(low))
+        if at >= high:
+            return None
+        self._remove(at)
+        return at
+
+    def longer(self, taken: int, room: int) -> int:
+        """The longest item left that fits in place of a taken one, or that one."""
+        at = self._first(int(np.searchsorted(self.descending, -room)))
+        if at >= taken:
+            return taken
+        self._remove(at)
+        self.gone[taken], self.next[taken] = 0, taken
+        return at
+
+    def _remove(self, at: int) -> None:
+        self.gone[at] = 1
+        self.next[at] = at + 1
+
+    def rest(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(bytes(self.gone[:-1]), np.uint8) == 0)
+
+
 class _Rooms:
     """Open containers by the room left, which is a whole number up to the capacity."""
 
@@ -111,13 +152,20 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     if len(large):
         groups = [g for g in np.array_split(large, min(GROUPS, len(large))) if len(g)]
         sizes = np.array([lengths[g[0]] for g in groups])
-        queues = [list(g[::-1]) for g in groups]
+        starts = np.cumsum([0, *(len(g) for g in groups)])
+        left = _Left(lengths[large])
         for counts, times in configurations(sizes, np.array([float(len(g)) for g in groups]), capacity):
             for _ in range(math.floor(times + 1e-9)):
-                chosen = [queues[i].pop() for i, n in enumerate(counts) for _ in range(min(int(n), len(queues[i])))]
+                chosen = [left.take(starts[i], starts[i + 1]) for i, n in enumerate(counts) for _ in range(int(n))]
+                chosen = [c for c in chosen if c is not None]
+                if len(chosen) > 1:
+                    last = max(chosen)  # the shortest
+                    chosen.remove(last)
+                    chosen.append(left.longer(last, capacity - int(lengths[large[chosen]].sum())))
                 if chosen:
-                    placed[chosen] = rooms.open(capacity - int(lengths[chosen].sum()))
-        left_over = sorted((i for q in queues for i in q), key=lambda i: (-lengths[i], i))
+                    items = large[chosen]
+                    placed[items] = rooms.open(capacity - int(lengths[items].sum()))
+        left_over = large[left.rest()]
     for i in [*left_over, *order[len(large) :]]:
         placed[i] = rooms.best_fit(int(lengths[i]))
     return placed

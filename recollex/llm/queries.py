@@ -37,11 +37,11 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
 
 #: The clock of the test tables.
 NOW = "2026-01-15 00:00:00"
-TEXT = Bundle("content", ("content", "content_tokens", "dedup_key", "tags"), F.col("n_words"))
-RATING = Bundle("importance", ("importance", "self_relevance"), F.when(F.col("importance").between(0, 10), F.col("importance")))
-TIMES = Bundle("updated", ("created_at", "updated_at", "last_access_at", "access_count"), F.when(F.col("updated_at") <= F.lit(NOW).cast("timestamp_ntz"), F.unix_micros(F.col("updated_at").cast("timestamp"))))
-ORIGIN = Bundle("origin", ("session_id", "source"), F.when(F.trim("session_id") != "", 1 + F.when(F.col("source.excerpt").isNotNull(), 1.0).otherwise(0.0)))
-PLACE = Bundle("place", ("workspace",), F.when(F.trim("workspace") != "", 1 + F.when(F.col("status") == "active", 0.5).otherwise(0.0)))
+TEXT = Bundle("content", ("content", "content_tokens", "dedup_key", "tags"), "n_words")
+RATING = Bundle("importance", ("importance", "self_relevance"), "CASE WHEN importance BETWEEN 0 AND 10 THEN importance END")
+TIMES = Bundle("updated", ("created_at", "updated_at", "last_access_at", "access_count"), f"CASE WHEN updated_at <= TIMESTAMP_NTZ '{NOW}' THEN timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', updated_at) END")
+ORIGIN = Bundle("origin", ("session_id", "source"), "CASE WHEN trim(session_id) <> '' THEN 1 + int(source.excerpt IS NOT NULL) END")
+PLACE = Bundle("place", ("workspace",), "CASE WHEN trim(workspace) <> '' THEN 1 + 0.5 * int(coalesce(status = 'active', false)) END")
 #: A session belongs to one workspace.
 ONE_PLACE = Dependency("origin", "session_id", "place", "workspace")
 

@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 @dataclass(frozen=True)
 class Bundle:
-    """Fields that go together.  `trust` is a number, null where the member offers no candidate."""
+    """Fields that go together.  `trust` is an SQL expression of a number, null where the member offers no candidate."""
 
     name: str
     fields: tuple[str, ...]
-    trust: Column
+    trust: str
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,8 @@ def choose_suppliers(members: DataFrame, bundles: list[Bundle], dependencies: li
     """
     rows = members.where("`group` is not null")
     for b in bundles:
-        rows = rows.withColumn(f"trust_{b.name}", F.when(~F.isnan(b.trust.cast("double")), b.trust.cast("double")))
+        trust = F.expr(b.trust).cast("double")
+        rows = rows.withColumn(f"trust_{b.name}", F.when(~F.isnan(trust), trust))
     ruled = {n for d in dependencies for n in (d.of, d.on)}
     free = [b for b in bundles if b.name not in ruled]
     aggregates = [F.min_by("id", F.when(F.col(f"trust_{b.name}").isNotNull(), F.struct((-F.col(f"trust_{b.name}")).alias("t"), F.col("id")))).alias(f"{b.name}_id") for b in free]
