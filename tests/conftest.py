@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("recollex-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/recollex-tests-warehouse").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.sql.maxMetadataStringLength", "4000").config("spark.sql.warehouse.dir", "/tmp/recollex-tests-warehouse").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
