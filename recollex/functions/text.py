@@ -148,3 +148,16 @@ def normalize_tags(tags: ColumnOrName) -> Column:
 def micros(timestamp: ColumnOrName) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), _c(timestamp))
+
+
+def user_text(messages: ColumnOrName) -> Column:
+    """Text blocks of messages (array of structs: source_kind, blocks (array of structs: type, text)) that users wrote,
+    joined by line ends; empty if there are none."""
+    own = F.filter(_c(messages), lambda m: m["source_kind"] == "user")
+    blocks = F.flatten(F.transform(own, lambda m: F.filter(m["blocks"], lambda b: (b["type"] == "text") & b["text"].isNotNull())))
+    return F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit(""))
+
+
+def pick_words(tokens: ColumnOrName, stop: list[str], count: int = 2) -> Column:
+    """The first tokens that are no stop words."""
+    return F.slice(F.filter(_c(tokens), lambda t: ~t.isin(*stop)), 1, count)

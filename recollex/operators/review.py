@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from recollex.sources.shared import Scratch
+
 
 def judged(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
     """Verdicts (focus_id, peer_id, action, ...) with outcome, and which of both memories stays and goes.
@@ -27,17 +29,34 @@ def judged(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select(*verdicts.columns, outcome.alias("outcome"), F.when(done, F.when(newer, F.col("f_id")).otherwise(F.col("p_id"))).alias("keep_id"), F.when(done, F.when(newer, F.col("p_id")).otherwise(F.col("f_id"))).alias("drop_id"))
 
 
+def connected(pairs: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+    """(id, label): the least id reached over pairs, by passing labels on until none changes.  Pairs of near-copies
+    reach each other in a few steps."""
+    scratch = Scratch(pairs.sparkSession)
+    both = pairs.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(pairs.select(F.col(b).alias("id"), F.col(a).alias("other"))).distinct()
+    both = scratch.keep(both)
+    labels = scratch.keep(both.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("label")))
+    for _ in range(rounds):
+        passed = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
+        new = scratch.keep(labels.join(passed, "id").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")))
+        if new.where("changed").isEmpty():
+            return new.drop("changed")
+        labels = new.drop("changed")
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
 def merge_pass(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(keep_id, drop_id) that a pass carries out, newest memories first: a pair is passed over if one of it is gone
-    or an earlier merge has moved their importances more than 2 apart.
+    """(keep_id, drop_id, importance) that a pass carries out, newest memories first: a pair is passed over if one of
+    it is gone or an earlier merge has moved their importances more than 2 apart; importance is what the kept
+    one has then.
 
-    Only memories in pairs matter to each other.  Pairs are grouped by (workspace, kind) and
-    the connected pairs in a group are few; one group's pairs are folded in Arrow batches.
+    Only connected pairs matter to each other, so each connected set is folded on its own.
     """
-    about = entries.select("id", "workspace", "kind", "created_at", "importance")
+    about = entries.select("id", "created_at", "importance")
     k, d = about.select(*[F.col(c).alias(f"k_{c}") for c in about.columns]), about.select(*[F.col(c).alias(f"d_{c}") for c in about.columns])
-    rows = pairs.join(k, F.col("keep_id") == F.col("k_id")).join(d, F.col("drop_id") == F.col("d_id"))
-    rows = rows.select("keep_id", "drop_id", F.col("k_workspace").alias("workspace"), F.col("k_kind").alias("kind"), F.col("k_created_at").alias("k_at"), F.col("d_created_at").alias("d_at"), F.col("k_importance").alias("k_imp"), F.col("d_importance").alias("d_imp"))
+    labels = connected(pairs, "keep_id", "drop_id").select(F.col("id").alias("keep_id"), "label")
+    rows = pairs.select("keep_id", "drop_id").join(labels, "keep_id").join(k, F.col("keep_id") == F.col("k_id")).join(d, F.col("drop_id") == F.col("d_id"))
+    rows = rows.select("label", "keep_id", "drop_id", F.col("k_created_at").alias("k_at"), F.col("d_created_at").alias("d_at"), F.col("k_importance").alias("k_imp"), F.col("d_importance").alias("d_imp"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["k_at", "keep_id", "d_at", "drop_id"], ascending=False)
@@ -48,7 +67,7 @@ def merge_pass(entries: DataFrame, pairs: DataFrame) -> DataFrame:
                 continue
             importance[keep] = max(importance[keep], importance[drop])
             gone.add(drop)
-            done.append((keep, drop))
-        return pd.DataFrame(done, columns=["keep_id", "drop_id"])
+            done.append((keep, drop, importance[keep]))
+        return pd.DataFrame(done, columns=["keep_id", "drop_id", "importance"])
 
-    return rows.groupBy("workspace", "kind").applyInPandas(run, "keep_id string, drop_id string")
+    return rows.groupBy("label").applyInPandas(run, "keep_id string, drop_id string, importance double")

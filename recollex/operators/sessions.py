@@ -51,11 +51,33 @@ def latest_routes(events: DataFrame) -> DataFrame:
     return last.select("session_id", "r.provider", "r.model").where("provider <> '' and model <> ''")
 
 
+def numbered(rows: DataFrame, key: list[str], at: str, width: int, *order: str) -> DataFrame:
+    """Rows with `_n`, their number from 1 within the key.
+
+    A key is cut into blocks of `width` units of `at`, so one with a third of all rows is many
+    tasks' work; what is summed up over a key is one row per block.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(at) / width))
+    inner = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key, "_block").orderBy(*(order or (at,)))))
+    sizes = rows.groupBy(*key, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return inner.join(before, [*key, "_block"]).withColumn("_n", F.col("_before") + F.col("_i")).drop("_i", "_before", "_block")
+
+
 def rolling_queries(events: DataFrame, before: int = 3, cut: int = 100) -> DataFrame:
-    """(session_id, seq, query): each user message followed by the heads of the `before` ones before it, latest first."""
-    rows = events.where("event_type = 'user/message' and source_kind = 'user' and text is not null and text <> ''")
-    heads = F.collect_list(F.substring("text", 1, cut)).over(Window.partitionBy("session_id").orderBy("seq").rowsBetween(-before, -1))
-    return rows.select("session_id", "seq", F.array_join(F.concat(F.array("text"), F.reverse(heads)), "\n").alias("query"))
+    """(session_id, seq, query): each user message followed by the heads of the `before` ones before it, latest first.
+
+    Messages are numbered and every head is sent to the numbers after its own, so the shuffle is on
+    (session, number) and no session is one task's work.
+    """
+    rows = events.where("event_type = 'user/message' and source_kind = 'user' and text is not null and text <> ''").select("session_id", "seq", "text")
+    placed = numbered(rows, ["session_id"], "seq", PART)
+    sent = placed.select("session_id", F.col("seq").alias("from"), F.substring("text", 1, cut).alias("head"), F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + before)).alias("_n"))
+    own = placed.select("session_id", "_n", "seq", "text", F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("string").alias("head"))
+    both = own.unionByName(sent.select("session_id", "_n", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("text"), "from", "head"))
+    heads = F.sort_array(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("from", "head"))), asc=False)  # `before` at most
+    joined = both.groupBy("session_id", "_n").agg(F.max("seq").alias("seq"), F.max("text").alias("text"), heads.alias("h")).where("seq is not null")
+    return joined.select("session_id", "seq", F.array_join(F.concat(F.array("text"), F.transform("h", lambda x: x["head"])), "\n").alias("query"))
 
 
 def session_rollup(entries: DataFrame) -> DataFrame:
@@ -105,22 +127,49 @@ def turn_batches(events: DataFrame, least: int = EMIT_CHARS) -> DataFrame:
     return rows.mapInPandas(run, "session_id string, batch int, first_seq bigint, last_seq bigint, chars bigint, closed boolean")
 
 
+def islands(rows: DataFrame, keys: list[str], at: str, gap: int, *order: str) -> DataFrame:
+    """Rows with `_island`: a key is cut wherever `gap` units or more of `at` lie between neighbours.
+
+    Neighbours are looked up within blocks of time and from the last row of the block before, so a
+    key with a third of all rows is many tasks' work.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(at) / (gap * 64)))
+    w = Window.partitionBy(*keys, "_block").orderBy(at, *order)
+    ends = rows.groupBy(*keys, "_block").agg(F.max(at).alias("_end"))
+    ends = ends.withColumn("_end_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_end")
+    marked = rows.withColumn("_lag", F.lag(at).over(w)).join(ends, [*keys, "_block"])
+    step = F.col(at) - F.coalesce("_lag", "_end_before")
+    marked = marked.withColumn("_new", F.when(step.isNull() | (step >= gap), F.col(at)))
+    started = marked.withColumn("_start", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lasts = marked.groupBy(*keys, "_block").agg(F.max("_new").alias("_last"))
+    lasts = lasts.withColumn("_open", F.max("_last").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    return started.join(lasts, [*keys, "_block"]).withColumn("_island", F.coalesce("_start", "_open")).drop("_lag", "_end_before", "_new", "_start", "_open", "_block")
+
+
 def throttled(rows: DataFrame, keys: list[str], time: str, id: str, seconds: int = 60) -> DataFrame:
     """Events that an access throttle keeps: each at least `seconds` after the last kept one of its key.
 
     An event that long after the one before it is kept whatever came before, so every key falls
-    into islands at such gaps; an island is folded on its own, and a hot key is many islands.
+    into islands at such gaps; rows of an island are folded in order with one number as state.
+    Rows without a time or key are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(time, id)
-    at = micros(time)
-    marked = rows.where(F.col(time).isNotNull()).withColumn("_t", at)
-    gap = F.col("_t") - F.lag("_t").over(w)
-    marked = marked.withColumn("_new", F.when(gap.isNull() | (gap >= seconds * 1_000_000), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    items = F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(id).alias("i"))))
-    zero = F.array().cast(f"array<struct<t:bigint,i:{dict(rows.dtypes)[id]}>>")
-    kept = F.aggregate(items, zero, lambda s, i: F.when((F.size(s) == 0) | (i["t"] - F.element_at(s, -1)["t"] >= seconds * 1_000_000), F.concat(s, F.array(i))).otherwise(s))
-    return marked.groupBy(*keys, "_island").agg(kept.alias("k")).select(*keys, F.inline("k")).select(*keys, F.col("i").alias(id), F.col("t").alias("at_us"))
+    span = seconds * 1_000_000
+    marked = rows.withColumn("at_us", micros(time)).select(*keys, F.col(id), "at_us").dropna(subset=[*keys, "at_us"])
+    ordered = islands(marked, keys, "at_us", span, id).repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "at_us", id)
+    columns = [*keys, id, "at_us"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, 0
+        for part in batches:
+            chosen = []
+            for n, (*key, i, at, island) in enumerate(part[[*columns, "_island"]].itertuples(index=False)):
+                if (key, island) != group or at - last >= span:
+                    chosen.append(n)
+                    group, last = (key, island), at
+            yield part.iloc[chosen][columns]
+
+    kinds = dict(marked.dtypes)
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def injection_visible(events: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollex.functions.scoring import cosine, usable_vector
+from recollex.functions.text import normalize_content
+from recollex.operators.entries import latest
 from recollex.operators.search import with_tokens
 
 DAY = 86_400_000_000
@@ -44,11 +46,19 @@ def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], car
     return checked.where(F.col("shared") * below >= F.col("total") * above).drop("a_t", "b_t")
 
 
+def without_copies(entries: DataFrame, block: list[str]) -> DataFrame:
+    """One row per normalised content in a block, active ones first, then the oldest: writing merges copies, so
+    joins are between different texts, and a text that a third of all rows have meets others once."""
+    rows = entries.where("content is not null").withColumn("_normal", F.xxhash64(normalize_content("content")))
+    order = [(F.col("status") == "active").desc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+    return latest(rows, [*block, "_normal"], order).drop("_normal")
+
+
 def supersede_pairs(entries: DataFrame, now: str) -> DataFrame:
     """(old_id, new_id, shared, total): the newer memory restates the older, active one of the same
     workspace and kind within 30 days, at a similarity of 0.7."""
     at = F.lit(now).cast("timestamp_ntz")
-    rows = with_tokens(entries.where(F.col("created_at") <= at))
+    rows = with_tokens(without_copies(entries.where(F.col("created_at") <= at), ["workspace", "kind"]))
     gap = F.timestamp_diff("MICROSECOND", F.col("a_created_at"), F.col("b_created_at"))
     pairs = similar_pairs(rows, 7, 10, ["workspace", "kind"], ["created_at", "status"], F.abs(gap) <= 30 * DAY)
     a_old = (F.col("a_created_at") < F.col("b_created_at")) | ((F.col("a_created_at") == F.col("b_created_at")) & (F.col("a_id") < F.col("b_id")))
@@ -67,7 +77,8 @@ def supersede_pointers(pairs: DataFrame, entries: DataFrame) -> DataFrame:
 def merge_pairs(entries: DataFrame) -> DataFrame:
     """(keep_id, drop_id, shared, total): active, not superseded memories of one workspace and kind with
     importances at most 2 apart and a similarity of 0.85; the newer is kept."""
-    rows = with_tokens(entries.where("status = 'active' and superseded_by is null and importance is not null and not isnan(importance)"))
+    usable = entries.where("status = 'active' and superseded_by is null and importance is not null and not isnan(importance)")
+    rows = with_tokens(without_copies(usable, ["workspace", "kind"]))
     near = F.abs(F.col("a_importance") - F.col("b_importance")) <= 2
     pairs = similar_pairs(rows, 17, 20, ["workspace", "kind"], ["created_at", "importance"], near)
     a_new = F.struct("a_created_at", "a_id") > F.struct("b_created_at", "b_id")
@@ -76,7 +87,7 @@ def merge_pairs(entries: DataFrame) -> DataFrame:
 
 def summary_pairs(entries: DataFrame) -> DataFrame:
     """(old_id, new_id, shared, total): summaries of one session that share half of their tokens."""
-    rows = with_tokens(entries.where("status = 'active' and array_contains(tags, 'session-summary')"))
+    rows = with_tokens(without_copies(entries.where("status = 'active' and array_contains(tags, 'session-summary')"), ["session_id"]))
     pairs = similar_pairs(rows, 1, 2, ["session_id"], ["created_at"])
     a_old = F.struct("a_created_at", "a_id") < F.struct("b_created_at", "b_id")
     return pairs.select("session_id", F.when(a_old, F.col("a_id")).otherwise(F.col("b_id")).alias("old_id"), F.when(a_old, F.col("b_id")).otherwise(F.col("a_id")).alias("new_id"), "shared", "total")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollex.functions import judge, scoring
-from recollex.functions.text import micros
-from recollex.operators import entries as en, graph, ingest, review as rv, similarity as sim
+from recollex.functions import judge
+from recollex.operators import entries as en, graph, review as rv, similarity as sim, upkeep
 from recollex.plans import sql as S
 from recollex.plans.memories import entries
 from recollex.plans.searches import vectors
@@ -20,7 +18,7 @@ def jaccard_pairs(spark, d):
     """Visible memories of one workspace and kind that share half of their tokens."""
     from recollex.operators.search import with_tokens
 
-    rows = with_tokens(en.candidates(entries(spark, d)))
+    rows = with_tokens(sim.without_copies(en.candidates(entries(spark, d)), ["workspace", "kind"]))
     return sim.similar_pairs(rows, 1, 2, ["workspace", "kind"]).select("a_id", "b_id", "shared", "total")
 
 
@@ -43,6 +41,12 @@ def maintenance_merge(spark, d):
     return rv.merge_pass(rows, sim.merge_pairs(rows))
 
 
+def maintenance_cycle(spark, d):
+    """The operations of one cycle of upkeep, with the recorded verdicts."""
+    made = upkeep.cycle(entries(spark, d), NOW, judge.decisions(answers(spark, d)))
+    return made.select("op_id", "id", "op", "by", "importance", F.array_join("tags", ",").alias("tags"), "other")
+
+
 def summary_supersede(spark, d):
     return sim.summary_pairs(entries(spark, d))
 
@@ -151,8 +155,15 @@ def supersede_chain(spark, d):
 
 
 _E = S.ENTRIES
+
+
+def _first(source: str, block: str, name: str = "firsts") -> str:
+    """The first row of each normalised content in a block."""
+    return f"{name} AS (SELECT * FROM {source} WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {block}, {S.normal('content')} ORDER BY coalesce(status = 'active', false) DESC, created_at NULLS LAST, id) = 1)"
+
+
 _OLD = "(a_created_at < b_created_at OR (a_created_at = b_created_at AND a_id < b_id))"
-_SUPER = (_E, f"src AS (SELECT * FROM entries WHERE created_at <= TIMESTAMP '{NOW}')", S.pairs("src", ["workspace", "kind"], 7, 10, "true", "created_at, status"))
+_SUPER = (_E, f"src AS (SELECT * FROM entries WHERE created_at <= TIMESTAMP '{NOW}')", _first("src", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 7, 10, "true", "created_at, status"))
 _SUPER_PAIRS = f"sp AS (SELECT CASE WHEN {_OLD} THEN a_id ELSE b_id END AS old_id, CASE WHEN {_OLD} THEN b_id ELSE a_id END AS new_id, CASE WHEN {_OLD} THEN b_created_at ELSE a_created_at END AS new_at, CASE WHEN {_OLD} THEN a_created_at ELSE b_created_at END AS old_at, shared, total FROM pairs WHERE abs(epoch_us(a_created_at) - epoch_us(b_created_at)) <= {30 * 86_400_000_000} AND CASE WHEN {_OLD} THEN a_status ELSE b_status END = 'active')"
 _WINDOW = "win AS (SELECT * FROM (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 400) WHERE NOT coalesce(list_has_any(tags, ['session-summary', 'snapshot']), false))"
 _REVIEW = (
@@ -214,7 +225,7 @@ _ACCEPT = (
 )
 
 QUERIES = {
-    "jaccard_pairs": (jaccard_pairs, S.with_(_E, S.VISIBLE, S.pairs("visible", ["workspace", "kind"], 1, 2)) + "SELECT a_id, b_id, shared, total FROM pairs"),
+    "jaccard_pairs": (jaccard_pairs, S.with_(_E, S.VISIBLE, _first("visible", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 1, 2)) + "SELECT a_id, b_id, shared, total FROM pairs"),
     "supersede_pairs": (supersede_pairs, S.with_(*_SUPER, _SUPER_PAIRS) + "SELECT old_id, new_id, shared, total FROM sp"),
     "supersede_pointers": (
         supersede_pointers,
@@ -223,13 +234,14 @@ QUERIES = {
     ),
     "maintenance_merge_pairs": (
         maintenance_merge_pairs,
-        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", S.pairs("src", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
+        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", _first("src", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
         + "SELECT CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN a_id ELSE b_id END AS keep_id, CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN b_id ELSE a_id END AS drop_id, shared, total FROM pairs",
     ),
     "maintenance_merge": (maintenance_merge, None),
+    "maintenance_cycle": (maintenance_cycle, None),
     "summary_supersede": (
         summary_supersede,
-        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND list_contains(tags, 'session-summary'))", S.pairs("src", ["session_id"], 1, 2, "true", "created_at"))
+        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND list_contains(tags, 'session-summary'))", _first("src", "session_id"), S.pairs("firsts", ["session_id"], 1, 2, "true", "created_at"))
         + "SELECT session_id, CASE WHEN (a_created_at, a_id) < (b_created_at, b_id) THEN a_id ELSE b_id END AS old_id, CASE WHEN (a_created_at, a_id) < (b_created_at, b_id) THEN b_id ELSE a_id END AS new_id, shared, total FROM pairs",
     ),
     "reflection_pairs": (reflection_pairs, S.with_(*_REVIEW) + "SELECT a_id, b_id, sim, basis FROM rpairs"),

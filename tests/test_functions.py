@@ -159,3 +159,9 @@ def test_retry():
     assert with_retry(flaky, sleep=lambda s: None)(5) == 5
     with pytest.raises(RetryableError):
         with_retry(lambda: (_ for _ in ()).throw(RetryableError()), attempts=2, sleep=lambda s: None)()
+
+
+def test_messages_and_picked_words(spark):
+    rows = spark.sql("select array(named_struct('source_kind', 'user', 'blocks', array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'image', 'text', 'b'))), named_struct('source_kind', 'plugin', 'blocks', array(named_struct('type', 'text', 'text', 'c'))), named_struct('source_kind', 'user', 'blocks', array(named_struct('type', 'text', 'text', 'd')))) as m")
+    assert rows.select(text.user_text("m")).first()[0] == "a\nd"
+    assert one(spark, text.pick_words("t", ["the", "of"]), t=["the", "end", "of", "all", "things"]) == ["end", "all"]

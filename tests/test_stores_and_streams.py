@@ -278,7 +278,7 @@ def test_merge_pass_sees_earlier_merges(spark):
 
     entries = frame(spark, [memory("c", created_at="2026-01-03 00:00:00", importance=1.0), memory("b", created_at="2026-01-02 00:00:00", importance=3.0), memory("a", created_at="2026-01-01 00:00:00", importance=0.0)])
     pairs = spark.createDataFrame([("c", "b"), ("c", "a"), ("b", "a")], "keep_id string, drop_id string")
-    assert [tuple(r) for r in merge_pass(entries, pairs).collect()] == [("c", "b")]
+    assert [tuple(r) for r in merge_pass(entries, pairs).collect()] == [("c", "b", 3.0)]
 
 
 def test_budget_packing(spark):
