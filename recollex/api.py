@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollex.functions import scoring
 from recollex.functions.seams import Embedder
-from recollex.functions.text import dedup_key, short_session
+from recollex.functions.text import dedup_key
 from recollex.operators import context, entries as en, graph, ingest, search, similarity, vectors as vx
 from recollex.sources import schema as sc
 

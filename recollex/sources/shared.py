@@ -78,6 +78,16 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators keep in the shared folder.  Results that were not written out yet read
+    them, so write those first; with `spark.cleaner` checkpoints are not affected."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "recollex-*")) or ():
+        system.delete(found.getPath(), True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

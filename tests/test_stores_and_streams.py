@@ -293,7 +293,20 @@ def test_budget_packing(spark):
 def test_ranks_over_all_tasks(spark):
     from recollex.operators.ranking import global_rank
 
-    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k")).repartition(5)
+    rows = spark.range(60_000).select(F.col("id"), (F.col("id") % 7).alias("k"), F.lit("x").alias("more")).repartition(5)
     found = global_rank(rows, "r", F.desc("k"), F.col("id").asc()).collect()
     wanted = {r.id: n + 1 for n, r in enumerate(sorted(found, key=lambda r: (-r.k, r.id)))}
     assert {r.id: r.r for r in found} == wanted
+
+
+def test_kept_tables_survive_and_are_cleared(spark):
+    from recollex.sources.shared import Scratch, clear
+
+    scratch = Scratch(spark)
+    kept, bucketed = scratch.keep(spark.range(5)), scratch.keep_bucketed(spark.range(50), "id", 3)
+    assert kept.count() == 5 and bucketed.groupBy("id").count().count() == 50
+    assert "Exchange" not in bucketed.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    scratch.drop(bucketed)
+    clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        kept.count()
