@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from recollex.llm.chosen_paths import similar_sets, survival, trees_for
 from recollex.llm.components import hash_to_min
