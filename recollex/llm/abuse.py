@@ -20,6 +20,8 @@ Null and wordless texts score 0.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -42,6 +44,7 @@ _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*•·])[^\W_])(?:\1[^\W_])
 _MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[*%#@$!+-]{1,3}[^\W\d_]+){1,3}(?![^\W_])")
 _CHINESE_RUN = re.compile("[㐀-鿿]")
 _CHINESE_GAP = re.compile(r"(?<=[㐀-鿿])[ .*_\-·~]+(?=[㐀-鿿])")
+_TRIPLED, _DOUBLED = re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
@@ -70,13 +73,12 @@ class Trie:
         The state of the automaton is its row of least edits per letter read; neighbours
         that changed places count one edit.
         """
+        start = self.root.get(word[:1])
+        if start is None:
+            return None
         best: tuple[int, str] | None = None
         n = len(word)
-        if word[:1] not in self.root:
-            return None
-        row = list(range(1, n + 1))
-        first = [1, *[i for i in range(n)]]
-        stack = [(self.root[word[0]], first, [0, *row], word[0])]
+        stack = [(start, list(range(1, -1, -1)) + list(range(1, n)), list(range(n + 1)), word[0])]
         while stack:
             node, state, before, letter = stack.pop()
             if "" in node and state[n] <= distance and (best is None or (state[n], node[""]) < best):
@@ -84,13 +86,22 @@ class Trie:
             for next_letter, child in node.items():
                 if not next_letter:
                     continue
-                new = [state[0] + 1]
-                for i in range(1, n + 1):
-                    edits = min(new[i - 1] + 1, state[i] + 1, state[i - 1] + (word[i - 1] != next_letter))
-                    if i > 1 and word[i - 1] == letter and word[i - 2] == next_letter:
-                        edits = min(edits, before[i - 2] + 1)
+                left = state[0] + 1
+                new, least, above = [left], left, state[0]
+                for i, wanted in enumerate(word):
+                    here = state[i + 1]
+                    edits = above if wanted == next_letter else above + 1
+                    if here < edits:
+                        edits = here + 1
+                    if left < edits:
+                        edits = left + 1
+                    if i and wanted == letter and word[i - 1] == next_letter and before[i - 1] < edits:
+                        edits = before[i - 1] + 1
                     new.append(edits)
-                if min(new) <= distance:
+                    if edits < least:
+                        least = edits
+                    left, above = edits, here
+                if least <= distance:
                     stack.append((child, new, state, next_letter))
         return (best[1], best[0]) if best else None
 
@@ -107,8 +118,9 @@ def allowed_edits(word: str, term: str) -> int:
 def folded(text: str) -> str:
     """Lower-case text in compatibility form, without invisible characters and look-alike letters
     next to Latin ones."""
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-    return text if text.isascii() else text.translate(_FOLD)
+    if text.isascii():
+        return text.lower()
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_FOLD)
 
 
 class Lexicon:
@@ -127,6 +139,7 @@ class Lexicon:
         vocabulary = {w for options in self.phrases.values() for words, _ in options for w in words if w != "_" and len(w) >= 6}
         self.known = set(self.category) | self.weak | {w for options in self.phrases.values() for words, _ in options for w in words}
         self.trie = Trie(sorted({t for t in self.category if len(t) >= 5} | {t for t in self.weak if len(t) >= 6} | vocabulary))
+        self.telling = set(self.category) | self.weak | set(self.phrases)
         self.address, self.links, self.self_ = set(T.ADDRESS.split()), set(T.LINKS.split()), set(T.SELF.split())
         self.self_phrases = [p.replace("'", " ").split() for p in T.SELF_PHRASES.split("|")]
         self.mention, self.quoting = set(T.MENTION.split()), set(T.QUOTING.split())
@@ -152,29 +165,31 @@ class Lexicon:
     def _look_up(self, word: str) -> tuple[str, bool]:
         if word in self.known:
             return word, False
-        plain = word.replace("’", "").replace("'", "")
-        if plain in self.known:
-            return plain, False
-        signs = any(not c.isalpha() for c in plain)
-        if signs:
-            if plain.isdigit():
+        plain = word
+        if not word.isalpha():
+            if word.isdigit():
                 return word, False
-            spelled = plain.translate(_STAND_INS)
-            if spelled in self.known:
-                return spelled, False
-            if "*" in spelled and len(spelled) >= 4:
-                pattern = re.compile("".join("[a-z]" if c == "*" else re.escape(c) for c in spelled))
+            plain = word.replace("’", "").replace("'", "").translate(_STAND_INS)
+            if plain in self.known:
+                return plain, False
+            if "*" in plain and len(plain) >= 4:
+                pattern = re.compile("".join("[a-z]" if c == "*" else re.escape(c) for c in plain))
                 hits = sorted(t for t in (*self.category, *self.weak) if pattern.fullmatch(t))
                 if hits:
                     return hits[0], False
-            if not spelled.isalpha():
+            if not plain.isalpha():
                 return word, False
-            plain = spelled
-        for once in dict.fromkeys((re.sub(r"(.)\1{2,}", r"\1\1", plain), re.sub(r"(.)\1+", r"\1", plain))):
-            for ending in ("", "s", "es", "n", "en"):
-                stem = once[: len(once) - len(ending)] if ending and once.endswith(ending) else once if not ending else ""
-                if stem and (stem in self.category or stem in self.weak) and (ending or once != word) and (len(stem) > 3 or stem in self.category):
-                    return stem, False
+        spellings = [plain]
+        if _DOUBLED.search(plain):
+            spellings = [_TRIPLED.sub(r"\1\1", plain), _DOUBLED.sub(r"\1", plain)]
+        for once in spellings:
+            if once != word and (once in self.category or once in self.weak and len(once) > 3):
+                return once, False
+            if once[-1] in "sn":
+                for ending in ("s", "es") if once[-1] == "s" else ("n", "en"):
+                    stem = once[: -len(ending)]
+                    if once.endswith(ending) and (stem in self.category or stem in self.weak and len(stem) > 3):
+                        return stem, False
         if 5 <= len(plain) <= 24 and plain.isalpha():
             hit = self.trie.near(plain, 1 if len(plain) < 10 else 2)
             if hit and hit[1] <= allowed_edits(plain, hit[0]):
@@ -215,10 +230,10 @@ class Lexicon:
         words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,))]
         canonical = self.canonical
         same = [canonical(w) for w in words]
-        for i, (term, mended) in enumerate(same):
+        telling = self.telling
+        for i in [i for i, (term, _) in enumerate(same) if term in telling]:
+            term, mended = same[i]
             strong, weak = term in self.category, term in self.weak
-            if not (strong or weak or term in self.phrases):
-                continue
             hit = self._phrase(same, i)
             if hit:
                 category, phrase, used = hit
@@ -282,12 +297,20 @@ def score(hits: list[tuple]) -> float:
     return 1 - left
 
 
+def worker_lexicon() -> Lexicon:
+    """The lexicon of a Python worker: what it has looked up serves all its tasks."""
+    held = sys.modules.setdefault("_recollex_worker", types.ModuleType("_recollex_worker"))
+    if not hasattr(held, "lexicon"):
+        held.lexicon = Lexicon()
+    return held.lexicon
+
+
 HIT = "array<struct<category:string,term:string,weight:double,quoted:boolean,misspelled:string>>"
 
 
 def _hits() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
+        lexicon = worker_lexicon()
         kind = pa.list_(pa.struct([("category", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("quoted", pa.bool_()), ("misspelled", pa.string())]))
         names = ("category", "term", "weight", "quoted", "misspelled")
         for batch in batches:
