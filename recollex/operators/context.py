@@ -92,3 +92,18 @@ def context_pack(found: DataFrame, seen: DataFrame, budget: int = BUDGET) -> Dat
     pack = packed(tiered_lines(fresh), budget)
     more = F.when(F.size("titles") > 0, catalog(F.col("titles"))).otherwise("")
     return pack.select(F.concat("text", more).alias("text"), "rendered", "skipped")
+
+
+def pack_counts(found: DataFrame, seen: DataFrame, held: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row: of a bounded search result, how many were seen already, are in the snapshot, were folded, did not fit,
+    and came into the pack."""
+    unseen = found.join(seen.select("id"), "id", "left_anti")
+    fresh = unseen.join(held.select("id"), "id", "left_anti")
+    kept = fold_similar(fresh)
+    pack = packed(tiered_lines(kept), budget)
+    part = lambda rows, name: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    counts = part(found, "found").unionByName(part(unseen, "unseen")).unionByName(part(fresh, "fresh")).unionByName(part(kept, "kept"))
+    rendered = pack.agg(F.coalesce(F.sum(F.size(F.split("rendered", ","))), F.lit(0)).alias("n")).select(F.lit("rendered").alias("what"), "n")
+    n = {w: F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)) for w in ("found", "unseen", "fresh", "kept", "rendered")}
+    return counts.unionByName(rendered).agg(
+        n["found"].alias("candidates"), (n["found"] - n["unseen"]).alias("dedup_skipped"), (n["unseen"] - n["fresh"]).alias("snapshot_skipped"), (n["fresh"] - n["kept"]).alias("folded"), (n["kept"] - n["rendered"]).alias("budget_skipped"), n["rendered"].alias("injected"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from recollex.functions.text import micros, strip_paragraphs
+from recollex.functions.text import micros, strip_paragraphs, summary
 from recollex.operators.entries import latest
 
 #: The plugin whose own messages are skipped, as the events name it.
@@ -51,6 +51,26 @@ def latest_routes(events: DataFrame) -> DataFrame:
     return last.select("session_id", "r.provider", "r.model").where("provider <> '' and model <> ''")
 
 
+def summary_memories(events: DataFrame) -> DataFrame:
+    """Memories that compactions leave: kind insight, importance 7, tagged session-summary, the summary cut to 2,000
+    characters with a note; blank summaries leave none."""
+    rows = events.where("event_type = 'compaction/summary'").withColumn("cut", summary("text")).where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
+    return rows.select(
+        "session_id", "seq", F.lit("insight").alias("kind"), F.concat(F.lit("会话摘要："), "cut").alias("content"), F.lit(7.0).alias("importance"), F.lit("session-summary").alias("tags"),
+        F.array_join(F.coalesce("shadowed_seqs", F.array().cast("array<bigint>")), ",").alias("event_seqs"), F.substring("cut", 1, 400).alias("excerpt"))
+
+
+def closing_memories(events: DataFrame, entries: DataFrame) -> DataFrame:
+    """Memories that closed sessions leave: one per session with when it closed, if known, and what it produced, of
+    importance 5, tagged snapshot."""
+    closed = events.where("event_type = 'agent/disposed'").groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("event_time", "seq").alias("at"))
+    made = closed.join(session_rollup(entries), "session_id", "left").fillna(0, ["memories", "summaries"])
+    at = F.coalesce(F.concat(F.lit("（"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(" 结束）")), F.lit(""))
+    produced = F.concat(F.lit("，期间产生记忆 "), F.col("memories").cast("string"), F.lit(" 条（含会话摘要 "), F.col("summaries").cast("string"), F.lit(" 份）。"))
+    content = F.concat(F.lit("会话快照：会话 "), "session_id", at, produced, F.lit("可用 memory_search kind=insight 检索本会话的摘要内容。"))
+    return made.select("session_id", "seq", F.lit("insight").alias("kind"), content.alias("content"), F.lit(5.0).alias("importance"), F.lit("snapshot").alias("tags"))
+
+
 def numbered(rows: DataFrame, key: list[str], at: str, width: int, *order: str) -> DataFrame:
     """Rows with `_n`, their number from 1 within the key.
 

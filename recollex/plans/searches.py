@@ -84,6 +84,12 @@ def context_pack(spark, d):
     return context.context_pack(ranked, context.snapshot(entries(spark, d), None), budget=1200)
 
 
+def pack_counts(spark, d):
+    found = search.keyword_search(visible(spark, d), SEARCHES["q1"], NOW)
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id")))  # of 8 rows
+    return context.pack_counts(ranked, ranked.where("rank = 1"), context.snapshot(entries(spark, d), None), budget=1200)
+
+
 def render_catalog(spark, d):
     """The catalog of the snapshot's memories."""
     rows = context.tiered_lines(context.snapshot(entries(spark, d), None).withColumn("relevance", F.lit(0.5)))
@@ -152,6 +158,7 @@ QUERIES = {
     "recall_at_k": (recall_at_k, None),
     "recall_minus_snapshot": (recall_minus_snapshot, S.with_(*_V, _SEARCH, _SNAPSHOT) + "SELECT query, id FROM found WHERE id NOT IN (SELECT id FROM snap)"),
     "context_pack": (context_pack, None),
+    "pack_counts": (pack_counts, None),
     "render_catalog": (render_catalog, None),
     "vector_missing": (vector_missing, S.with_(*_X) + "SELECT id FROM shown WHERE id NOT IN (SELECT memory_id FROM held)"),
     "vector_coverage": (vector_coverage, S.with_(*_X, _COVERAGE) + "SELECT * FROM cov"),

@@ -43,6 +43,14 @@ def injection_visible(spark, d):
     return se.injection_visible(events(spark, d))
 
 
+def summary_memories(spark, d):
+    return se.summary_memories(events(spark, d))
+
+
+def closing_memories(spark, d):
+    return se.closing_memories(events(spark, d), entries(spark, d))
+
+
 def access_throttle(spark, d):
     return se.throttled(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 3600)
 
@@ -89,6 +97,16 @@ QUERIES = {
         injection_visible,
         S.with_(S.EVENTS) + f"SELECT session_id, seq, NOT EXISTS (SELECT 1 FROM once c WHERE c.session_id = o.session_id AND c.event_type = 'compaction/summary' AND c.seq > o.seq AND o.seq <= c.shadowed_end) AS visible FROM once o WHERE event_type = 'user/message' AND source_kind = 'plugin' AND source_plugin = '{se.OWN_PLUGIN}'",
     ),
+    "summary_memories": (
+        summary_memories,
+        S.with_(S.EVENTS, f"c AS (SELECT *, CASE WHEN length(text) > 2000 THEN concat(substring(text, 1, 2000), '…[摘要已截断，原文 ', length(text), ' 字符]') ELSE text END AS cut FROM once WHERE event_type = 'compaction/summary' AND trim({S.one_spaced('text')}) <> '')")
+        + "SELECT session_id, seq, 'insight' AS kind, concat('会话摘要：', cut) AS content, 7.0::DOUBLE AS importance, 'session-summary' AS tags, coalesce(array_to_string(shadowed_seqs, ','), '') AS event_seqs, substring(cut, 1, 400) AS excerpt FROM c",
+    ),
+    "closing_memories": (
+        closing_memories,
+        S.with_(S.ENTRIES, S.EVENTS, "r AS (SELECT session_id, count(*) AS memories, count_if(coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries GROUP BY 1)", "c AS (SELECT session_id, max(seq) AS seq, arg_max(event_time, seq) AS at_ FROM once WHERE event_type = 'agent/disposed' GROUP BY 1)")
+        + "SELECT c.session_id, seq, 'insight' AS kind, concat('会话快照：会话 ', c.session_id, coalesce('（' || strftime(at_, '%Y-%m-%dT%H:%M:%S.%g') || 'Z 结束）', ''), '，期间产生记忆 ', coalesce(memories, 0), ' 条（含会话摘要 ', coalesce(summaries, 0), ' 份）。可用 memory_search kind=insight 检索本会话的摘要内容。') AS content, 5.0::DOUBLE AS importance, 'snapshot' AS tags FROM c LEFT JOIN r ON r.session_id = c.session_id",
+    ),
     "access_throttle": (access_throttle, None),
     "snapshot_rebuilds": (snapshot_rebuilds, None),
     "ext_tumbling_events": (ext_tumbling_events, "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"),

@@ -165,3 +165,14 @@ def test_messages_and_picked_words(spark):
     rows = spark.sql("select array(named_struct('source_kind', 'user', 'blocks', array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'image', 'text', 'b'))), named_struct('source_kind', 'plugin', 'blocks', array(named_struct('type', 'text', 'text', 'c'))), named_struct('source_kind', 'user', 'blocks', array(named_struct('type', 'text', 'text', 'd')))) as m")
     assert rows.select(text.user_text("m")).first()[0] == "a\nd"
     assert one(spark, text.pick_words("t", ["the", "of"]), t=["the", "end", "of", "all", "things"]) == ["end", "all"]
+
+
+def test_settings():
+    from recollex.config import Settings
+
+    environment = {"RECOLLEX_EMBEDDING_DIM": "128", "KEY": "k", "RECOLLEX_JUDGE_MODEL": "m"}
+    found = Settings.load({"embedding_key": "env:KEY", "judge_model": "given"}, environment)
+    assert (found.embedding_dim, found.embedding_key, found.judge_model) == (128, "k", "given")
+    for bad in ({"odd": 1}, {"embedding_dim": "x"}, {"judge_temperature": 3}):
+        with pytest.raises(ValueError):
+            Settings.load(bad, {})
