@@ -332,13 +332,15 @@ def abuse_scores(documents: DataFrame, scratch) -> DataFrame:
     misses = found.where(F.size("hits") > 0).select("doc_id", F.explode("hits.misspelled").alias("misspelled")).where("misspelled <> ''")
     limit = max(ORDINARY_LEAST, size * ORDINARY / 1000)
     ordinary = misses.distinct().groupBy("misspelled").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("misspelled", F.lit(True).alias("ordinary"))
-    flat = found.where(F.size("hits") > 0).select("doc_id", F.inline("hits")).join(ordinary, "misspelled", "left").where("ordinary is null")
-    logs = F.sum(F.log1p(-F.col("weight")))
-    quoted = F.coalesce(F.sum(F.when(F.col("quoted"), F.log1p(-F.col("weight")))), F.lit(0.0))
-    by_document = flat.groupBy("doc_id").agg(
-        (1 - F.exp(logs)).alias("score"), (1 - F.exp(quoted)).alias("quoted_score"), F.max_by("category", F.struct("weight", "category")).alias("category"), F.array_sort(F.collect_set("term")).alias("terms"))
-    scored = found.select("doc_id", "source").join(by_document, "doc_id", "left")
-    return scored.select("doc_id", "source", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.round(F.coalesce("quoted_score", F.lit(0.0)), 6).alias("quoted_score"), "category", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    doubtful = F.exists("hits", lambda h: h["misspelled"] != "")
+    names = ("category", "term", "weight", "quoted", "misspelled")
+    flat = found.where(doubtful).select("doc_id", "source", F.inline("hits")).join(ordinary, "misspelled", "left")
+    mended = flat.groupBy("doc_id", "source").agg(F.collect_list(F.when(F.col("ordinary").isNull(), F.struct(*names))).alias("hits"))  # one text's hits
+    settled = found.where(~doubtful).unionByName(mended)
+    left = F.aggregate("hits", F.lit(1.0), lambda s, h: s * (1 - h["weight"]))
+    left_quoted = F.aggregate(F.filter("hits", lambda h: h["quoted"]), F.lit(1.0), lambda s, h: s * (1 - h["weight"]))
+    strongest = F.array_max(F.transform("hits", lambda h: F.struct(h["weight"].alias("weight"), h["category"].alias("category"))))
+    return settled.select("doc_id", "source", F.round(1 - left, 6).alias("score"), F.round(1 - left_quoted, 6).alias("quoted_score"), strongest["category"].alias("category"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("terms"))
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:
