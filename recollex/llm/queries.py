@@ -108,7 +108,7 @@ def _overlapping(records: DataFrame, split: Callable, least: int, threshold: tup
 def _overlaps(spark: SparkSession, directory: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     rows, scratch = table(spark, directory, "memory_entries"), Scratch(spark)
     return {
-        "content_tokens": _overlapping(rows.select(F.lower("id").alias("id"), "content_tokens"), spaced_tokens, 1, (1, 2), 0.95, scratch),
+        "content_tokens": _overlapping(rows.select(F.lower("id").alias("id"), "content_tokens"), spaced_tokens, 1, (1, 2), 0.97, scratch),
         "tags": _overlapping(rows.select(F.lower("id").alias("id"), "tags"), clean_tags, 4, (3, 5), 0.97, scratch),
     }
 
