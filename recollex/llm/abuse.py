@@ -325,7 +325,9 @@ def abuse_scores(documents: DataFrame, scratch) -> DataFrame:
 
     quoted_score is the part of the score that repeated messages alone would have;
     category is the one with the greatest weight, null without hits; terms are the
-    distinct terms found.  `documents` is (doc_id, source, text).
+    distinct terms found.  `documents` is (doc_id, source, text), doc_id unique; other columns
+    are ignored.  Null, empty and wordless texts score 0, texts of any length are read
+    whole, an empty table has no scores; a null source stays null.
     """
     found = scratch.keep(documents.select("doc_id", plain_source("source").alias("source"), "text").mapInArrow(_hits(), f"doc_id bigint, source string, hits {HIT}"))
     size = found.count()

@@ -77,7 +77,11 @@ def mixing_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def drawn(sized: DataFrame, rates: DataFrame, scratch: Scratch, seed: int = 17) -> DataFrame:
-    """(mix_name, source, doc_id, copies, n_tokens): documents that are in a mix, and how often."""
+    """(mix_name, source, doc_id, copies, n_tokens): documents that are in a mix, and how often.
+
+    `sized` is (doc_id, source, n_tokens), other columns are ignored.  Documents without tokens or
+    source are in no mix; a mix asked of an empty table is empty; no copies exceed `max_repeats`.
+    """
     rates = scratch.keep(rates.where("rate > 0").select("mix_name", "source", "rate"))
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)

@@ -89,7 +89,12 @@ def similar_texts(records: DataFrame, scratch: Scratch, threshold: tuple[int, in
 
 
 def near_duplicates(records: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """(id_a, id_b) of every pair of ids with similar texts, exact copies included."""
+    """(id_a, id_b), id_a < id_b, once each: every pair of ids with similar texts, exact copies included.
+
+    `records` is (id, text) in this order, other columns are ignored.  Nulls, blank and wordless
+    texts and null ids form no pair, repeated rows count once, an id with several texts pairs by
+    any of them.  Texts of any length are compared whole.
+    """
     pairs, members, _ = similar_texts(records, scratch, **options)
     return between_ids(pairs, members)
 

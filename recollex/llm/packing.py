@@ -174,7 +174,8 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def packed(sized: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, container_id, position, doc_id, piece, n_tokens): where every text lies.
 
-    `sized` is (doc_id, n_tokens), kept; texts without tokens lie nowhere.  Pieces count
+    `sized` is (doc_id, n_tokens), kept, doc_id unique; other columns are ignored.  Texts without
+    tokens, by a null or 0, lie nowhere; an empty table fills nothing.  Pieces count
     from 0; a text has more than one only if it exceeds the capacity.  `containers` is the
     small table of kinds (no more than 1,000 rows); kinds without a positive capacity are left out.
     """

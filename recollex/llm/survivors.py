@@ -97,9 +97,11 @@ def _best(trust: str) -> Column:
 def choose_suppliers(members: DataFrame, bundles: list[Bundle], dependencies: list[Dependency] = ()) -> DataFrame:
     """(group, <bundle>_id ...): for every group the member that supplies each bundle.
 
-    `members` has group, id, and what the trusts and dependencies name; an id may
-    have several rows.  A bundle that no member offers, by a null or NaN trust, has
-    a null supplier.  Rows with a null group are left out.
+    `members` has group, id, and what the trusts and dependencies name; other columns are
+    ignored, but for names that begin with trust_ or allowed_, which are replaced.  An id may
+    have several rows, its best counts.  Of equal trusts the least id wins.  A bundle that no
+    member offers, by a null or NaN trust, has a null supplier.  Rows with a null group are
+    left out; no rows give no groups.
     """
     rows = members.where("`group` is not null")
     for b in bundles:

@@ -151,10 +151,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def usable_vectors(rows: DataFrame, dim: int) -> DataFrame:
     """(id, key, vector): of rows (id, embedding, at) the latest usable one per id.
 
-    Usable are `dim` finite numbers, not all zero.  Of equal or null times the greatest
-    bytes win, a time wins over a null.  key is a 64-bit hash of the id.
+    Usable are `dim` finite numbers, not all zero; a null vector, one of another length, with a
+    null, NaN or infinite number, or of a null id is left out.  Of equal or null times the
+    greatest bytes win, a time wins over a null; repeated rows count once.  Other columns
+    are ignored.  key is a 64-bit hash of the id.
     """
-    unit = rows.where("id is not null").mapInArrow(_unit(dim), f"id string, at {dict(rows.dtypes)['at']}, vector binary")
+    unit = rows.select("id", "embedding", "at").where("id is not null").mapInArrow(_unit(dim), f"id string, at {dict(rows.dtypes)['at']}, vector binary")
     latest = unit.groupBy("id").agg(F.max(F.struct("at", "vector")).alias("latest"))
     return latest.select("id", F.xxhash64("id").alias("key"), F.col("latest.vector").alias("vector"))
 
@@ -199,7 +201,11 @@ def _search(dim: int, k: int, least: float) -> Callable:
 
 def nearest(vectors: DataFrame, dim: int, k: int, least: float = -1.0, trees: int = TREES) -> DataFrame:
     """(key, neighbour, cosine): for every vector of (key, vector) its k most similar others
-    with a cosine of `least` or more, of those the forest finds.  Equal cosines are ranked by key."""
+    with a cosine of `least` or more, of those the forest finds.
+
+    Equal cosines are ranked by key, so of many equal vectors each has k others.  A vector
+    without a neighbour has no row; an empty table gives none.
+    """
     strings = vectors.select("key", "vector").mapInArrow(_strings(trees, dim), "string bigint, key bigint, vector binary")
     ordered = strings.repartitionByRange("string", "key").sortWithinPartitions("string", "key")
     found = ordered.mapInArrow(_search(dim, k, least), "key bigint, neighbour bigint, cosine float")

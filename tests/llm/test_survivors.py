@@ -27,6 +27,11 @@ def test_dependency_between_bundles(spark):
     assert found == {"g": ("b", "b", "b"), "h": ("c", "c", "c")}
 
 
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([("g", "a", 1, 1.0, "s1", "w1", 1.0, 1.0)], MEMBERS).selectExpr("*", "0 as trust_content", "0 as feasible", "0 as bundle", "0 as allowed", "0 as most_place", "0 as content_id")
+    assert [tuple(r) for r in choose_suppliers(rows, [TEXT, ORIGIN, PLACE], [RULE]).collect()] == [("g", "a", "a", "a")]
+
+
 def test_branch_and_bound_equals_trying_all():
     rng = random.Random(3)
     for _ in range(60):

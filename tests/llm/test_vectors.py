@@ -47,6 +47,11 @@ def test_many_equal_vectors(spark):
     assert len(near) == 400 and {r["count"] for r in near} == {5}
 
 
+def test_other_columns_and_their_order(spark):
+    rows = spark.createDataFrame([("k", "2026-01-01", [1.0] * 128, "x", 3)], "key string, at string, embedding array<float>, id string, vector int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert [r.id for r in usable_vectors(rows, 128).collect()] == ["x"]
+
+
 def test_packing_is_close():
     vectors = np.random.default_rng(0).standard_normal((50, 127))
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
