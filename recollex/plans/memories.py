@@ -217,7 +217,7 @@ QUERIES = {
     "keyset_page": (keyset_page, _q("SELECT id FROM entries WHERE (created_at, id) < (TIMESTAMP '2025-12-01 00:00:00', '8') ORDER BY created_at DESC, id DESC LIMIT 200")),
     "list_by_session": (list_by_session, _q("SELECT id, session_id, status FROM entries WHERE session_id = (SELECT min(session_id) FROM memory_entries)")),
     "list_by_importance": (list_by_importance, V + f"SELECT id, round({S.EFFECTIVE}, 6) AS effective FROM visible ORDER BY {S.EFFECTIVE} DESC, created_at DESC NULLS LAST, id LIMIT 50"),
-    "memory_stats": (memory_stats, _q("SELECT count(*) AS total, count_if(status = 'active') AS active, count_if(status = 'archived') AS archived, count_if(superseded_by IS NOT NULL) AS superseded, " + ", ".join(f"count_if(kind = '{k}') AS kind_{k}" for k in en.KINDS) + " FROM entries")),
+    "memory_stats": (memory_stats, _q("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE superseded_by IS NOT NULL) AS superseded, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS kind_{k}" for k in en.KINDS) + " FROM entries")),
     "facet_values": (facet_values, _q("SELECT facet, value, count(*) AS n FROM (SELECT 'workspace' AS facet, workspace AS value FROM entries UNION ALL SELECT 'tag', unnest(tags) FROM entries) WHERE value IS NOT NULL GROUP BY 1, 2")),
     "facet_filter": (facet_filter, _q("SELECT id, kind FROM entries WHERE kind IN ('fact', 'todo') AND list_has_any(tags, ['build', 'docs'])")),
     "audit_trail": (audit_trail, _q("SELECT id, i - 1 AS position, a.\"action\" AS \"action\", epoch_us(a.\"at\") AS at_us, a.\"by\" AS \"by\", a.detail AS detail FROM (SELECT id, unnest(audit) AS a, generate_subscripts(audit, 1) AS i FROM entries)")),

@@ -186,7 +186,7 @@ def _candidates(newer: str) -> str:
 
 
 _CONF = "CASE WHEN NOT isnan(confidence) AND NOT isinf(confidence) THEN confidence END"
-_HIST = f"hist AS (SELECT count(*) AS edges, round(avg(c), 6) AS mean_confidence, count_if(c < 0.55) AS below_55, count_if(c >= 0.55 AND c < 0.75) AS below_75, count_if(c >= 0.75 AND c < 0.9) AS below_90, count_if(c >= 0.9) AS from_90 FROM (SELECT {_CONF} AS c FROM edge_set))"
+_HIST = f"hist AS (SELECT count(*) AS edges, round(avg(c), 6) AS mean_confidence, count(*) FILTER (WHERE c < 0.55) AS below_55, count(*) FILTER (WHERE c >= 0.55 AND c < 0.75) AS below_75, count(*) FILTER (WHERE c >= 0.75 AND c < 0.9) AS below_90, count(*) FILTER (WHERE c >= 0.9) AS from_90 FROM (SELECT {_CONF} AS c FROM edge_set))"
 _REASON = (
     "CASE WHEN source_id = target_id THEN 'loop' WHEN s.id IS NULL OR t.id IS NULL THEN 'unknown' WHEN s.status <> 'active' OR t.status <> 'active' THEN 'inactive' WHEN s.superseded_by IS NOT NULL OR t.superseded_by IS NOT NULL THEN 'superseded' "
     "WHEN s.workspace IS DISTINCT FROM t.workspace THEN 'workspace' WHEN coalesce({c} < 0.55, true) THEN 'confidence' END"
@@ -248,7 +248,7 @@ QUERIES = {
     "reflection_candidates": (reflection_candidates, _candidates("true")),
     "reflection_incremental": (reflection_incremental, _candidates("(created_at, id) > (TIMESTAMP '2026-01-10 00:00:00', '0')")),
     "balanced_json": (balanced_json, None),
-    "load_quarantine": (load_quarantine, S.with_(_ANSWERS) + "SELECT judge, count(*) AS rows, count_if(j IS NULL) AS bad FROM ans GROUP BY 1"),
+    "load_quarantine": (load_quarantine, S.with_(_ANSWERS) + "SELECT judge, count(*) AS rows, count(*) FILTER (WHERE j IS NULL) AS bad FROM ans GROUP BY 1"),
     "parse_extraction": (
         parse_extraction,
         S.with_(_ANSWERS, _items("memories"))
@@ -260,10 +260,10 @@ QUERIES = {
     "reflection_apply": (reflection_apply, S.with_(_E, *_DECISIONS, _APPLY) + "SELECT output_id, position, action_ AS \"action\", o AS outcome, CASE WHEN o IN ('merge', 'archive') THEN CASE WHEN fnew THEN fid ELSE pid END END AS keep_id, CASE WHEN o IN ('merge', 'archive') THEN CASE WHEN fnew THEN pid ELSE fid END END AS drop_id FROM app"),
     "reflection_cumulative": (
         reflection_cumulative,
-        S.with_(*_DECISIONS, "rounds AS (SELECT CAST(recorded_at AS DATE) AS round, count(*) AS decisions, count_if(action_ = 'none') AS skipped FROM dec WHERE recorded_at IS NOT NULL GROUP BY 1)", "run AS (SELECT *, sum(CASE WHEN decisions > skipped THEN 1 ELSE 0 END) OVER (ORDER BY round) AS runs FROM rounds)")
+        S.with_(*_DECISIONS, "rounds AS (SELECT CAST(recorded_at AS DATE) AS round, count(*) AS decisions, count(*) FILTER (WHERE action_ = 'none') AS skipped FROM dec WHERE recorded_at IS NOT NULL GROUP BY 1)", "run AS (SELECT *, sum(CASE WHEN decisions > skipped THEN 1 ELSE 0 END) OVER (ORDER BY round) AS runs FROM rounds)")
         + "SELECT CAST(round AS VARCHAR) AS round, decisions, skipped, CAST(sum(decisions) OVER (ORDER BY round) AS BIGINT) AS total_decisions, CAST(sum(skipped) OVER (ORDER BY round) AS BIGINT) AS total_skipped, CAST(sum(CASE WHEN decisions > skipped THEN 0 ELSE 1 END) OVER (PARTITION BY runs ORDER BY round) AS BIGINT) AS empty_rounds FROM run",
     ),
-    "skip_rate": (skip_rate, S.with_(_E, *_DECISIONS, _APPLY) + "SELECT count(*) AS decisions, count_if(o LIKE 'skip%') AS skipped, round(count_if(o LIKE 'skip%') / (count(*) + count_if(o LIKE 'skip%')), 6) AS panel_rate, round(count_if(o LIKE 'skip%') / count(*), 6) AS rate FROM app"),
+    "skip_rate": (skip_rate, S.with_(_E, *_DECISIONS, _APPLY) + "SELECT count(*) AS decisions, count(*) FILTER (WHERE o LIKE 'skip%') AS skipped, round(count(*) FILTER (WHERE o LIKE 'skip%') / (count(*) + count(*) FILTER (WHERE o LIKE 'skip%')), 6) AS panel_rate, round(count(*) FILTER (WHERE o LIKE 'skip%') / count(*), 6) AS rate FROM app"),
     "confidence_hist": (confidence_hist, S.with_(S.EDGES, _HIST) + "SELECT * FROM hist"),
     "adaptive_confidence": (adaptive_confidence, S.with_(S.EDGES, _HIST) + "SELECT below_55, below_75, CAST(CASE WHEN below_55 > 1.5 * below_75 AND below_55 > 3 THEN 0.5 WHEN below_75 > below_55 AND below_75 > 3 THEN 0.6 ELSE 0.55 END AS DOUBLE) AS least_confidence FROM hist"),
     "causal_neighbors": (

@@ -81,7 +81,7 @@ _O = (S.EVENTS, _SAID, _SPOKEN)
 
 QUERIES = {
     "session_transcript": (session_transcript, S.with_(*_O) + f"SELECT session_id, CAST(floor(seq / {se.PART}.0) AS BIGINT) AS part, count(*) AS messages, string_agg(said, chr(10) ORDER BY seq) AS transcript FROM spoken GROUP BY 1, 2"),
-    "session_rollup": (session_rollup, S.with_(S.ENTRIES) + "SELECT session_id, count(*) AS memories, count_if(coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries WHERE session_id IS NOT NULL GROUP BY 1"),
+    "session_rollup": (session_rollup, S.with_(S.ENTRIES) + "SELECT session_id, count(*) AS memories, count(*) FILTER (WHERE coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries WHERE session_id IS NOT NULL GROUP BY 1"),
     "latest_route": (latest_route, S.with_(S.EVENTS) + "SELECT session_id, provider, model FROM (SELECT * FROM once WHERE event_type = 'request/header' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) = 1) WHERE provider <> '' AND model <> ''"),
     "rolling_query": (
         rolling_query,
@@ -104,7 +104,7 @@ QUERIES = {
     ),
     "closing_memories": (
         closing_memories,
-        S.with_(S.ENTRIES, S.EVENTS, "r AS (SELECT session_id, count(*) AS memories, count_if(coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries GROUP BY 1)", "c AS (SELECT session_id, max(seq) AS seq, arg_max(event_time, seq) AS at_ FROM once WHERE event_type = 'agent/disposed' GROUP BY 1)")
+        S.with_(S.ENTRIES, S.EVENTS, "r AS (SELECT session_id, count(*) AS memories, count(*) FILTER (WHERE coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries GROUP BY 1)", "c AS (SELECT session_id, max(seq) AS seq, arg_max(event_time, seq) AS at_ FROM once WHERE event_type = 'agent/disposed' GROUP BY 1)")
         + "SELECT c.session_id, seq, 'insight' AS kind, concat('会话快照：会话 ', c.session_id, coalesce('（' || strftime(at_, '%Y-%m-%dT%H:%M:%S.%g') || 'Z 结束）', ''), '，期间产生记忆 ', coalesce(memories, 0), ' 条（含会话摘要 ', coalesce(summaries, 0), ' 份）。可用 memory_search kind=insight 检索本会话的摘要内容。') AS content, 5.0::DOUBLE AS importance, 'snapshot' AS tags FROM c LEFT JOIN r ON r.session_id = c.session_id",
     ),
     "access_throttle": (access_throttle, None),
