@@ -310,3 +310,36 @@ def test_kept_tables_survive_and_are_cleared(spark):
     clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
         kept.count()
+
+
+def test_events_become_memories(spark, tmp_path):
+    from recollex.streaming.ingest import log_sink
+
+    rows = [said("s1", 1, "we decided to use parquet " * 90), mark("s1", 2, "turn/end"), said("s2", 1, "short"), mark("s2", 2, "agent/disposed"), said("s3", 1, "nothing here"), mark("s3", 2, "agent/disposed")]
+    events(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls = str(tmp_path / "calls")
+
+    def judge(prompt):
+        import os
+
+        if "parquet" in prompt and not os.path.exists(calls):
+            open(calls, "w").close()
+            raise RuntimeError("the model is down")
+        if "parquet" in prompt:
+            return 'ok: {"memories": [{"kind": "decision", "content": "Use Parquet", "importance": 8, "tags": ["db"]}, {"kind": "fact", "content": "x", "importance": 0}]}'
+        return '{"memories": [{"kind": "fact", "content": "Known thing", "importance": 9}]}' if "short" in prompt else "no JSON"
+
+    entries = frame(spark, [memory("known", workspace="default", content="known  thing", importance=2.0)])
+    spaces = spark.createDataFrame([("s1", "w1")], "session_id string, workspace string")
+    sink = log_sink(spark, entries, spaces, judge, str(tmp_path / "log"), NOW)
+
+    def run():
+        ex.run_available(ex.extraction_batches(ex.read_events(spark, str(tmp_path / "in"))), sink, str(tmp_path / "cp"))
+
+    with pytest.raises(Exception, match="the model is down"):
+        run()
+    run()
+    found = {(r.op, r.content, r.workspace, r.importance) for r in stores.read_log(spark, str(tmp_path / "log")).collect()}
+    assert found == {("create", "Use Parquet", "w1", 8.0), ("update", None, None, 9.0)}
+    run()
+    assert stores.read_log(spark, str(tmp_path / "log")).count() == 2
