@@ -57,23 +57,29 @@ def _members(spark: SparkSession, directory: str, scratch: Scratch, *columns: st
     return rows.join(groups, "id")
 
 
+BUNDLES = [TEXT, RATING, TIMES, ORIGIN, PLACE]
+
+
+def _chosen(spark: SparkSession, directory: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members of the groups, and the supplier of each bundle."""
+    members = scratch.keep(_members(spark, directory, scratch, "importance", "updated_at", "session_id", "source", "workspace", "status"))
+    return members, choose_suppliers(members, BUNDLES, [ONE_PLACE])
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """The member of each group of near-duplicates that supplies content, importance and updated_at."""
-    members = _members(spark, directory, Scratch(spark), "importance", "updated_at")
-    chosen = choose_suppliers(members, [TEXT, RATING, TIMES])
-    return chosen.withColumnRenamed("group", "group_id")
+    _, chosen = _chosen(spark, directory, Scratch(spark))
+    return chosen.select(F.col("group").alias("group_id"), "content_id", "importance_id", "updated_id")
 
 
 def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
     """The surviving memory of each group, its bundles chosen so that its session lies in its workspace."""
     scratch = Scratch(spark)
-    members = scratch.keep(_members(spark, directory, scratch, "importance", "updated_at", "session_id", "source", "workspace", "status"))
-    bundles = [TEXT, RATING, TIMES, ORIGIN, PLACE]
-    chosen = choose_suppliers(members, bundles, [ONE_PLACE])
+    members, chosen = _chosen(spark, directory, scratch)
     newest = table(spark, directory, "memory_entries").withColumn("id", F.lower("id")).join(members.select("id").distinct(), "id", "left_semi")
-    payload = [f for b in bundles for f in b.fields]
+    payload = [f for b in BUNDLES for f in b.fields]
     records = newest.groupBy("id").agg(F.max_by(F.struct(*payload), F.struct("ingested_at", "updated_at")).alias("r")).select("id", "r.*")
-    return assemble(chosen, scratch.keep(records), bundles).withColumnRenamed("group", "group_id")
+    return assemble(chosen, scratch.keep(records), BUNDLES).withColumnRenamed("group", "group_id")
 
 
 def _vectors(spark: SparkSession, directory: str) -> DataFrame:
