@@ -8,8 +8,9 @@ between bundles.
 
 1. A bundle that no dependency touches is decided by its best candidate: an
    aggregate with map-side partial results.
-2. Of a bundle in a dependency only the best candidate of each value matters
-   (a worse one with the same value is dominated), again an aggregate.
+2. Of a bundle in a dependency only the best candidate of each value matters, by the
+   value it has or asks of the other bundle (a worse one with the same is
+   dominated), again an aggregate.
 3. A member that itself offers all those bundles and keeps the dependencies is a
    feasible choice; a candidate whose trust plus the best of all other bundles
    stays below the best feasible choice of its group is cut before any group is
@@ -123,7 +124,8 @@ def allowed_values(rows: DataFrame, rule: Dependency) -> DataFrame:
 
 
 def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> DataFrame:
-    values = {b.name: sorted({r.field for r in rules if r.of == b.name} | {r.on_field for r in rules if r.on == b.name}) for b in bundles}
+    held = {b.name: sorted({r.on_field for r in rules if r.on == b.name}) for b in bundles}
+    asked = {b.name: [f"allowed_{i}" for i, r in enumerate(rules) if r.of == b.name] for b in bundles}
     for i, rule in enumerate(rules):
         allowed = allowed_values(rows, rule).select(F.col("deciding").alias(f"_d{i}"), F.col("decided").alias(f"allowed_{i}"))
         rows = rows.join(allowed, F.col(rule.field).cast("string") == F.col(f"_d{i}"), "left").drop(f"_d{i}")
@@ -140,31 +142,31 @@ def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> D
     others = {b.name: sum((F.coalesce(F.col(f"most_{o.name}"), F.lit(0.0)) for o in bundles if o is not b), F.lit(0.0)) for b in bundles}
     offered = None
     for b in bundles:
-        as_map = F.map_from_arrays(F.array(*[F.lit(v) for v in values[b.name]]), F.array(*[F.col(v).cast("string") for v in values[b.name]]))
-        decided = [f"allowed_{i}" for i, r in enumerate(rules) if r.of == b.name]
-        mine = rows.where(F.col(f"trust_{b.name}").isNotNull()).groupBy("group", *values[b.name]).agg(
-            F.max(f"trust_{b.name}").alias("trust"), _best(f"trust_{b.name}").alias("id"), *[F.first(c).alias(c) for c in decided])
-        mine = mine.withColumn("values", as_map).join(bounds, "group").where(F.col("feasible").isNull() | (F.col("trust") + others[b.name] >= F.col("feasible")))
-        allowed = F.map_from_arrays(F.array(*[F.lit(str(i)) for i, r in enumerate(rules) if r.of == b.name]).cast("array<string>"), F.array(*[F.col(c) for c in decided]).cast("array<string>"))
-        mine = mine.select("group", F.lit(b.name).alias("bundle"), "trust", "id", "values", allowed.alias("allowed"))
+        telling = held[b.name] + asked[b.name]
+        as_map = F.map_from_arrays(F.array(*[F.lit(v) for v in telling]), F.array(*[F.col(v).cast("string") for v in telling]))
+        best = rows.where(F.col(f"trust_{b.name}").isNotNull()).groupBy("group", *telling).agg(F.max(f"trust_{b.name}").alias("trust"), _best(f"trust_{b.name}").alias("id"))
+        mine = best.withColumn("values_", as_map).join(bounds, "group").where(F.col("feasible").isNull() | (F.col("trust") + others[b.name] >= F.col("feasible")))
+        mine = mine.select("group", F.lit(b.name).alias("bundle"), "trust", "id", "values_")
         offered = mine if offered is None else offered.unionByName(mine)
     names = [b.name for b in bundles]
 
+    within = [Dependency(r.of, f"allowed_{i}", r.on, r.on_field) for i, r in enumerate(rules)]
+
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         offers: dict = {}
         maps: list[dict] = [{} for _ in rules]
         for o in part.itertuples():
             v = dict(o.values_)
             offers.setdefault(o.bundle, []).append((float(o.trust), o.id, v))
-            for i, to in dict(o.allowed or {}).items():
-                if to is not None:
-                    maps[int(i)][v[rules[int(i)].field]] = to
-        chosen = best_combination(offers, list(zip(rules, maps)))
+            for i, rule in enumerate(within):
+                if v.get(rule.field) is not None:
+                    maps[i][v[rule.field]] = v[rule.field]
+        chosen = best_combination(offers, list(zip(within, maps)))
         return pd.DataFrame([[key[0], *[chosen.get(n) for n in names]]], columns=["group", *[f"{n}_id" for n in names]])
 
     kind = dict(rows.dtypes)["group"]
     schema = f"`group` {kind}, " + ", ".join(f"{n}_id string" for n in names)
-    return offered.withColumnRenamed("values", "values_").groupBy("group").applyInPandas(solve, schema)
+    return offered.groupBy("group").applyInPandas(solve, schema)
 
 
 def assemble(suppliers: DataFrame, records: DataFrame, bundles: list[Bundle]) -> DataFrame:

@@ -55,3 +55,28 @@ def test_survivors_are_built_from_suppliers(spark):
     records = spark.createDataFrame([("a", "long text", 1.0), ("b", "short", 9.0)], "id string, body string, importance double")
     row = assemble(choose_suppliers(rows, [TEXT, RATING]), records, [TEXT, RATING]).first()
     assert (row.body, row.importance, row.content_id, row.rating_id) == ("long text", 9.0, "a", "b")
+
+
+def test_ruled_bundles_equal_trying_all(spark):
+    rng = random.Random(11)
+    rows = [(f"g{rng.randrange(25)}", f"m{n:03d}", 1, 1.0, f"s{rng.randrange(6)}", rng.choice(["w0", "w1", "w2", None]), rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, 1.0, 2.0])) for n in range(120)]
+    counts = {}
+    for _, _, _, _, s, w, _, _ in rows:
+        if w is not None:
+            counts.setdefault(s, {}).setdefault(w, 0)
+            counts[s][w] += 1
+    allowed = {s: min(c, key=lambda w: (-c[w], w)) for s, c in counts.items()}
+    wanted = {}
+    for g in {r[0] for r in rows}:
+        members = [r for r in rows if r[0] == g]
+        origins, places = [r for r in members if r[6] is not None], [r for r in members if r[7] is not None]
+        both = [(-(o[6] + p[7]), o[1], p[1]) for o in origins for p in places if o[4] not in allowed or allowed[o[4]] == p[5]]
+        best_o, best_p = min(((-o[6], o[1]) for o in origins), default=None), min(((-p[7], p[1]) for p in places), default=None)
+        if both:
+            wanted[g] = min(both)[1:]
+        elif best_o and best_p:  # the less trusted bundle is left out, origin before place if equal
+            wanted[g] = (None, best_p[1]) if (-best_o[0], "origin") < (-best_p[0], "place") else (best_o[1], None)
+        else:
+            wanted[g] = (best_o[1] if best_o else None, best_p[1] if best_p else None)
+    found = {r.group: (r.origin_id, r.place_id) for r in choose_suppliers(spark.createDataFrame(rows, MEMBERS).repartition(3), [TEXT, ORIGIN, PLACE], [RULE]).collect()}
+    assert found == wanted
