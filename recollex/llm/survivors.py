@@ -20,11 +20,14 @@ between bundles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recollex.sources.shared import shuffle_width
+
 
 @dataclass(frozen=True)
 class Bundle:
@@ -152,21 +155,33 @@ def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> D
 
     within = [Dependency(r.of, f"allowed_{i}", r.on, r.on_field) for i, r in enumerate(rules)]
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        offers: dict = {}
-        maps: list[dict] = [{} for _ in rules]
-        for o in part.itertuples():
-            v = dict(o.values_)
-            offers.setdefault(o.bundle, []).append((float(o.trust), o.id, v))
-            for i, rule in enumerate(within):
-                if v.get(rule.field) is not None:
-                    maps[i][v[rule.field]] = v[rule.field]
+    def solved(group, offers: dict, maps: list[dict]) -> list:
         chosen = best_combination(offers, list(zip(within, maps)))
-        return pd.DataFrame([[key[0], *[chosen.get(n) for n in names]]], columns=["group", *[f"{n}_id" for n in names]])
-
+        return [group, *[chosen.get(n) for n in names]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["group", *[f"{n}_id" for n in names]]
+        group, offers, maps = None, {}, []
+        for part in parts:
+            done = []
+            for o in part.itertuples(index=False):
+                if o.group != group:
+                    if offers:
+                        done.append(solved(group, offers, maps))
+                    group, offers, maps = o.group, {}, [{} for _ in within]
+                values = dict(o.values_)
+                offers.setdefault(o.bundle, []).append((float(o.trust), o.id, values))
+                for i, rule in enumerate(within):
+                    if values.get(rule.field) is not None:
+                        maps[i][values[rule.field]] = values[rule.field]
+            yield pd.DataFrame(done, columns=columns)
+        if offers:
+            yield pd.DataFrame([solved(group, offers, maps)], columns=columns)
+
+    # Of a fixed number, so that adaptive execution doesn't join partitions that are small in bytes but not in work.
+    ordered = offered.repartition(shuffle_width(rows.sparkSession), "group").sortWithinPartitions("group")
     kind = dict(rows.dtypes)["group"]
-    schema = f"`group` {kind}, " + ", ".join(f"{n}_id string" for n in names)
-    return offered.groupBy("group").applyInPandas(solve, schema)
+    return ordered.mapInPandas(run, f"`group` {kind}, " + ", ".join(f"{n}_id string" for n in names))
 
 
 def assemble(suppliers: DataFrame, records: DataFrame, bundles: list[Bundle]) -> DataFrame:
