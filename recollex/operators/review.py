@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from recollex.sources.shared import Scratch
+from recollex.sources.shared import Scratch, shuffle_width
 
 
 def judged(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -70,4 +70,5 @@ def merge_pass(entries: DataFrame, pairs: DataFrame) -> DataFrame:
             done.append((keep, drop, importance[keep]))
         return pd.DataFrame(done, columns=["keep_id", "drop_id", "importance"])
 
-    return rows.groupBy("label").applyInPandas(run, "keep_id string, drop_id string, importance double")
+    # Of a fixed number, so that adaptive execution doesn't join partitions that are small in bytes but not in work.
+    return rows.repartition(shuffle_width(rows.sparkSession), "label").groupBy("label").applyInPandas(run, "keep_id string, drop_id string, importance double")
