@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from recollex.sources.shared import shuffle_width
+
 #: A large item needs more than this part of the capacity.
 LARGE = 12
 #: Groups of equal cardinality.
@@ -210,7 +212,9 @@ def _packed(sized: DataFrame, kind: str, capacity: int, shards: int) -> DataFram
         made["position"] = container.groupby(container).cumcount().astype("int32")
         return made[["container_id", "position", "doc_id", "piece", "n_tokens"]]
 
-    kept = rests.groupBy("shard").applyInPandas(fill, "container_id string, position int, doc_id bigint, piece bigint, n_tokens bigint")
+    # Of a number of their own, so that adaptive execution doesn't put shards, small in bytes but not in work, into one task.
+    spread = rests.repartition(max(1, min(shards, 4 * shuffle_width(sized.sparkSession))), "shard")
+    kept = spread.groupBy("shard").applyInPandas(fill, "container_id string, position int, doc_id bigint, piece bigint, n_tokens bigint")
     return cut.unionByName(kept).select(F.lit(kind).alias("container_kind"), "container_id", "position", "doc_id", "piece", "n_tokens")
 
 
