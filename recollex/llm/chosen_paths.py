@@ -85,12 +85,12 @@ def sketches(values: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray
     return out
 
 
-def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, logs: Callable, stop: float, opened: tuple | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, logs: Callable, stop: float, opened: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(record, leaf key) of all leaves of a block of sets.
 
     logs: log frequency by token; stop: log frequency of a path at which it ends.
-    opened: sorted keys of leaves to go on below, only their descendants are
-    returned; (record, key) as one structured array of the block.
+    opened: marks (key and record mixed) of all leaves to go on below, and of those
+    opened last; only descendants of the latter are returned.
     """
     sizes = np.diff(ends)
     records = np.repeat(np.arange(len(sizes)), trees)
@@ -117,9 +117,10 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, l
         taken = [*(t[parent] for t in taken), tokens]
         ended = (paths <= stop) | (depth + 1 >= DEPTH)
         if opened is not None:
-            again = np.isin(_mix(nodes + records.astype(np.uint64)), opened)
+            marks = _mix(nodes + records.astype(np.uint64))
+            again = np.isin(marks, opened[0])
             returned = ended & below & ~again
-            below |= again
+            below |= np.isin(marks, opened[1])
             ended &= ~again
         else:
             returned = ended
@@ -148,8 +149,8 @@ def _leaves(trees: int, threshold: float, heavy, least: float, stop: float) -> C
                 part, cuts = values[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
                 opened = None
                 if batch.num_columns > 2:
-                    keys, key_ends = flat_sets(batch.column(2).slice(a, b - a))
-                    opened = np.sort(_mix(keys + np.repeat(np.arange(b - a), np.diff(key_ends)).astype(np.uint64)))
+                    lists = [flat_sets(batch.column(c).slice(a, b - a)) for c in (2, 3)]
+                    opened = tuple(_mix(keys + np.repeat(np.arange(b - a), np.diff(key_ends)).astype(np.uint64)) for keys, key_ends in lists)
                 records, keys = branch(part, cuts, trees, threshold, logs, stop, opened)
                 bits = sketches(part, cuts)[records]
                 yield pa.RecordBatch.from_arrays(
@@ -185,7 +186,7 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: tuple[int, int],
     run = _leaves(trees, fraction, heavy, least, stop)
     schema = ", ".join(f"{c} bigint" for c in ("leaf", "class", *WORDS))
     leaves = sets.mapInArrow(run, schema)
-    near = None
+    near = opened = None
     for turn in range(ROUNDS + 1):
         leaves = scratch.keep(leaves)
         counts = leaves.where(F.pmod("class", F.lit(MEASURED)) == 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
@@ -196,8 +197,12 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: tuple[int, int],
         near = found if near is None else near.unionByName(found)
         if not more:
             break
-        held = leaves.join(large, "leaf", "left_semi").groupBy("class").agg(F.collect_set("leaf").alias("opened"))
-        leaves = sets.join(held, "class").select("class", "tokens", "opened").mapInArrow(run, schema)
+        # the walk starts at the root again, so it must be led through the leaves of all turns so far
+        last = scratch.keep(leaves.join(large, "leaf", "left_semi").select("class", "leaf", F.lit(turn).alias("turn")))
+        opened = last if opened is None else opened.unionByName(last)
+        latest = F.collect_set(F.when(F.col("turn") == turn, F.col("leaf"))).alias("latest")
+        held = opened.groupBy("class").agg(F.collect_set("leaf").alias("opened"), latest).where(F.size("latest") > 0)
+        leaves = sets.join(held, "class").select("class", "tokens", "opened", "latest").mapInArrow(run, schema)
     return similar(near.distinct(), sets, *threshold)
 
 

@@ -115,6 +115,17 @@ def test_large_leaves_are_split_not_dropped(spark):
     assert found <= wanted and len(found) >= 0.97 * len(wanted)
 
 
+def test_leaves_that_stay_large_over_rounds(spark):
+    rng = random.Random(6)
+    sets = {f"{i:04d}": {*(f"s{k}" for k in range(10)), f"u{i}"} for i in range(300)}
+    sets |= {f"x{i:04d}": {f"w{rng.randrange(3000)}" for _ in range(11)} for i in range(3000)}
+    frame, scratch = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], TEXTS), Scratch(spark)
+    made = similar_sets(class_sets(frame, spaced_tokens, scratch), scratch, (4, 5), 0.99)
+    found = {tuple(r) for r in between_ids(made, memberships(frame, spaced_tokens)).collect()}
+    wanted = pairs_by_force(sets, 4, 5)
+    assert len(wanted) >= 300 * 299 // 2 and len(found & wanted) == len(found) >= 0.99 * len(wanted)
+
+
 def test_chosen_paths_of_nothing(spark):
     scratch = Scratch(spark)
     rows = spark.createDataFrame([("a", None), ("b", ["x", None, " "])], "id string, tags array<string>")
