@@ -2,10 +2,13 @@
 
 In each of several trees a record starts at the root.  At a node it takes the
 branches of those of its tokens whose hash, seeded by the node, lies below
-1 / (threshold * tokens): the hash is shared, so similar records choose the same
-tokens.  Two records with similarity at the threshold share more than one branch
-in expectation, and so still meet after several levels with a chance (`survival`) that
-falls slowly; the number of trees follows from it and the target recall.
+1 / (threshold * tokens - tokens on the path): the hash is shared, so similar records
+choose the same tokens.  Two records with similarity at the threshold share more than one
+branch in expectation, also where the path has used up some of their tokens, and so still
+meet after several levels with a chance (`survival`) that falls slowly; the number of trees
+follows from it and the target recall.  Pairs that share the path's tokens and no other
+have no branch in common: at a node that goes on they are joined by size, where the sizes
+alone tell that they are similar, so this makes no row that is no result.
 
 A node becomes a leaf when its expected number of records, from the frequencies of
 the tokens on its path, is small.  The frequencies of frequent tokens are a
@@ -14,8 +17,10 @@ broadcast table: of F tokens in N records no more than F / least tokens occur
 tokens count as `least`.  Frequencies are no more than a hint: where tokens go
 together a leaf holds more records than expected.  Leaves are therefore measured,
 on one class in `MEASURED`, and records in a leaf above `LEAF_LIMIT` branch on below
-it, round by round; a leaf measured wrongly costs time, not pairs.  In a leaf every
-pair whose bit sketches are compatible is checked on the full sets.
+it, round by round.  There the branches are not drawn: a record takes its rarest tokens
+but for as many, less one, as a similar record must share with it besides the path, so
+all similar pairs of the leaf meet again and a leaf measured wrongly costs time, not pairs.
+In a leaf every pair whose bit sketches are compatible is checked on the full sets.
 A leaf that is still large after `ROUNDS` is compared by the same join; adaptive
 execution splits its partition, and no pair is left out.
 """
@@ -85,8 +90,19 @@ def sketches(values: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray
     return out
 
 
-def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, logs: Callable, stop: float, opened: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(record, leaf key) of all leaves of a block of sets.
+def _rarest(tokens: np.ndarray, parent: np.ndarray, logs: Callable, take: np.ndarray) -> np.ndarray:
+    """Marks the first `take` tokens of each parent (ascending), rare ones first; the order is the same everywhere."""
+    order = np.lexsort((tokens, logs(tokens), parent))
+    counts = np.bincount(parent, minlength=len(take))
+    rank = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts)
+    marks = np.zeros(len(tokens), dtype=bool)
+    marks[order] = rank < take[parent]
+    return marks
+
+
+def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: tuple[int, int], logs: Callable, stop: float, opened: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, key, path) of all leaves of a block of sets, path being 0, and of the nodes above
+    them where a similar set may share the path's tokens only, path being their number.
 
     logs: log frequency by token; stop: log frequency of a path at which it ends.
     opened: marks (key and record mixed) of all leaves to go on below, and of those
@@ -99,7 +115,10 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, l
     below = np.zeros(len(records), dtype=bool)
     taken: list[np.ndarray] = []
     found_records, found_keys = [], []
-    limit = np.minimum(2.0**64 / (threshold * sizes), 2.0**64 - 2048).astype(np.uint64)
+    found_paths = []
+    shared, union = threshold
+    required = -(-sizes * shared // union)  # tokens that a similar set shares at least
+    split = np.zeros(len(records), dtype=bool)
     for depth in range(DEPTH + ROUNDS):
         if not len(records):
             break
@@ -108,9 +127,16 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, l
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + ends[:-1][records][parent]
         tokens = values[at]
         keys = _mix(tokens ^ nodes[parent])
-        chosen = keys < limit[records][parent]
+        limit = np.minimum(2.0**64 / np.maximum(n * shared / union - depth, 1), 2.0**64 - 2048).astype(np.uint64)
+        chosen = keys <= limit[parent]
+        free = np.ones(len(tokens), dtype=bool)
         for earlier in taken:
-            chosen &= tokens != earlier[parent]
+            free &= tokens != earlier[parent]
+        if split.any():
+            at = np.flatnonzero(free & split[parent])
+            chosen[split[parent]] = False
+            chosen[at] = _rarest(tokens[at], parent[at], logs, n - np.maximum(required[records], depth + 1) + 1)
+        chosen &= free
         parent, tokens = parent[chosen], tokens[chosen]
         nodes = _mix(nodes[parent] * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
         paths, records, below = paths[parent] + logs(tokens), records[parent], below[parent]
@@ -120,18 +146,22 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: float, l
             marks = _mix(nodes + records.astype(np.uint64))
             again = np.isin(marks, opened[0])
             returned = ended & below & ~again
-            below |= np.isin(marks, opened[1])
+            last = np.isin(marks, opened[1])
+            below |= last
             ended &= ~again
         else:
-            returned = ended
-        found_records.append(records[returned])
-        found_keys.append(nodes[returned])
+            again, returned, last = np.zeros(len(records), dtype=bool), ended, ~ended
+        alone = last & (required[records] <= depth + 1)
+        for kind, path in ((returned, 0), (alone, depth + 1)):
+            found_records.append(records[kind])
+            found_keys.append(nodes[kind])
+            found_paths.append(np.full(kind.sum(), path, dtype=np.int32))
         go = ~ended
-        nodes, paths, records, below, taken = nodes[go], paths[go], records[go], below[go], [t[go] for t in taken]
-    return np.concatenate(found_records or [np.zeros(0, int)]), np.concatenate(found_keys or [np.zeros(0, np.uint64)])
+        nodes, paths, records, below, split, taken = nodes[go], paths[go], records[go], below[go], again[go], [t[go] for t in taken]
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((found_records, int), (found_keys, np.uint64), (found_paths, np.int32)))
 
 
-def _leaves(trees: int, threshold: float, heavy, least: float, stop: float) -> Callable:
+def _leaves(trees: int, threshold: tuple[int, int], heavy, least: float, stop: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_tokens, heavy_logs = heavy.value
 
@@ -151,11 +181,11 @@ def _leaves(trees: int, threshold: float, heavy, least: float, stop: float) -> C
                 if batch.num_columns > 2:
                     lists = [flat_sets(batch.column(c).slice(a, b - a)) for c in (2, 3)]
                     opened = tuple(_mix(keys + np.repeat(np.arange(b - a), np.diff(key_ends)).astype(np.uint64)) for keys, key_ends in lists)
-                records, keys = branch(part, cuts, trees, threshold, logs, stop, opened)
+                records, keys, paths = branch(part, cuts, trees, threshold, logs, stop, opened)
                 bits = sketches(part, cuts)[records]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(classes[a:b][records]), *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in bits.T)],
-                    ["leaf", "class", *WORDS],
+                    [pa.array(keys.view(np.int64)), pa.array(classes[a:b][records]), pa.array(paths), pa.array(np.diff(cuts)[records].astype(np.int32)), *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in bits.T)],
+                    ["leaf", "class", "path", "size", *WORDS],
                 )
 
     return run
@@ -183,18 +213,19 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: tuple[int, int],
     trees = trees_for(fraction, recall)
     heavy, least = _frequencies(sets.sparkSession, sets, max(size.n, 1), size.t or 0)
     stop = math.log(LEAF_AIM / max(size.n, LEAF_AIM))
-    run = _leaves(trees, fraction, heavy, least, stop)
-    schema = ", ".join(f"{c} bigint" for c in ("leaf", "class", *WORDS))
+    run = _leaves(trees, threshold, heavy, least, stop)
+    schema = ", ".join(["leaf bigint", "class bigint", "path int", "size int", *(f"{c} bigint" for c in WORDS)])
     leaves = sets.mapInArrow(run, schema)
     near = opened = None
     for turn in range(ROUNDS + 1):
-        leaves = scratch.keep(leaves)
+        kept = scratch.keep(leaves)
+        leaves, alone = kept.where("path = 0"), _sharing_the_path(kept.where("path > 0"), *threshold)
+        near = alone if near is None else near.unionByName(alone)
         counts = leaves.where(F.pmod("class", F.lit(MEASURED)) == 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         large = scratch.keep(counts.where(F.col("n") > LEAF_LIMIT // MEASURED).select("leaf")) if turn < ROUNDS else None
         more = large is not None and bool(large.take(1))
         now = leaves.join(large, "leaf", "left_anti") if more else leaves
-        found = _compatible(now, fraction)
-        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(_compatible(now, fraction))
         if not more:
             break
         # the walk starts at the root again, so it must be led through the leaves of all turns so far
@@ -211,3 +242,13 @@ def _compatible(leaves: DataFrame, fraction: float) -> DataFrame:
     b = leaves.select("leaf", F.col("class").alias("b"), *[F.col(w).alias(f"b_{w}") for w in WORDS])
     differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
     return a.join(b, "leaf").where(F.col("a") < F.col("b")).where(differing <= differing_bits(fraction)).select("a", "b")
+
+
+def _sharing_the_path(nodes: DataFrame, above: int, below: int) -> DataFrame:
+    """Pairs of a node that are similar if they share the tokens of its path and no other: path / (a + b - path) at the
+    threshold or above, an equality of sizes for each size the lesser can have, so only such pairs are joined."""
+    sizes = F.sequence("path", F.least(F.col("size"), F.expr(f"path * {above + below} div {above} - size").cast("int")))
+    possible = nodes.where(f"size * {above} <= path * {below}").select("leaf", F.col("class").alias("b"), F.col("size").alias("large"), F.explode(sizes).alias("size"))
+    pairs = nodes.select("leaf", F.col("class").alias("a"), "size").join(possible, ["leaf", "size"])
+    pairs = pairs.where((F.col("size") < F.col("large")) | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -126,6 +126,14 @@ def test_leaves_that_stay_large_over_rounds(spark):
     assert len(wanted) >= 300 * 299 // 2 and len(found & wanted) == len(found) >= 0.99 * len(wanted)
 
 
+def test_sets_that_share_no_more_than_a_path(spark):
+    rng = random.Random(7)
+    rows = [(f"{i:04d}", ["x", "y", "z", f"u{i}"]) for i in range(300)] + [(f"x{i:05d}", [f"w{rng.randrange(3000)}" for _ in range(6)]) for i in range(30_000)]
+    frame, scratch = spark.createDataFrame(rows, "id string, tags array<string>"), Scratch(spark)
+    made = similar_sets(class_sets(frame, clean_tags, scratch, 4), scratch, (3, 5))
+    assert between_ids(made, memberships(frame, clean_tags, 4)).where("id_b < '0300'").count() == 300 * 299 // 2
+
+
 def test_chosen_paths_of_nothing(spark):
     scratch = Scratch(spark)
     rows = spark.createDataFrame([("a", None), ("b", ["x", None, " "])], "id string, tags array<string>")
