@@ -10,7 +10,10 @@ a prefix which a third of all vectors share is many tasks' work.
 In the sorted array a node is a run with one prefix.  A search descends to the
 longest prefix of its string that holds enough vectors, and ascends from there
 until a run of up to `NODE` vectors is around it; all vectors that end in one run
-are compared with one matrix product.  The k best over all trees, by cosine, are
+are compared with one matrix product.  A longer run of equal strings (a dense cluster) is
+halved, by random directions of the tree after its mean is taken off, until the parts fit.
+Rows with equal strings are sorted by `TAIL` further symbols, then by a hash of tree and
+key, so what is cut between tasks is not the same in all trees.  The k best over all trees, by cosine, are
 the result.  Trees are the parameter that recall follows from.
 
 Vectors travel as directions with 12 bits a number: cosines are then off by some 1e-4.
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Trees of the forest, and symbols of a string.
 TREES = 8
 SYMBOLS = 3
+#: Further symbols, which order the rows of a run with equal strings.
+TAIL = 4
 #: Vectors that are compared with each other at most, and the least run to descend to.
 NODE = 1024
 QUOTA = 96
@@ -38,7 +43,7 @@ STRIP = 256
 
 def rotations(trees: int, dim: int, seed: int = 3) -> list[list[np.ndarray]]:
     rng = np.random.default_rng(seed)
-    return [[rng.standard_normal((dim, dim)).astype(np.float32) for _ in range(SYMBOLS)] for _ in range(trees)]
+    return [[rng.standard_normal((dim, dim)).astype(np.float32) for _ in range(SYMBOLS + TAIL)] for _ in range(trees)]
 
 
 def hash_strings(vectors: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
@@ -51,9 +56,10 @@ def hash_strings(vectors: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
     return strings
 
 
-def runs(strings: np.ndarray, low: int, high: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Runs of sorted strings to compare within: each row is in one at least."""
-    if high - low <= NODE:
+def runs(strings: np.ndarray, low: int, high: int, level: int = 0, whole: bool = False) -> Iterator[tuple[int, int]]:
+    """Runs of sorted strings to compare within: each row is in one at least.  Long runs of
+    equal strings come whole or, without the vectors to part them by, in windows."""
+    if high - low <= NODE or whole and level == SYMBOLS:
         yield low, high
     elif level == SYMBOLS:
         for at in range(low, high - NODE // 2, NODE // 2):
@@ -64,10 +70,26 @@ def runs(strings: np.ndarray, low: int, high: int, level: int = 0) -> Iterator[t
         start = cuts[0]
         for cut in cuts[1:]:
             if cut - start >= QUOTA or cut == high:
-                yield from runs(strings, start, cut, level + 1)
+                yield from runs(strings, start, cut, level + 1, whole)
                 start = cut
 
 
+def parts(vectors: np.ndarray, rng: np.random.Generator, rows: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Rows in parts of up to `NODE`, near ones together: halves by a random direction, the mean taken off."""
+    rows = np.arange(len(vectors)) if rows is None else rows
+    if len(rows) <= NODE:
+        yield rows
+        return
+    inside = vectors[rows] - vectors[rows].mean(axis=0)
+    # a difference of two rows lies along what the cluster spreads in
+    a, b = rng.integers(len(rows), size=2)
+    places = inside @ (inside[a] - inside[b] + 1e-6 * rng.standard_normal(vectors.shape[1]).astype(np.float32))
+    order = np.argsort(places, kind="stable")
+    middle = int(len(rows) * rng.uniform(0.4, 0.6))
+    yield from parts(vectors, rng, rows[order[:middle]])
+    yield from parts(vectors, rng, rows[order[middle:]])
+
+
 def _first_level(strings: np.ndarray) -> list[int]:
     top = strings >> (12 * (SYMBOLS - 1))
     return [0, *(np.flatnonzero(top[1:] != top[:-1]) + 1).tolist(), len(strings)]
@@ -78,27 +100,34 @@ def best_in_runs(strings: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: i
     or above in one run of one tree; missing ones have a cosine of -2."""
     cuts = _first_level(strings)
     for low, high in zip(cuts, cuts[1:]):
-        for a, b in runs(strings, low, high):
-            if b - a < 2:
-                continue
-            part, own = vectors[a:b], ids[a:b]
-            for s in range(0, b - a, STRIP):
-                e = min(s + STRIP, b - a)
-                products = part[s:e] @ part.T
-                products[np.arange(e - s), np.arange(s, e)] = -2
-                if b - a > k:
-                    top = np.argpartition(products, -k, axis=1)[:, -k:]
-                else:
-                    top = np.broadcast_to(np.arange(b - a), (e - s, b - a))
-                cosines = np.take_along_axis(products, top, axis=1)
-                some = (cosines >= least).any(axis=1)
-                if some.any():
-                    cosines, neighbours = cosines[some], own[top[some]]
-                    if cosines.shape[1] < k:
-                        pad = k - cosines.shape[1]
-                        cosines = np.pad(cosines, ((0, 0), (0, pad)), constant_values=-2)
-                        neighbours = np.pad(neighbours, ((0, 0), (0, pad)))
-                    yield own[s:e][some], neighbours, cosines
+        for a, b in runs(strings, low, high, whole=True):
+            if b - a > NODE:
+                rng = np.random.default_rng(int(strings[a]))
+                for rows in parts(vectors[a:b], rng):
+                    yield from _best(ids[a:b][rows], vectors[a:b][rows], k, least)
+            elif b - a > 1:
+                yield from _best(ids[a:b], vectors[a:b], k, least)
+
+
+def _best(own: np.ndarray, part: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    n = len(own)
+    for s in range(0, n, STRIP):
+        e = min(s + STRIP, n)
+        products = part[s:e] @ part.T
+        products[np.arange(e - s), np.arange(s, e)] = -2
+        if n > k:
+            top = np.argpartition(products, -k, axis=1)[:, -k:]
+        else:
+            top = np.broadcast_to(np.arange(n), (e - s, n))
+        cosines = np.take_along_axis(products, top, axis=1)
+        some = (cosines >= least).any(axis=1)
+        if some.any():
+            cosines, neighbours = cosines[some], own[top[some]]
+            if cosines.shape[1] < k:
+                pad = k - cosines.shape[1]
+                cosines = np.pad(cosines, ((0, 0), (0, pad)), constant_values=-2)
+                neighbours = np.pad(neighbours, ((0, 0), (0, pad)))
+            yield own[s:e][some], neighbours, cosines
 
 
 def packed(vectors: np.ndarray) -> np.ndarray:
@@ -167,8 +196,9 @@ def _strings(trees: int, dim: int) -> Callable:
         for batch in batches:
             vectors = _matrix(batch.column(1), dim)
             for t, tree in enumerate(turns):
-                made = pa.array(hash_strings(vectors, tree) | (t << 48))
-                yield pa.RecordBatch.from_arrays([made, batch.column(0), batch.column(1)], ["string", "key", "vector"])
+                made = pa.array(hash_strings(vectors, tree[:SYMBOLS]) | (t << 48))
+                tail = pa.array(hash_strings(vectors, tree[SYMBOLS:]))
+                yield pa.RecordBatch.from_arrays([made, tail, batch.column(0), batch.column(1)], ["string", "tail", "key", "vector"])
 
     return run
 
@@ -206,9 +236,10 @@ def nearest(vectors: DataFrame, dim: int, k: int, least: float = -1.0, trees: in
     Equal cosines are ranked by key, so of many equal vectors each has k others.  A vector
     without a neighbour has no row; an empty table gives none.
     """
-    strings = vectors.select("key", "vector").mapInArrow(_strings(trees, dim), "string bigint, key bigint, vector binary")
-    ordered = strings.repartitionByRange("string", "key").sortWithinPartitions("string", "key")
-    found = ordered.mapInArrow(_search(dim, k, least), "key bigint, neighbour bigint, cosine float")
+    strings = vectors.select("key", "vector").mapInArrow(_strings(trees, dim), "string bigint, tail bigint, key bigint, vector binary")
+    order = ("string", "tail", F.xxhash64("string", "key"))
+    ordered = strings.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = ordered.select("string", "key", "vector").mapInArrow(_search(dim, k, least), "key bigint, neighbour bigint, cosine float")
     found = found.repartition("key").groupBy("key", "neighbour").agg(F.max("cosine").alias("cosine"))
     best = F.sort_array(F.collect_list(F.struct("cosine", F.col("neighbour").alias("n"))), asc=False)  # trees * k at most, and as many again of cut runs
     return found.groupBy("key").agg(F.slice(best, 1, k).alias("best")).select("key", F.inline("best")).select("key", F.col("n").alias("neighbour"), "cosine")

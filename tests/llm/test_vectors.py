@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from recollex.llm.vector_forest import brute_force, nearest, packed, runs, unpacked, usable_vectors
+from recollex.llm.vector_forest import best_in_runs, brute_force, nearest, packed, runs, unpacked, usable_vectors
 
 ROWS = "id string, embedding array<float>, at timestamp_ntz"
 
@@ -65,3 +65,19 @@ def test_runs_cover_all_rows():
         assert 0 < b - a <= 1024
         covered[a:b] = True
     assert covered.all()
+
+
+def test_a_dense_cluster_longer_than_a_node():
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(128)
+    centre /= np.linalg.norm(centre)
+    kernels = centre + 0.01 * rng.standard_normal((1000, 128))
+    vectors = (kernels[np.arange(6000) % 1000] + 0.001 * rng.standard_normal((6000, 128))).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    found, order = {}, rng.permutation(6000)
+    for tree in range(8):
+        for own, neighbours, _ in best_in_runs(np.full(6000, tree << 48), order, vectors[order], 5, 0.75):
+            for i, near in zip(own.tolist(), neighbours.tolist()):
+                found.setdefault(i, set()).update(near)
+    true = brute_force(vectors, 5)
+    assert np.mean([len(found[i] & set(t)) / 5 for i, t in enumerate(true.tolist())]) >= 0.95
