@@ -249,7 +249,7 @@ class Lexicon:
             else:
                 continue
             window = [t for t, _ in same[max(0, i - WINDOW) : i]]
-            if not hit and self._own(window) or any(t in self.mention for t in (*window, *(t for t, _ in same[i + 1 : i + 1 + WINDOW]))):
+            if not hit and (self._own(window) or self._mentioned(plain, words, same, i)):
                 weight *= 0.2
             found.append((category, name, weight, any(w in self.quoting for w in window), misspelled))
         return found
@@ -283,6 +283,23 @@ class Lexicon:
                 break
         return any(s in self.category or s in self.weak for s, _ in same[at + 1 : at + 2]) or same[at + 1 : at + 2] == [("you", False)]
 
+    def _mentioned(self, plain: str, words: list[str], same: list[tuple[str, bool]], at: int) -> bool:
+        """Whether a term is talked about and not aimed at a person: "the term ...", "... in the blocklist", in quotation marks near such a word."""
+        near = [t for t, _ in same[max(0, at - WINDOW) : at + 1 + WINDOW]]
+        if not any(t in self.mention for t in near):
+            return False
+        if any(t in self.address and t not in ("these", "those") for t, _ in same[max(0, at - 4) : at + 2]) and self._aimed(same, at):
+            return False
+        k = at - 1
+        while k >= 0 and (same[k][0] in self.category or same[k][0] in self.weak or same[k][0] in ("and", "or", "like")):
+            k -= 1
+        if k >= 0 and same[k][0] in self.mention:
+            return True
+        after = [t for t, _ in same[at + 1 : at + 5]]
+        if after[:1] and after[0] in ("in", "on", "from", "to") and any(t in self.mention for t in after[1:]):
+            return True
+        return len(re.findall(rf"[\"'`“‘«„]{re.escape(words[at])}[\"'`”’»“]", plain)) >= words.count(words[at])
+
     def _own(self, window: list[str]) -> bool:
         if window and window[-1] in self.self_ or len(window) > 1 and window[-2] in ("ich", "j'ai", "bin") and window[-1] not in self.address:
             return True

@@ -149,3 +149,10 @@ def test_frequent_near_misses_are_ordinary_words(spark):
     rows = [(i, "a", "he likes pandejos") for i in range(40)] + [(100, "a", "he likes pendejos")]
     found = abuse_scores(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Scratch(spark))
     assert [r.doc_id for r in found.where("score >= 0.5").collect()] == [100]
+
+
+def test_words_about_terms_take_back_mentions_only(lexicon):
+    for text in ("i will kill you if you touch the policy", "fix the filter, you moron", "the policy was written by an idiot"):
+        assert score(lexicon.hits(text)) >= FOUND
+    for text in ("the term moron is in the list", "add idiot to the blocklist", 'the filter drops "moron" now', "slurs like whore and slut"):
+        assert score(lexicon.hits(text)) < FOUND
