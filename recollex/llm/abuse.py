@@ -9,9 +9,10 @@ terms need an aim at a person, terms about the speaker or about terms are taken
 back, and repeated messages count but are told apart.
 
 What a misspelling is depends on the corpus: a word within the distance of a term
-that occurs in more than `ORDINARY` of all documents is an ordinary word.  The
-frequencies of near misses are counted over all documents, in one aggregate of
-hits, which are few.
+that occurs in more than `ORDINARY` of all documents is an ordinary word, unless its
+use speaks against it: in `ABUSED` of the different texts it stands in, or more, it is
+aimed at a person, part of a phrase, or beside a certain hit.  Near misses are counted
+over all documents, in one aggregate of hits, which are few.
 
 score = 1 - product of (1 - weight) over hits; a document with `FOUND` or more counts.
 Null and wordless texts score 0.
@@ -26,6 +27,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from recollex.llm import abuse_terms as T
@@ -34,6 +36,8 @@ from recollex.llm.mixing import plain_source
 FOUND = 0.5
 #: Documents in a thousand from which a near miss of a term is an ordinary word, and documents at least.
 ORDINARY, ORDINARY_LEAST = 0.4, 6
+#: Part of the different texts with a near miss that must be abusive otherwise for it to stay a misspelling.
+ABUSED = 0.25
 WEIGHTS = {"strong": 0.6, "phrase": 0.75, "weak": 0.15, "aimed": 0.55}
 MEMO = 300_000
 #: Words on both sides that are looked at.
@@ -212,19 +216,19 @@ class Lexicon:
             self.masks[word] = known
         return known
 
-    def hits(self, text: str | None) -> list[tuple[str, str, float, bool, str]]:
-        """(category, term, weight, quoted, misspelling or '') of each hit; no text has none."""
+    def hits(self, text: str | None) -> list[tuple[str, str, float, bool, str, bool]]:
+        """(category, term, weight, quoted, misspelling or '', aimed at a person or in a phrase with a known word) of each hit; no text has none."""
         if not text or text.isspace():
             return []
         plain = folded(text)
-        found: list[tuple[str, str, float, bool, str]] = []
+        found: list[tuple[str, str, float, bool, str, bool]] = []
         if _CHINESE_RUN.search(plain):
             together = _CHINESE_GAP.sub("", plain)
             for m in self.chinese_pattern.finditer(together):
                 before = together[max(0, m.start() - 6) : m.start()]
                 if "我自己" in before or "拒绝" in before or "词表" in before:
                     continue
-                found.append((self.chinese[m[0]], m[0], WEIGHTS["phrase"], "quoting the message" in together[max(0, m.start() - 60) : m.start()], ""))
+                found.append((self.chinese[m[0]], m[0], WEIGHTS["phrase"], "quoting the message" in together[max(0, m.start() - 60) : m.start()], "", True))
         plain = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), plain)
         plain = _MASKED.sub(lambda m: self.unmasked(m[0]), plain)
         words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,))]
@@ -251,7 +255,8 @@ class Lexicon:
             window = [t for t, _ in same[max(0, i - WINDOW) : i]]
             if not hit and (self._own(window) or self._mentioned(plain, words, same, i)):
                 weight *= 0.2
-            found.append((category, name, weight, any(w in self.quoting for w in window), misspelled))
+            aimed = any(not same[j][1] for j in hit[2]) if hit else self._aimed(same, i)
+            found.append((category, name, weight, any(w in self.quoting for w in window), misspelled, aimed))
         return found
 
     def _phrase(self, same: list[tuple[str, bool]], at: int) -> tuple[str, str, list[int]] | None:
@@ -322,17 +327,19 @@ def worker_lexicon() -> Lexicon:
     return held.lexicon
 
 
-HIT = "array<struct<category:string,term:string,weight:double,quoted:boolean,misspelled:string>>"
+HIT = "array<struct<category:string,term:string,weight:double,quoted:boolean,misspelled:string,aimed:boolean>>"
 
 
 def _hits() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = worker_lexicon()
-        kind = pa.list_(pa.struct([("category", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("quoted", pa.bool_()), ("misspelled", pa.string())]))
-        names = ("category", "term", "weight", "quoted", "misspelled")
+        kind = pa.list_(pa.struct([("category", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("quoted", pa.bool_()), ("misspelled", pa.string()), ("aimed", pa.bool_())]))
+        names = ("category", "term", "weight", "quoted", "misspelled", "aimed")
         for batch in batches:
-            made = [[dict(zip(names, hit)) for hit in lexicon.hits(text)] for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind)], ["doc_id", "source", "hits"])
+            texts = batch.column(2).to_pylist()
+            made = [[dict(zip(names, hit)) for hit in lexicon.hits(text)] for text in texts]
+            same = [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 if hits else None for text, hits in zip(texts, made)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind), pa.array(same, pa.int64())], ["doc_id", "source", "hits", "same"])
 
     return run
 
@@ -346,13 +353,16 @@ def abuse_scores(documents: DataFrame, scratch) -> DataFrame:
     are ignored.  Null, empty and wordless texts score 0, texts of any length are read
     whole, an empty table has no scores; a null source stays null.
     """
-    found = scratch.keep(documents.select("doc_id", plain_source("source").alias("source"), "text").mapInArrow(_hits(), f"doc_id bigint, source string, hits {HIT}"))
+    found = scratch.keep(documents.select("doc_id", plain_source("source").alias("source"), "text").mapInArrow(_hits(), f"doc_id bigint, source string, hits {HIT}, same bigint"))
     size = found.count()
-    misses = found.where(F.size("hits") > 0).select("doc_id", F.explode("hits.misspelled").alias("misspelled")).where("misspelled <> ''")
+    certain = F.exists("hits", lambda h: (h["misspelled"] == "") & (h["weight"] >= FOUND))
+    misses = found.where(F.size("hits") > 0).select("same", certain.alias("certain"), "doc_id", F.inline("hits")).where("misspelled <> ''")
+    misses = misses.groupBy("misspelled", "same").agg(F.countDistinct("doc_id").alias("n"), F.max(F.col("certain") | F.col("aimed")).cast("int").alias("abused"))
     limit = max(ORDINARY_LEAST, size * ORDINARY / 1000)
-    ordinary = misses.distinct().groupBy("misspelled").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("misspelled", F.lit(True).alias("ordinary"))
+    ordinary = misses.groupBy("misspelled").agg(F.sum("n").alias("n"), F.avg("abused").alias("abused")).where((F.col("n") > limit) & (F.col("abused") < ABUSED)).select("misspelled", F.lit(True).alias("ordinary"))
     doubtful = F.exists("hits", lambda h: h["misspelled"] != "")
-    names = ("category", "term", "weight", "quoted", "misspelled")
+    names = ("category", "term", "weight", "quoted", "misspelled", "aimed")
+    found = found.drop("same")
     flat = found.where(doubtful).select("doc_id", "source", F.inline("hits")).join(ordinary, "misspelled", "left")
     mended = flat.groupBy("doc_id", "source").agg(F.collect_list(F.when(F.col("ordinary").isNull(), F.struct(*names))).alias("hits"))  # one text's hits
     settled = found.where(~doubtful).unionByName(mended)

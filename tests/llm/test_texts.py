@@ -156,3 +156,9 @@ def test_words_about_terms_take_back_mentions_only(lexicon):
         assert score(lexicon.hits(text)) >= FOUND
     for text in ("the term moron is in the list", "add idiot to the blocklist", 'the filter drops "moron" now', "slurs like whore and slut"):
         assert score(lexicon.hits(text)) < FOUND
+
+
+def test_repeated_abuse_with_a_misspelling_is_no_ordinary_word(spark):
+    rows = [(i, "a", "you are a complete scumbga") for i in range(40)] + [(100, "a", "what a scumbga")]
+    found = abuse_scores(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Scratch(spark))
+    assert found.where("score >= 0.5").count() == 41
