@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from recollex.llm import chosen_paths
 from recollex.llm.chosen_paths import similar_sets, survival, trees_for
 from recollex.llm.components import hash_to_min
 from recollex.llm.near_duplicates import band_keys, banding, duplicate_classes, grouped_texts, near_duplicates
@@ -142,8 +143,35 @@ def test_chosen_paths_of_nothing(spark):
 
 
 def test_trees_follow_recall():
-    assert 0.6 > survival(0.5) > survival(0.9) > 0.3
-    assert trees_for(0.5, 0.99) > trees_for(0.5, 0.9)
+    assert survival(4 / 3, 3) > survival(1, 3) > survival(1, 5) > 0.25
+    assert trees_for(0.5, 0.999, 4) > trees_for(0.5, 0.9, 4) >= trees_for(0.5, 0.9, 2)
+
+
+@pytest.mark.parametrize("blocked,most,measured", [(16, 4, 1), (16, 1000, 1), (64, 1, 2)])
+def test_large_leaves_in_blocks_and_in_rounds(spark, monkeypatch, blocked, most, measured):
+    for name, value in (("BLOCKED", blocked), ("MOST_BLOCKS", most), ("MEASURED", measured), ("LEAF_AIM", 32)):
+        monkeypatch.setattr(chosen_paths, name, value)
+    rng = random.Random(9)
+    sets = {f"{i:04d}": {*(f"s{k}" for k in range(9)), f"u{i % 40}", f"v{i}"} for i in range(400)}
+    sets |= {f"x{i:04d}": {f"w{rng.randrange(400)}" for _ in range(11)} for i in range(600)}
+    frame, scratch = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], TEXTS), Scratch(spark)
+    made = similar_sets(class_sets(frame, spaced_tokens, scratch), scratch, (4, 5), 0.999)
+    found = {tuple(r) for r in between_ids(made, memberships(frame, spaced_tokens)).collect()}
+    wanted = pairs_by_force(sets, 4, 5)
+    assert found <= wanted and len(found) >= 0.99 * len(wanted) > 1500
+
+
+def test_contained_sets_meet_their_recall(spark):
+    rng = random.Random(10)
+    sets = {}
+    for i in range(1500):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(24)]
+        sets |= {f"a{i:04d}": set(words), f"b{i:04d}": set(words[:12])}
+    frame, scratch = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], TEXTS), Scratch(spark)
+    made = similar_sets(class_sets(frame, spaced_tokens, scratch), scratch, (1, 2))
+    found = {tuple(r) for r in between_ids(made, memberships(frame, spaced_tokens)).collect()}
+    wanted = pairs_by_force(sets, 1, 2)
+    assert found <= wanted and len(found) >= 0.9 * len(wanted) > 1000
 
 
 def components_by_force(links):
