@@ -6,16 +6,16 @@ for each bundle with a trust; the survivor is the choice of one candidate per
 bundle with the greatest sum of trusts that keeps the functional dependencies
 between bundles.
 
-1. A bundle that no dependency touches is decided by its best candidate: an
-   aggregate with map-side partial results.
-2. Of a bundle in a dependency only the best candidate of each value matters, by the
-   value it has or asks of the other bundle (a worse one with the same is
-   dominated), again an aggregate.
-3. A member that itself offers all those bundles and keeps the dependencies is a
-   feasible choice; a candidate whose trust plus the best of all other bundles
+1. Of a bundle only the best candidate of each value matters, by the value it has
+   or asks of another bundle in a dependency (a worse one with the same is
+   dominated): an aggregate with map-side partial results.  A bundle that no
+   dependency touches is left with one candidate.
+2. A member that itself offers all bundles in dependencies and keeps these is a
+   feasible choice; a candidate whose trust plus the best of all other such bundles
    stays below the best feasible choice of its group is cut before any group is
    brought together.
-4. What is left of a group, values rather than members, goes to branch and bound.
+3. What is left of a group, values rather than members, goes to branch and bound,
+   which decides every bundle.
 """
 
 from __future__ import annotations
@@ -59,9 +59,8 @@ def best_combination(offers: dict[str, list[tuple[float, str, dict]]], rules: li
     """
     names = sorted(offers, key=lambda n: (len(offers[n]), n))
     sorted_offers = {n: sorted(offers[n], key=lambda o: (-o[0], o[1])) for n in names}
-    rest = [0.0] * (len(names) + 1)
-    for i in range(len(names) - 1, -1, -1):
-        rest[i] = rest[i + 1] + sorted_offers[names[i]][0][0]
+    # Sums are of what a choice loses against the most trusted one of each bundle, so trusts of any size add exactly enough.
+    most = {n: sorted_offers[n][0][0] for n in names}
     best: list = [float("-inf"), None]
 
     def kept(chosen: dict) -> bool:
@@ -79,16 +78,17 @@ def best_combination(offers: dict[str, list[tuple[float, str, dict]]], rules: li
                 best[:] = [total, (ids, dict(chosen))]
             return
         for offer in sorted_offers[names[i]]:
-            if total + offer[0] + rest[i + 1] < best[0]:
-                break  # the others are trusted no more
+            lost = offer[0] - most[names[i]]
+            if total + lost < best[0]:
+                break  # the others are trusted no more, and later bundles lose nothing at best
             chosen[names[i]] = offer
             if kept(chosen):
-                branch(i + 1, total + offer[0], chosen)
+                branch(i + 1, total + lost, chosen)
             del chosen[names[i]]
 
     branch(0, 0.0, {})
     if best[1] is None:
-        dropped = min((n for n in names if any(n in (r.of, r.on) for r, _ in rules)), key=lambda n: (sorted_offers[n][0][0], n))
+        dropped = min((n for n in names if any(n in (r.of, r.on) for r, _ in rules)), key=lambda n: (most[n], n))
         return best_combination({n: offers[n] for n in names if n != dropped}, rules)
     return {n: offer[1] for n, offer in best[1][1].items()}
 
@@ -111,13 +111,9 @@ def choose_suppliers(members: DataFrame, bundles: list[Bundle], dependencies: li
     for b in bundles:
         trust = F.expr(b.trust).cast("double")
         rows = rows.withColumn(f"trust_{b.name}", F.when(~F.isnan(trust), trust))
-    ruled = {n for d in dependencies for n in (d.of, d.on)}
-    free = [b for b in bundles if b.name not in ruled]
-    aggregates = [F.min_by("id", F.when(F.col(f"trust_{b.name}").isNotNull(), F.struct((-F.col(f"trust_{b.name}")).alias("t"), F.col("id")))).alias(f"{b.name}_id") for b in free]
-    result = rows.groupBy("group").agg(F.min("id").alias("_least"), *aggregates).drop("_least")
-    if not ruled:
-        return result
-    return result.join(_ruled(rows, [b for b in bundles if b.name in ruled], list(dependencies)), "group", "left").select("group", *[f"{b.name}_id" for b in bundles])
+    chosen = _decided(rows, list(bundles), list(dependencies)).withColumnRenamed("group", "_group")
+    groups = rows.select("group").distinct()
+    return groups.join(chosen, F.col("group") == F.col("_group"), "left").select("group", *[f"{b.name}_id" for b in bundles])
 
 
 def allowed_values(rows: DataFrame, rule: Dependency) -> DataFrame:
@@ -126,7 +122,8 @@ def allowed_values(rows: DataFrame, rule: Dependency) -> DataFrame:
     return counted.groupBy("deciding").agg(F.min_by("decided", F.struct((-F.col("n")).alias("n"), F.col("decided"))).alias("decided"))
 
 
-def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> DataFrame:
+def _decided(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> DataFrame:
+    ruled = [b for b in bundles if any(b.name in (r.of, r.on) for r in rules)]
     held = {b.name: sorted({r.on_field for r in rules if r.on == b.name}) for b in bundles}
     asked = {b.name: [f"allowed_{i}" for i, r in enumerate(rules) if r.of == b.name] for b in bundles}
     for i, rule in enumerate(rules):
@@ -134,21 +131,23 @@ def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> D
         rows = rows.join(allowed, F.col(rule.field).cast("string") == F.col(f"_d{i}"), "left").drop(f"_d{i}")
     whole = F.lit(0.0)
     keeps = F.lit(True)
-    for b in bundles:
+    for b in ruled:
         whole = whole + F.col(f"trust_{b.name}")
     for i, rule in enumerate(rules):
         keeps &= F.col(f"allowed_{i}").isNull() | (F.col(rule.on_field).cast("string") == F.col(f"allowed_{i}"))
     bounds = rows.groupBy("group").agg(
         F.max(F.when(keeps, whole)).alias("feasible"),
-        *[F.max(f"trust_{b.name}").alias(f"most_{b.name}") for b in bundles],
+        *[F.max(f"trust_{b.name}").alias(f"most_{b.name}") for b in ruled],
     )
-    others = {b.name: sum((F.coalesce(F.col(f"most_{o.name}"), F.lit(0.0)) for o in bundles if o is not b), F.lit(0.0)) for b in bundles}
+    others = {b.name: sum((F.coalesce(F.col(f"most_{o.name}"), F.lit(0.0)) for o in ruled if o is not b), F.lit(0.0)) for b in ruled}
     offered = None
     for b in bundles:
         telling = held[b.name] + asked[b.name]
-        as_map = F.map_from_arrays(F.array(*[F.lit(v) for v in telling]), F.array(*[F.col(v).cast("string") for v in telling]))
+        as_map = F.map_from_arrays(F.array(*[F.lit(v) for v in telling]), F.array(*[F.col(v).cast("string") for v in telling])) if telling else F.lit(None)
         best = rows.where(F.col(f"trust_{b.name}").isNotNull()).groupBy("group", *telling).agg(F.max(f"trust_{b.name}").alias("trust"), _best(f"trust_{b.name}").alias("id"))
-        mine = best.withColumn("values_", as_map).join(bounds, "group").where(F.col("feasible").isNull() | (F.col("trust") + others[b.name] >= F.col("feasible")))
+        mine = best.withColumn("values_", as_map.cast("map<string,string>"))
+        if b in ruled:
+            mine = mine.join(bounds, "group").where(F.col("feasible").isNull() | (F.col("trust") + others[b.name] >= F.col("feasible")))
         mine = mine.select("group", F.lit(b.name).alias("bundle"), "trust", "id", "values_")
         offered = mine if offered is None else offered.unionByName(mine)
     names = [b.name for b in bundles]
@@ -169,7 +168,7 @@ def _ruled(rows: DataFrame, bundles: list[Bundle], rules: list[Dependency]) -> D
                     if offers:
                         done.append(solved(group, offers, maps))
                     group, offers, maps = o.group, {}, [{} for _ in within]
-                values = dict(o.values_)
+                values = dict(o.values_ or {})
                 offers.setdefault(o.bundle, []).append((float(o.trust), o.id, values))
                 for i, rule in enumerate(within):
                     if values.get(rule.field) is not None:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from recollex.llm import survivors
 from recollex.llm.survivors import Bundle, Dependency, assemble, best_combination, choose_suppliers
 
 MEMBERS = "`group` string, id string, n int, importance double, session string, space string, t1 double, t2 double"
@@ -80,3 +81,22 @@ def test_ruled_bundles_equal_trying_all(spark):
             wanted[g] = (best_o[1] if best_o else None, best_p[1] if best_p else None)
     found = {r.group: (r.origin_id, r.place_id) for r in choose_suppliers(spark.createDataFrame(rows, MEMBERS).repartition(3), [TEXT, ORIGIN, PLACE], [RULE]).collect()}
     assert found == wanted
+
+
+def test_reported_fields_are_decided_by_branch_and_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([("g", "a", 5, 1.0, "s1", "w1", 3.0, 1.0), ("g", "b", 1, 9.0, "s2", "w2", 1.0, 9.0)], MEMBERS)
+    bundles = [TEXT, RATING, ORIGIN, PLACE]
+    assert tuple(choose_suppliers(rows, bundles, [RULE]).first()) == ("g", "a", "b", "b", "b")
+    # a text that belongs to one session takes its origin along, and with it the place
+    bound = Dependency("content", "body", "origin", "session")
+    heavy = Bundle("content", ("body",), "n * 10")
+    found = choose_suppliers(rows.selectExpr("*", "concat('text of ', id) as body"), [heavy, RATING, ORIGIN, PLACE], [RULE, bound])
+    assert tuple(found.first()) == ("g", "a", "b", "a", "a")
+    monkeypatch.setattr(survivors, "best_combination", lambda offers, rules: {n: max(o)[1] for n, o in offers.items() if n != "rating"})
+    assert choose_suppliers(rows, bundles, [RULE]).first().rating_id is None
+
+
+def test_trusts_of_very_different_size():
+    offers = {"times": [(1.7e15, "a", {})], "rating": [(0.125, "b", {"v": 1}), (0.1249, "c", {"v": 2})], "place": [(1.5, "d", {"w": 2}), (1.0, "e", {"w": 1})]}
+    assert best_combination(offers, []) == {"times": "a", "rating": "b", "place": "d"}
+    assert best_combination(offers, [(Dependency("rating", "v", "place", "w"), {1: 1, 2: 2})]) == {"times": "a", "rating": "c", "place": "d"}
