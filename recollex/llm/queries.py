@@ -82,9 +82,9 @@ def p2_survivors(spark: SparkSession, directory: str) -> DataFrame:
     return assemble(chosen, scratch.keep(records), BUNDLES).withColumnRenamed("group", "group_id")
 
 
-def _vectors(spark: SparkSession, directory: str) -> DataFrame:
+def _vectors(spark: SparkSession, directory: str, scratch: Scratch) -> DataFrame:
     rows = table(spark, directory, "memory_vectors").where("dim = 128")
-    return Scratch(spark).keep(usable_vectors(rows.select(F.lower("memory_id").alias("id"), "embedding", F.col("embedded_at").alias("at")), 128))
+    return usable_vectors(rows.select(F.lower("memory_id").alias("id"), "embedding", F.col("embedded_at").alias("at")), 128, scratch)
 
 
 def _named(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -95,14 +95,16 @@ def _named(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     """Of every usable current vector the 5 memories with the most similar ones, at a cosine of 0.75 or more."""
-    vectors = _vectors(spark, directory)
-    return _named(nearest(vectors, 128, 5, 0.75), vectors).select("id", "neighbour_id", F.round("cosine", 3).alias("cosine"))
+    scratch = Scratch(spark)
+    vectors = _vectors(spark, directory, scratch)
+    return _named(nearest(vectors, 128, 5, scratch, 0.75, exact=True), vectors).select("id", "neighbour_id", F.round("cosine", 3).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of memories with a cosine of at least 0.75, one among the 5 most similar of the other."""
-    vectors = _vectors(spark, directory)
-    either = nearest(vectors, 128, 5, 0.75).select(F.least("key", "neighbour").alias("key"), F.greatest("key", "neighbour").alias("neighbour")).distinct()
+    scratch = Scratch(spark)
+    vectors = _vectors(spark, directory, scratch)
+    either = nearest(vectors, 128, 5, scratch, 0.75).select(F.least("key", "neighbour").alias("key"), F.greatest("key", "neighbour").alias("neighbour")).distinct()
     return _named(either, vectors).select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b"))
 
 

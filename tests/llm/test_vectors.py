@@ -1,7 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from recollex.llm.vector_forest import best_in_runs, brute_force, nearest, packed, runs, unpacked, usable_vectors
+from recollex.llm import vector_forest
+from recollex.llm.vector_forest import STEPS, brute_force, coarse, from_coarse, hot_prefixes, nearest, packed, runs, symbol_bits, symbols_of, unpacked, usable_vectors
+from recollex.sources.shared import Scratch
 
 ROWS = "id string, embedding array<float>, at timestamp_ntz"
 
@@ -13,19 +16,59 @@ def clusters(n, size, dim=128, noise=0.04, seed=2):
     return np.concatenate([c + noise * rng.standard_normal((size, dim)) for c in centres])
 
 
-def test_recall_against_brute_force(spark):
-    vectors = clusters(120, 12)
+def searched(spark, vectors, k=5, least=-1.0, exact=False):
+    """Pairs of numbers of vectors, each with its neighbours."""
     rows = spark.createDataFrame([(f"{i:05d}", v.tolist(), None) for i, v in enumerate(vectors)], ROWS).withColumn("at", F.lit("2026-01-01").cast("timestamp_ntz"))
-    made = usable_vectors(rows, 128)
-    near = nearest(made, 128, 5)
+    scratch = Scratch(spark)
+    made = usable_vectors(rows, vectors.shape[1], scratch)
+    near = nearest(made, vectors.shape[1], k, scratch, least, exact=exact).collect()
     ids = {r.key: int(r.id) for r in made.select("id", "key").collect()}
-    found = {}
-    for r in near.collect():
-        found.setdefault(ids[r.key], set()).add(ids[r.neighbour])
-    true = brute_force(vectors, 5)
-    recall = np.mean([len(found.get(i, set()) & set(t)) / 5 for i, t in enumerate(true.tolist())])
-    assert recall >= 0.9
-    assert all(len(f) <= 5 and i not in f for i, f in found.items())
+    return {(ids[r.key], ids[r.neighbour]): r.cosine for r in near}
+
+
+def recall(found, vectors, k=5):
+    true = brute_force(vectors, k)
+    return np.mean([(i, j) in found for i, near in enumerate(true.tolist()) for j in near])
+
+
+def test_recall_against_brute_force(spark):
+    vectors = clusters(120, 12)
+    found = searched(spark, vectors)
+    assert recall(found, vectors) >= 0.95
+    counts = np.bincount([i for i, _ in found])
+    assert counts.max() <= 5 and all(i != j for i, j in found)
+
+
+def test_near_ties_are_decided_on_exact_vectors(spark):
+    vectors = clusters(30, 40, noise=0.03)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    found = searched(spark, vectors, least=0.8, exact=True)
+    assert all(c >= 0.8 and abs(c - unit[i] @ unit[j]) < 1e-5 for (i, j), c in found.items())
+    true = {(i, j) for i, near in enumerate(brute_force(vectors, 5).tolist()) for j in near if unit[i] @ unit[j] >= 0.8}
+    assert len(found.keys() - true) <= 0.02 * len(true) and len(found.keys() & true) >= 0.97 * len(true)
+    assert searched(spark, vectors, least=0.8).keys() == found.keys()
+
+
+def test_result_does_not_depend_on_the_number_of_tasks(spark):
+    vectors = np.concatenate([clusters(40, 30), clusters(1, 900, noise=0.02, seed=5)])
+    found = []
+    for width in ("3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        found.append(searched(spark, vectors, least=0.5).keys())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_hot_prefixes_are_cut_longer(spark, monkeypatch):
+    for name, value in (("HELD", 100), ("NODE", 64), ("QUOTA", 16), ("HOT_PART", 0.0), ("WHOLE", 64)):
+        monkeypatch.setattr(vector_forest, name, value)
+    vectors = np.concatenate([clusters(1, 300, noise=0.01), np.ones((250, 128)), clusters(20, 10)])
+    scratch = Scratch(spark)
+    rows = spark.createDataFrame([(f"{i:05d}", v.tolist(), None) for i, v in enumerate(vectors)], ROWS)
+    hot = hot_prefixes(usable_vectors(rows, 128, scratch), 128, 8)
+    assert len(hot) == symbols_of(128) and all(hot) and max(hot[-1].values()) >= 3
+    found = searched(spark, vectors, least=0.75)
+    assert (np.bincount([i for i, _ in found], minlength=750)[:550] == 5).all()
 
 
 def test_unusable_vectors_and_versions(spark):
@@ -34,50 +77,59 @@ def test_unusable_vectors_and_versions(spark):
     rows = [("a", good, None), ("b", None, None), ("c", [], None), ("d", [1.0] * 48, None), ("e", [0.0] * 128, None), ("f", [float("nan")] + good[1:], None), ("g", [float("inf")] + good[1:], None), (None, good, None)]
     frame = spark.createDataFrame(rows, "id string, embedding array<float>, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
     newer = spark.createDataFrame([("a", other, "2026-01-01"), ("a", good, "2025-01-01")], "id string, embedding array<float>, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    found = usable_vectors(frame.unionByName(newer), 128).collect()
+    scratch = Scratch(spark)
+    found = usable_vectors(frame.unionByName(newer), 128, scratch).collect()
     assert [r.id for r in found] == ["a"]
-    assert np.allclose(unpacked(np.frombuffer(found[0].vector, np.uint8)[None, :], 128)[0], np.ones(128) / 128**0.5, atol=1e-3)
-    assert nearest(usable_vectors(frame.where("id = 'b'"), 128), 128, 5).count() == 0
+    assert np.allclose(unpacked(np.frombuffer(found[0].vector, "<i2")[None, :])[0], np.ones(128) / 128**0.5, atol=1e-4)
+    assert nearest(usable_vectors(frame.where("id = 'b'"), 128, scratch), 128, 5, scratch).count() == 0
 
 
 def test_many_equal_vectors(spark):
     rows = [(f"{i}", [1.0] * 128, None) for i in range(400)] + [(f"x{i}", np.eye(128)[i].tolist(), None) for i in range(100)]
     frame = spark.createDataFrame(rows, "id string, embedding array<float>, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    near = nearest(usable_vectors(frame, 128), 128, 5, 0.75).groupBy("key").count().collect()
+    scratch = Scratch(spark)
+    near = nearest(usable_vectors(frame, 128, scratch), 128, 5, scratch, 0.75).groupBy("key").count().collect()
     assert len(near) == 400 and {r["count"] for r in near} == {5}
 
 
 def test_other_columns_and_their_order(spark):
     rows = spark.createDataFrame([("k", "2026-01-01", [1.0] * 128, "x", 3)], "key string, at string, embedding array<float>, id string, vector int").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    assert [r.id for r in usable_vectors(rows, 128).collect()] == ["x"]
+    assert [r.id for r in usable_vectors(rows, 128, Scratch(spark)).collect()] == ["x"]
 
 
-def test_packing_is_close():
-    vectors = np.random.default_rng(0).standard_normal((50, 127))
+@pytest.mark.parametrize("dim", [127, 128, 130])
+def test_packing_is_close(dim):
+    vectors = np.random.default_rng(0).standard_normal((50, dim))
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    assert np.abs((unpacked(packed(vectors), 127) * unit).sum(axis=1) - 1).max() < 1e-5
+    assert np.abs((unpacked(packed(vectors)) * unit).sum(axis=1) - 1).max() < 1e-6
+    rough, spreads = from_coarse(coarse(vectors), dim)
+    errors = np.abs(rough @ rough.T - unit @ unit.T)
+    assert (errors <= 6 * np.sqrt(spreads[:, None] ** 2 + spreads[None, :] ** 2)).all() and 1e-5 < errors.max() < 1 / STEPS
 
 
 def test_runs_cover_all_rows():
-    strings = np.sort(np.random.default_rng(0).integers(0, 2**36, 5000) & 0xFFF000000)
-    covered = np.zeros(5000, bool)
-    for a, b in runs(strings, 0, 5000):
+    strings = np.sort(np.random.default_rng(0).integers(0, 2**56, 5000) >> 32 << 32)
+    covered = np.zeros(5000, int)
+    for a, b in runs(strings, 0, 5000, 128):
         assert 0 < b - a <= 1024
-        covered[a:b] = True
-    assert covered.all()
+        covered[a:b] += 1
+    assert (covered == 1).all() and symbol_bits(128) * symbols_of(128) == 56
 
 
-def test_a_dense_cluster_longer_than_a_node():
+def test_a_dense_cluster_longer_than_a_node(spark):
     rng = np.random.default_rng(8)
     centre = rng.standard_normal(128)
-    centre /= np.linalg.norm(centre)
-    kernels = centre + 0.01 * rng.standard_normal((1000, 128))
-    vectors = (kernels[np.arange(6000) % 1000] + 0.001 * rng.standard_normal((6000, 128))).astype(np.float32)
-    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    found, order = {}, rng.permutation(6000)
-    for tree in range(8):
-        for own, neighbours, _ in best_in_runs(np.full(6000, tree << 48), order, vectors[order], 5, 0.75):
-            for i, near in zip(own.tolist(), neighbours.tolist()):
-                found.setdefault(i, set()).update(near)
-    true = brute_force(vectors, 5)
-    assert np.mean([len(found[i] & set(t)) / 5 for i, t in enumerate(true.tolist())]) >= 0.95
+    vectors = (centre / np.linalg.norm(centre) + rng.uniform(0.004, 0.02, (20_000, 1)) * rng.standard_normal((20_000, 128))).astype(np.float32)
+    rows = spark.createDataFrame([(f"{i:05d}", v.tolist(), None) for i, v in enumerate(vectors)], ROWS)
+    scratch = Scratch(spark)
+    made = scratch.keep(usable_vectors(rows, 128, scratch))
+    near = nearest(made, 128, 5, scratch, 0.75).toPandas()
+    ids = {r.key: int(r.id) for r in made.select("id", "key").collect()}
+    found = set(zip(near.key.map(ids), near.neighbour.map(ids)))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    hits = 0
+    for s in range(0, 20_000, 500):
+        products = unit[s : s + 500] @ unit.T
+        products[np.arange(500), np.arange(s, s + 500)] = -2
+        hits += sum((s + i, j) in found for i, best in enumerate(np.argpartition(products, -5, axis=1)[:, -5:].tolist()) for j in best)
+    assert hits >= 0.95 * 5 * 20_000
