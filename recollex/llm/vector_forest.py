@@ -8,8 +8,9 @@ A tree is the sorted array of all strings.  A node is a run with one prefix; a s
 descends to the longest prefix of its string that has `QUOTA` vectors at least, and ascends
 as long as there are `NODE` at most, so the prefix is long where vectors are dense and short
 where they are sparse.  As every vector is a query, all that end in one node are compared
-with it by one matrix product.  Vectors with equal strings are compared up to `WHOLE`;
-longer runs are halved, by random directions after their mean is taken off, until they fit.
+with it by one matrix product.  Vectors that share `DENSE` symbols lie so close that longer
+prefixes would part neighbours: up to `WHOLE` of them are one node.  Longer runs of equal
+strings are halved, by random directions after their mean is taken off, until they fit.
 
 An array is cut where a symbol changes: vectors go to tasks by the hash of their tree and
 first symbol, those under a prefix that holds more than a task should by that of a longer one
@@ -37,7 +38,8 @@ SYMBOLS = 7
 #: Vectors that a node to ascend to holds at most, and the least to descend to.
 NODE = 1024
 QUOTA = 96
-#: Vectors with equal strings that are compared whole.
+#: Equal symbols of close vectors, and how many of these are compared whole.
+DENSE = 3
 WHOLE = 16_384
 #: Sorted rows that a task holds at most, and part of a tree above which a prefix is hot in any case.
 HELD = 65_536
@@ -80,8 +82,9 @@ def prefixes(strings: np.ndarray, level: int, dim: int) -> np.ndarray:
 
 
 def runs(strings: np.ndarray, low: int, high: int, dim: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Nodes to compare within, of sorted strings: each row is in one.  Only runs of equal strings are longer than `NODE`."""
-    if high - low <= NODE or level == symbols_of(dim):
+    """Nodes to compare within, of sorted strings: each row is in one.  Runs with `DENSE` equal symbols may have up to
+    `WHOLE` rows, and those of equal strings more."""
+    if high - low <= (NODE if level < DENSE else WHOLE) or level == symbols_of(dim):
         yield low, high
         return
     symbols = prefixes(strings[low:high], level + 1, dim)
