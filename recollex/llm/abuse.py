@@ -4,41 +4,58 @@ A text is folded (compatibility forms, look-alike letters, invisible characters)
 cut into words.  Each different word is looked up in a trie of the lexicon walked
 together with the word's Levenshtein automaton, so misspelled terms are found
 without comparing with every term; words spelled out with signs or digits in place
-of letters are put together first.  Hits are weighed in a window of words: weak
-terms need an aim at a person, terms about the speaker or about terms are taken
-back, and repeated messages count but are told apart.
-
-What a misspelling is depends on the corpus: a word within the distance of a term
-that occurs in more than `ORDINARY` of all documents is an ordinary word, unless its
-use speaks against it: in `ABUSED` of the different texts it stands in, or more, it is
-aimed at a person, part of a phrase, or beside a certain hit.  Near misses are counted
-over all documents, in one aggregate of hits, which are few.
-
-score = 1 - product of (1 - weight) over hits; a document with `FOUND` or more counts.
-Null and wordless texts score 0.
+of letters are put together first.  A word of the ordinary vocabulary, a fixed public list
+(`ordinary_words`), is no misspelling.  Patterns of word classes are matched on the words so mended.
+Hits are weighed by their kind: strong term, weak term or pattern, each in its window of words: aimed at a
+person, about the speaker, talk about terms, or plain.  Repeated messages count but are told apart.
+
+Reviews, where there are any, teach two things, from at most `LABELLED` reviewed documents: the weight
+of each kind, the fixed one counting as `PRIOR` reviewed hits; and phrases of three to
+five words that only abusive documents have, beyond chance (`LOG_RATIO`).  Given the reviews,
+a document's score depends on its own text alone.
+
+score = 1 - product of (1 - weight) over hits, of the learned phrases the best one; a document with
+`FOUND` or more counts.  Null and wordless texts score 0.
+
+Limits: a misspelled term keeps its first letter; terms under five letters are found behind
+masks and stand-ins only, five letters with one edit when they are aimed at a person.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 import sys
 import types
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from recollex.llm import abuse_terms as T
 from recollex.llm.mixing import plain_source
+from recollex.llm.tokens import VOCABULARY
 
 FOUND = 0.5
-#: Documents in a thousand from which a near miss of a term is an ordinary word, and documents at least.
-ORDINARY, ORDINARY_LEAST = 0.4, 6
-#: Part of the different texts with a near miss that must be abusive otherwise for it to stay a misspelling.
-ABUSED = 0.25
-WEIGHTS = {"strong": 0.6, "phrase": 0.75, "weak": 0.15, "aimed": 0.55}
+#: Weights of kinds of hits, and how many reviewed hits each counts as.
+WEIGHTS = {
+    "strong aimed": 0.75, "strong plain": 0.6, "strong own": 0.12, "strong mention": 0.12, "weak aimed": 0.55, "weak plain": 0.15, "weak own": 0.03, "weak mention": 0.03,
+    "mended aimed": 0.7, "mended plain": 0.45, "mended own": 0.1, "mended mention": 0.1, "pattern plain": 0.75, "pattern mention": 0.15, "pattern mended": 0.7,
+}
+PRIOR = 30
+#: Reviewed documents that are learned from at most, words of a learned phrase, abusive documents that have it at least,
+#: their least part of the reviewed documents with it, and twice the log-likelihood ratio to chance that it must reach.
+LABELLED = 50_000
+PHRASE_WORDS = (3, 4, 5)
+PHRASE_LEAST, PHRASE_PART, LOG_RATIO = 4, 0.75, 16.5
+CATEGORIES = ("insult", "threat", "hate", "sexual")
+#: Public vocabularies whose whole words are ordinary ones.
+ORDINARY = (VOCABULARY, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 MEMO = 300_000
 #: Words on both sides that are looked at.
 WINDOW = 6
@@ -47,6 +64,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’*$@!][^\W_]+)*[*$@]*|[$@][^\W_]+")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*•·])[^\W_])(?:\1[^\W_]){1,14}(?![^\W_])")
 _MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[*%#@$!+-]{1,3}[^\W\d_]+){1,3}(?![^\W_])")
 _CHINESE_RUN = re.compile("[㐀-鿿]")
+_CHINESE_BACK = re.compile("|".join(T.CHINESE_BACK.split()))
 _CHINESE_GAP = re.compile(r"(?<=[㐀-鿿])[ .*_\-·~]+(?=[㐀-鿿])")
 _TRIPLED, _DOUBLED = re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -111,12 +129,9 @@ class Trie:
 
 
 def allowed_edits(word: str, term: str) -> int:
-    """Edits that make a word a misspelling of a term: two letters in the wrong order
-    in short ones, one edit from six letters on, two from ten."""
+    """Edits that make a word a misspelling of a term: one from five letters on, two from ten."""
     least = min(len(word), len(term))
-    if least < 6:
-        return 1 if least == len(term) == len(word) and sorted(word) == sorted(term) else 0
-    return 1 if least < 10 else 2
+    return 0 if len(term) < 5 or least < 4 else 1 if least < 10 else 2
 
 
 def folded(text: str) -> str:
@@ -127,38 +142,70 @@ def folded(text: str) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_FOLD)
 
 
+def ordinary_words(files: tuple[str, ...] = ORDINARY) -> frozenset[str]:
+    """Words of four letters or more that public vocabularies hold whole; files of a fixed size."""
+    words = set()
+    for file in files:
+        for line in Path(file).read_bytes().splitlines():
+            piece = base64.b64decode(line.split()[0])
+            if piece.startswith(b" ") and (word := piece[1:].decode("utf-8", "ignore")).isalpha() and len(word) >= 4:
+                words.add(word.lower())
+    return frozenset(words)
+
+
+Step = frozenset | None  # words, or a gap of up to three
+
+
+def pattern_steps(pattern: str) -> list[Step]:
+    """The places of a pattern: the words that may stand in each, None for a gap."""
+    steps: list[Step] = []
+    for part in pattern.replace("'", " ").split():
+        if part == "_":
+            steps.append(None)
+        elif part[0] == "{":
+            steps.append(frozenset(T.CLASSES[part[1:-1]].split()))
+        else:
+            steps.append(frozenset(part.strip("()").split("/")))
+    return steps
+
+
 class Lexicon:
-    """Terms, phrases and the memory of looked-up words."""
+    """Terms, patterns and the memory of looked-up words."""
 
-    def __init__(self):
+    def __init__(self, ordinary: frozenset[str] = frozenset()):
+        self.ordinary = ordinary
         self.category: dict[str, str] = {}
         for category, terms in T.STRONG.items():
             self.category |= {t: category for term in terms.split() if (t := term.replace("-", ""))}
-        self.weak = {t.replace("-", "") for t in T.WEAK.split()}
-        self.phrases: dict[str, list[tuple[list[str], str]]] = {}
-        for category, lines in T.PHRASES.items():
-            for phrase in re.split(r"[|\n]", lines):
-                if words := phrase.replace("'", " ").split():
-                    self.phrases.setdefault(words[0], []).append((words, category))
-        vocabulary = {w for options in self.phrases.values() for words, _ in options for w in words if w != "_" and len(w) >= 6}
-        self.known = set(self.category) | self.weak | {w for options in self.phrases.values() for words, _ in options for w in words}
-        self.trie = Trie(sorted({t for t in self.category if len(t) >= 5} | {t for t in self.weak if len(t) >= 6} | vocabulary))
-        self.telling = set(self.category) | self.weak | set(self.phrases)
-        self.address, self.links, self.self_ = set(T.ADDRESS.split()), set(T.LINKS.split()), set(T.SELF.split())
+        self.weak = {t.replace("-", "") for t in T.WEAK.split()} - set(self.category)
+        self.patterns: dict[str, list[tuple[list[Step], str]]] = {}
+        vocabulary = set()
+        for category, lines in [*T.PATTERNS.items(), ("", T.HARMLESS)]:
+            for pattern in re.split(r"[|\n]", lines):
+                if steps := pattern_steps(pattern):
+                    vocabulary |= {w for step in steps if step for w in step}
+                    for word in steps[0]:
+                        self.patterns.setdefault(word, []).append((steps, category))
+        for options in self.patterns.values():
+            options.sort(key=lambda o: o[1] != "")  # harmless ones first
+        self.known = set(self.category) | self.weak | vocabulary
+        self.trie = Trie(sorted({t for t in self.category if len(t) >= 5} | {t for t in self.weak | vocabulary if len(t) >= 6}))
+        self.telling = set(self.category) | self.weak | set(self.patterns)
+        self.address, self.links, self.self_ = set(T.ADDRESS.split()), set(T.LINKS.split()), set(T.SELF.replace("'", " ").split())
         self.self_phrases = [p.replace("'", " ").split() for p in T.SELF_PHRASES.split("|")]
         self.mention, self.quoting = set(T.MENTION.split()), set(T.QUOTING.split())
-        self.chinese = {p: c for c, ps in T.CHINESE.items() for p in ps.split()}
-        self.chinese_pattern = re.compile("|".join(sorted(map(re.escape, self.chinese), key=len, reverse=True)))
-        self.memo: dict[str, tuple[str, bool]] = {"u": ("you", False), "ur": ("your", False), "r": ("are", False)}
+        self.chinese = [(c, re.compile("|".join(ps.split()))) for c, ps in T.CHINESE.items()]
+        self.memo: dict[str, tuple[str, int]] = {"u": ("you", 0), "ur": ("your", 0), "r": ("are", 0), "ya": ("you", 0)}
         self.start = dict(self.memo)
         self.masks: dict[str, str] = {}
+        self.hashes: dict[str, int] = {}
         self.by_shape: dict[tuple[str, int], list[str]] = {}
-        for t in (*self.category, *sorted(self.weak)):
+        for t in sorted((set(self.category) | self.weak | vocabulary) - self.ordinary | set(self.category) | self.weak):
             if len(t) >= 4:
                 self.by_shape.setdefault((t[0], len(t)), []).append(t)
 
-    def canonical(self, word: str) -> tuple[str, bool]:
-        """(the term or phrase word that a word stands for, or itself; whether a misspelling was mended)."""
+    def canonical(self, word: str) -> tuple[str, int]:
+        """(the term or pattern word that a word stands for, or itself; 1 if a misspelling was mended, 2 if doubtful)."""
         known = self.memo.get(word)
         if known is None:
             if len(self.memo) > MEMO:
@@ -166,39 +213,42 @@ class Lexicon:
             known = self.memo[word] = self._look_up(word)
         return known
 
-    def _look_up(self, word: str) -> tuple[str, bool]:
+    def _look_up(self, word: str) -> tuple[str, int]:
         if word in self.known:
-            return word, False
+            return word, 0
         plain = word
         if not word.isalpha():
             if word.isdigit():
-                return word, False
+                return word, 0
             plain = word.replace("’", "").replace("'", "").translate(_STAND_INS)
             if plain in self.known:
-                return plain, False
+                return plain, 0
             if "*" in plain and len(plain) >= 4:
                 pattern = re.compile("".join("[a-z]" if c == "*" else re.escape(c) for c in plain))
                 hits = sorted(t for t in (*self.category, *self.weak) if pattern.fullmatch(t))
                 if hits:
-                    return hits[0], False
+                    return hits[0], 0
             if not plain.isalpha():
-                return word, False
+                return word, 0
+        if plain in self.ordinary:
+            return plain, 0
         spellings = [plain]
         if _DOUBLED.search(plain):
             spellings = [_TRIPLED.sub(r"\1\1", plain), _DOUBLED.sub(r"\1", plain)]
         for once in spellings:
             if once != word and (once in self.category or once in self.weak and len(once) > 3):
-                return once, False
+                return once, 0
             if once[-1] in "sn":
                 for ending in ("s", "es") if once[-1] == "s" else ("n", "en"):
                     stem = once[: -len(ending)]
                     if once.endswith(ending) and (stem in self.category or stem in self.weak and len(stem) > 3):
-                        return stem, False
-        if 5 <= len(plain) <= 24 and plain.isalpha():
+                        return stem, 0
+        if 4 <= len(plain) <= 24:
             hit = self.trie.near(plain, 1 if len(plain) < 10 else 2)
             if hit and hit[1] <= allowed_edits(plain, hit[0]):
-                return hit[0], True
-        return word, False
+                # short terms, and those that another ending makes another word of, are doubtful
+                return hit[0], 2 if sorted(plain) != sorted(hit[0]) and (len(hit[0]) < 6 or plain[: len(hit[0]) - 1] == hit[0][:-1]) else 1
+        return plain, 0
 
     def unmasked(self, word: str) -> str:
         """A term with some letters behind signs, made whole; other words as they are."""
@@ -216,58 +266,67 @@ class Lexicon:
             self.masks[word] = known
         return known
 
-    def hits(self, text: str | None) -> list[tuple[str, str, float, bool, str, bool]]:
-        """(category, term, weight, quoted, misspelling or '', aimed at a person or in a phrase with a known word) of each hit; no text has none."""
+    def read(self, text: str | None) -> tuple[str, list[str], list[tuple[str, int]]]:
+        """The folded text, its words, and what they stand for; nothing of no text."""
         if not text or text.isspace():
-            return []
+            return "", [], []
         plain = folded(text)
-        found: list[tuple[str, str, float, bool, str, bool]] = []
-        if _CHINESE_RUN.search(plain):
-            together = _CHINESE_GAP.sub("", plain)
-            for m in self.chinese_pattern.finditer(together):
-                before = together[max(0, m.start() - 6) : m.start()]
-                if "我自己" in before or "拒绝" in before or "词表" in before:
-                    continue
-                found.append((self.chinese[m[0]], m[0], WEIGHTS["phrase"], "quoting the message" in together[max(0, m.start() - 60) : m.start()], "", True))
         plain = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), plain)
         plain = _MASKED.sub(lambda m: self.unmasked(m[0]), plain)
-        words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,))]
+        words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,)) if w]
         canonical = self.canonical
-        same = [canonical(w) for w in words]
-        telling = self.telling
+        return plain, words, [canonical(w) for w in words]
+
+    def hits(self, text: str | None) -> list[tuple[str, str, str, bool]]:
+        """(category, term, kind, quoted) of each hit; no text has none."""
+        return self._hits(*self.read(text))
+
+    def _hits(self, plain: str, words: list[str], same: list[tuple[str, int]]) -> list[tuple[str, str, str, bool]]:
+        found: list[tuple[str, str, str, bool]] = []
+        if _CHINESE_RUN.search(plain):
+            together = _CHINESE_GAP.sub("", plain)
+            for category, pattern in self.chinese:
+                for m in pattern.finditer(together):
+                    back = _CHINESE_BACK.search(together, max(0, m.start() - 6), m.start())
+                    found.append((category, m[0], "pattern mention" if back else "pattern plain", any(q in together[max(0, m.start() - 60) : m.start()] for q in self.quoting)))
+        telling, past = self.telling, -1
         for i in [i for i, (term, _) in enumerate(same) if term in telling]:
             term, mended = same[i]
-            strong, weak = term in self.category, term in self.weak
-            hit = self._phrase(same, i)
+            if i <= past:
+                continue  # within a harmless turn
+            hit = self._pattern(same, i)
+            window = [t for t, _ in same[max(0, i - WINDOW) : i]]
+            if hit and not hit[0]:
+                past = hit[2]
+                continue
             if hit:
-                category, phrase, used = hit
-                weight, name = WEIGHTS["phrase"], phrase
-                misspelled = " ".join(words[j] for j in used if same[j][1])
-            elif strong:
-                category, name, weight = self.category[term], term, WEIGHTS["strong"]
-                misspelled = words[i] if mended else ""
-            elif weak:
-                category, name = "insult", term
-                weight = WEIGHTS["aimed"] if self._aimed(same, i) else WEIGHTS["weak"]
-                misspelled = words[i] if mended else ""
+                category, name = hit[:2]
+                kind = "pattern mention" if self._mentioned(plain, words, same, i) else "pattern mended" if hit[3] else "pattern plain"
+            elif term in self.category or term in self.weak:
+                strong = term in self.category and mended < 2
+                category, name = self.category.get(term, "insult"), term
+                if self._own(window):
+                    context = "own"
+                elif self._mentioned(plain, words, same, i):
+                    context = "mention"
+                else:
+                    context = "aimed" if self._aimed(same, i) else "plain"
+                kind = f"{('mended' if mended else 'strong') if strong else 'weak'} {context}"
             else:
                 continue
-            window = [t for t, _ in same[max(0, i - WINDOW) : i]]
-            if not hit and (self._own(window) or self._mentioned(plain, words, same, i)):
-                weight *= 0.2
-            aimed = any(not same[j][1] for j in hit[2]) if hit else self._aimed(same, i)
-            found.append((category, name, weight, any(w in self.quoting for w in window), misspelled, aimed))
+            found.append((category, name, kind, any(w in self.quoting for w in window)))
         return found
 
-    def _phrase(self, same: list[tuple[str, bool]], at: int) -> tuple[str, str, list[int]] | None:
-        for words, category in self.phrases.get(same[at][0], ()):
+    def _pattern(self, same: list[tuple[str, int]], at: int) -> tuple[str, str, int, bool] | None:
+        """(category or '', words, last place, whether a telling word was mended) of a pattern that begins here."""
+        for steps, category in self.patterns.get(same[at][0], ()):
             j, used, gap, ok = at, [], 0, True
-            for w in words:
-                if w == "_":
-                    gap = 3
+            for step in steps:
+                if step is None:
+                    gap += 3
                     continue
                 for k in range(j, min(j + gap + 1, len(same))):
-                    if same[k][0] == w:
+                    if same[k][0] in step:
                         used.append(k)
                         j, gap = k + 1, 0
                         break
@@ -275,20 +334,22 @@ class Lexicon:
                     ok = False
                     break
             if ok:
-                return category, " ".join(words), used
+                return category, " ".join(same[k][0] for k in used), j - 1, any(same[k][1] for k in used)
         return None
 
-    def _aimed(self, same: list[tuple[str, bool]], at: int) -> bool:
+    def _aimed(self, same: list[tuple[str, int]], at: int) -> bool:
         """Whether the words before or after lead from the term to a person: "you are a complete ...", "... you"."""
+        insult = lambda t: t in self.category or t in self.weak
+        followed = at + 1 < len(same) and insult(same[at + 1][0])
         for k in range(at - 1, max(-1, at - 5), -1):
             t = same[k][0]
             if t in self.address:
-                return t not in ("your", "dein", "deine", "ton", "ta", "tes", "these", "those", "they", "he", "she", "them", "ihr", "te", "tu") or t in ("te", "tu", "he", "she") and k == at - 1 or any(s in self.category or s in self.weak for s, _ in same[at + 1 : at + 2])
-            if t not in self.links and t not in self.weak and t not in self.category:
+                return t not in T.LOOSE or t in T.CLOSE and k == at - 1 or followed
+            if t not in self.links and not insult(t):
                 break
-        return any(s in self.category or s in self.weak for s, _ in same[at + 1 : at + 2]) or same[at + 1 : at + 2] == [("you", False)]
+        return followed or same[at + 1 : at + 2] == [("you", 0)]
 
-    def _mentioned(self, plain: str, words: list[str], same: list[tuple[str, bool]], at: int) -> bool:
+    def _mentioned(self, plain: str, words: list[str], same: list[tuple[str, int]], at: int) -> bool:
         """Whether a term is talked about and not aimed at a person: "the term ...", "... in the blocklist", in quotation marks near such a word."""
         near = [t for t, _ in same[max(0, at - WINDOW) : at + 1 + WINDOW]]
         if not any(t in self.mention for t in near):
@@ -306,70 +367,185 @@ class Lexicon:
         return len(re.findall(rf"[\"'`“‘«„]{re.escape(words[at])}[\"'`”’»“]", plain)) >= words.count(words[at])
 
     def _own(self, window: list[str]) -> bool:
-        if window and window[-1] in self.self_ or len(window) > 1 and window[-2] in ("ich", "j'ai", "bin") and window[-1] not in self.address:
+        if window and window[-1] in self.self_ or len(window) > 1 and window[-2] in ("ich", "bin") and window[-1] not in self.address:
             return True
         text = window[-5:]
         return any(text[k : k + len(p)] == p for p in self.self_phrases for k in range(len(text)))
 
-
-def score(hits: list[tuple]) -> float:
+    def tokens(self, same: list[tuple[str, int]]) -> list[str]:
+        """What phrases are learned of: the words as they were mended, and single CJK characters."""
+        return [t for term, _ in same for t in (term if _CHINESE_RUN.search(term) else (term,))]
+
+    def hashed(self, tokens: list[str]) -> np.ndarray:
+        memo = self.hashes
+        if len(memo) > MEMO:
+            memo.clear()
+        made = []
+        for t in tokens:
+            h = memo.get(t)
+            if h is None:
+                h = memo[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+            made.append(h)
+        return np.array(made, dtype=np.uint64)
+
+
+def phrases(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(words, hashes of all runs of so many) for each length of a phrase."""
+    made = []
+    for n in PHRASE_WORDS:
+        if len(hashes) < n:
+            break
+        run = np.full(len(hashes) - n + 1, n, dtype=np.uint64)
+        for k in range(n):
+            run = (run ^ hashes[k : len(hashes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(29)
+        made.append((n, run))
+    return made
+
+
+@dataclass
+class Learned:
+    """What reviews taught: weights of kinds, and phrases by hash (ascending) with weight and category."""
+
+    kinds: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+    phrases: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    categories: list[str] = field(default_factory=list)
+
+    def phrase(self, tokens: list[str], hashes: np.ndarray) -> tuple[float, str, str] | None:
+        """(weight, category, words) of the best phrase of a text."""
+        best = None
+        for n, run in phrases(hashes):
+            if not len(self.phrases):
+                return None
+            at = np.minimum(np.searchsorted(self.phrases, run), len(self.phrases) - 1)
+            for i in np.flatnonzero(self.phrases[at] == run).tolist():
+                if best is None or self.weights[at[i]] > best[0]:
+                    best = float(self.weights[at[i]]), self.categories[at[i]], " ".join(tokens[i : i + n])
+        return best
+
+
+def score(weights: list[float]) -> float:
     left = 1.0
-    for hit in hits:
-        left *= 1 - hit[2]
+    for weight in weights:
+        left *= 1 - weight
     return 1 - left
 
 
-def worker_lexicon() -> Lexicon:
+def scored(lexicon: Lexicon, known: Learned, text: str | None) -> tuple[float, float, str | None, list[str]]:
+    """(score, score of quoted hits alone, category of the greatest weight, terms) of a text."""
+    plain, words, same = lexicon.read(text)
+    if not words:
+        return 0.0, 0.0, None, []
+    hits = [(known.kinds[kind], category, term, quoted) for category, term, kind, quoted in lexicon._hits(plain, words, same)]
+    tokens = lexicon.tokens(same)
+    phrase = known.phrase(tokens, lexicon.hashed(tokens))
+    if phrase:
+        hits.append((*phrase, False))
+    if not hits:
+        return 0.0, 0.0, None, []
+    return score([h[0] for h in hits]), score([h[0] for h in hits if h[3]]), max(hits, key=lambda h: (h[0], h[1]))[1], sorted({h[2] for h in hits})
+
+
+def worker_lexicon(ordinary) -> Lexicon:
     """The lexicon of a Python worker: what it has looked up serves all its tasks."""
     held = sys.modules.setdefault("_recollex_worker", types.ModuleType("_recollex_worker"))
     if not hasattr(held, "lexicon"):
-        held.lexicon = Lexicon()
+        held.lexicon = Lexicon(ordinary.value)
     return held.lexicon
 
 
-HIT = "array<struct<category:string,term:string,weight:double,quoted:boolean,misspelled:string,aimed:boolean>>"
+def _key(kind: str) -> int:
+    return xxhash.xxh3_64_intdigest(kind.encode())
+
+
+def _evidence(ordinary) -> Callable:
+    """(doc_id, text, rate, category) of reviewed documents to (key, n, abusive, one count a category): phrases of the
+    document, and the kind of its weightiest hit."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = worker_lexicon(ordinary)
+        for batch in batches:
+            keys, rows = [], []
+            for text, rate, category in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                plain, words, same = lexicon.read(text)
+                runs = [run for _, run in phrases(lexicon.hashed(lexicon.tokens(same)))]
+                if kinds := {kind for _, _, kind, _ in lexicon._hits(plain, words, same)}:
+                    runs.append(np.array([_key(max(kinds, key=lambda k: (WEIGHTS[k], k)))], dtype=np.uint64))
+                made = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+                keys.append(made)
+                abusive = rate > 0.5
+                rows.append([len(made), abusive, *(abusive and category == c for c in CATEGORIES)])
+            counts = np.array([r[0] for r in rows], dtype=int)
+            flags = np.repeat(np.array([r[1:] for r in rows], dtype=np.int64).reshape(len(rows), -1), counts, axis=0)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.ones(len(flat), dtype=np.int64)), *(pa.array(np.ascontiguousarray(f)) for f in flags.T)], ["key", "n", "abusive", *CATEGORIES])
+
+    return run
 
-def _hits() -> Callable:
+
+def reviewed(reviews: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """(doc_id, rate, category) of at most `labelled` reviewed documents, by a hash of the id: the part of reviews that call
+    it abusive, without ties, and the category most of them name."""
+    known = reviews.where("doc_id is not null and is_abusive in (0, 1)")
+    counted = known.groupBy("doc_id").agg(F.avg("is_abusive").alias("rate"), F.mode(F.lower(F.trim("category")), True).alias("category"))
+    return counted.where("rate <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+
+
+def learned(documents: DataFrame, reviews: DataFrame, scratch, ordinary, labelled: int = LABELLED) -> Learned:
+    """What the reviews of documents (doc_id, text) teach.  Reviews are (doc_id, is_abusive, category); nulls, ties and
+    documents that are not there teach nothing, and without reviews the fixed weights hold."""
+    sample = scratch.keep(reviewed(reviews, labelled))  # LABELLED rows at most, so it may be broadcast
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "rate", "category")
+    size = sample.join(documents.select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rate") > 0.5).alias("abusive")).first()
+    known = Learned()
+    if not size.abusive or size.abusive == size.n:
+        return known
+    schema = ", ".join(f"{c} bigint" for c in ("key", "n", "abusive", *CATEGORIES))
+    sums = rows.mapInArrow(_evidence(ordinary), schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "abusive", *CATEGORIES)])
+    chance = size.abusive / size.n
+    harmless = F.col("n") - F.col("abusive")
+    ratio = 2 * (F.col("abusive") * F.log(F.col("abusive") / (F.col("n") * chance)) + F.when(harmless > 0, harmless * F.log(harmless / (F.col("n") * (1 - chance)))).otherwise(0.0))
+    kinds = {_key(k) - (1 << 64 if _key(k) >> 63 else 0): k for k in WEIGHTS}
+    telling = (F.col("abusive") >= PHRASE_LEAST) & (F.col("abusive") >= F.col("n") * PHRASE_PART) & (ratio >= LOG_RATIO)
+    rows = sums.where(telling | F.col("key").isin(*kinds)).collect()  # phrases of a bounded sample
+    found = []
+    for r in rows:
+        if r.key in kinds:
+            known.kinds[kinds[r.key]] = (PRIOR * WEIGHTS[kinds[r.key]] + r.abusive) / (PRIOR + r.n)
+        else:
+            found.append((r.key % (1 << 64), min(0.95, (r.abusive + 1) / (r.n + 2)), max(CATEGORIES, key=lambda c: r[c])))
+    found.sort()
+    known.phrases, known.weights, known.categories = np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1] for f in found]), [f[2] for f in found]
+    return known
+
+
+def _scores(ordinary, known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = worker_lexicon()
-        kind = pa.list_(pa.struct([("category", pa.string()), ("term", pa.string()), ("weight", pa.float64()), ("quoted", pa.bool_()), ("misspelled", pa.string()), ("aimed", pa.bool_())]))
-        names = ("category", "term", "weight", "quoted", "misspelled", "aimed")
+        lexicon = worker_lexicon(ordinary)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            made = [[dict(zip(names, hit)) for hit in lexicon.hits(text)] for text in texts]
-            same = [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63 if hits else None for text, hits in zip(texts, made)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind), pa.array(same, pa.int64())], ["doc_id", "source", "hits", "same"])
+            made = [scored(lexicon, known.value, text) for text in batch.column(2).to_pylist()]
+            kinds = (pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds))], ["doc_id", "source", "score", "quoted_score", "category", "terms"])
 
     return run
 
 
-def abuse_scores(documents: DataFrame, scratch) -> DataFrame:
+def abuse_scores(documents: DataFrame, scratch, reviews: DataFrame | None = None, ordinary: tuple[str, ...] = ORDINARY) -> DataFrame:
     """(doc_id, source, score, quoted_score, category, terms) of every document.
 
     quoted_score is the part of the score that repeated messages alone would have;
     category is the one with the greatest weight, null without hits; terms are the
-    distinct terms found.  `documents` is (doc_id, source, text), doc_id unique; other columns
+    distinct terms and phrases found.  `documents` is (doc_id, source, text), doc_id unique; other columns
     are ignored.  Null, empty and wordless texts score 0, texts of any length are read
-    whole, an empty table has no scores; a null source stays null.
+    whole, an empty table has no scores; a null source stays null.  `reviews`: see `learned`.
     """
-    found = scratch.keep(documents.select("doc_id", plain_source("source").alias("source"), "text").mapInArrow(_hits(), f"doc_id bigint, source string, hits {HIT}, same bigint"))
-    size = found.count()
-    certain = F.exists("hits", lambda h: (h["misspelled"] == "") & (h["weight"] >= FOUND))
-    misses = found.where(F.size("hits") > 0).select("same", certain.alias("certain"), "doc_id", F.inline("hits")).where("misspelled <> ''")
-    misses = misses.groupBy("misspelled", "same").agg(F.countDistinct("doc_id").alias("n"), F.max(F.col("certain") | F.col("aimed")).cast("int").alias("abused"))
-    limit = max(ORDINARY_LEAST, size * ORDINARY / 1000)
-    ordinary = misses.groupBy("misspelled").agg(F.sum("n").alias("n"), F.avg("abused").alias("abused")).where((F.col("n") > limit) & (F.col("abused") < ABUSED)).select("misspelled", F.lit(True).alias("ordinary"))
-    doubtful = F.exists("hits", lambda h: h["misspelled"] != "")
-    names = ("category", "term", "weight", "quoted", "misspelled", "aimed")
-    found = found.drop("same")
-    flat = found.where(doubtful).select("doc_id", "source", F.inline("hits")).join(ordinary, "misspelled", "left")
-    mended = flat.groupBy("doc_id", "source").agg(F.collect_list(F.when(F.col("ordinary").isNull(), F.struct(*names))).alias("hits"))  # one text's hits
-    settled = found.where(~doubtful).unionByName(mended)
-    left = F.aggregate("hits", F.lit(1.0), lambda s, h: s * (1 - h["weight"]))
-    left_quoted = F.aggregate(F.filter("hits", lambda h: h["quoted"]), F.lit(1.0), lambda s, h: s * (1 - h["weight"]))
-    strongest = F.array_max(F.transform("hits", lambda h: F.struct(h["weight"].alias("weight"), h["category"].alias("category"))))
-    return settled.select("doc_id", "source", F.round(1 - left, 6).alias("score"), F.round(1 - left_quoted, 6).alias("quoted_score"), strongest["category"].alias("category"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("terms"))
+    context = documents.sparkSession.sparkContext
+    words = context.broadcast(ordinary_words(ordinary))  # of files of a fixed size
+    known = context.broadcast(learned(documents, reviews, scratch, words) if reviews is not None else Learned())
+    rows = documents.select("doc_id", plain_source("source").alias("source"), "text")
+    found = rows.mapInArrow(_scores(words, known), "doc_id bigint, source string, score double, quoted_score double, category string, terms array<string>")
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "quoted_score")})
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, directory: str) -> DataFrame:
-    return abuse_scores(table(spark, directory, "documents"), Scratch(spark))
+    return abuse_scores(table(spark, directory, "documents"), Scratch(spark), table(spark, directory, "review_labels"))
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -4,11 +4,12 @@ import pytest
 from pathlib import Path
 from pyspark.sql import functions as F
 
-from recollex.llm.abuse import FOUND, Lexicon, Trie, abuse_rates, abuse_scores, score
+from recollex.llm.abuse import FOUND, WEIGHTS, Learned, Lexicon, Trie, abuse_rates, abuse_scores, learned, ordinary_words, reviewed, scored
 from recollex.llm.mixing import drawn, emitted, mixing_rates, rates_of, shares
 from recollex.llm.packing import configurations, fill_report, pack, packed
 from recollex.llm.tokens import VOCABULARY, counted, with_sizes
 from recollex.sources.shared import Scratch
+from sentences import ABUSIVE as OWN_ABUSIVE, HARMLESS
 
 
 def test_token_counts(spark):
@@ -88,7 +89,7 @@ def test_mix_reaches_its_shares(spark):
 
 @pytest.fixture(scope="module")
 def lexicon():
-    return Lexicon()
+    return Lexicon(ordinary_words())
 
 
 ABUSIVE = [
@@ -103,12 +104,12 @@ NEUTRAL = [
 
 @pytest.mark.parametrize("text", ABUSIVE)
 def test_abuse_is_found(lexicon, text):
-    assert score(lexicon.hits(text)) >= FOUND
+    assert scored(lexicon, Learned(), text)[0] >= FOUND
 
 
 @pytest.mark.parametrize("text", NEUTRAL)
 def test_neutral_texts_are_not(lexicon, text):
-    assert score(lexicon.hits(text)) < FOUND
+    assert scored(lexicon, Learned(), text)[0] < FOUND
 
 
 def levenshtein(a, b):
@@ -145,20 +146,47 @@ def test_scores_of_documents(spark):
     assert abuse_scores(spark.createDataFrame([], "doc_id bigint, source string, text string"), Scratch(spark)).count() == 0
 
 
-def test_frequent_near_misses_are_ordinary_words(spark):
-    rows = [(i, "a", "he likes pandejos") for i in range(40)] + [(100, "a", "he likes pendejos")]
-    found = abuse_scores(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Scratch(spark))
-    assert [r.doc_id for r in found.where("score >= 0.5").collect()] == [100]
+def test_a_score_is_that_of_the_text_alone(spark):
+    for n in (1, 5, 60):
+        rows = [(i, "a", "you idoit") for i in range(n)] + [(100, "a", "what a scumbga"), (101, "a", "in regard to the planner")]
+        found = abuse_scores(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Scratch(spark))
+        assert {r.doc_id for r in found.where(F.col("score") >= FOUND).collect()} == {*range(n)}
+
+
+def test_own_sentences_in_five_languages(lexicon):
+    true = false = missed = 0
+    for lang, lines in OWN_ABUSIVE.items():
+        found = [scored(lexicon, Learned(), x)[0] >= FOUND for x in lines.split("\n")]
+        harmless = [scored(lexicon, Learned(), x)[0] >= FOUND for x in HARMLESS[lang].split("\n")]
+        assert sum(found) >= 0.8 * len(found) and sum(harmless) <= 0.2 * len(harmless)
+        true, missed, false = true + sum(found), missed + len(found) - sum(found), false + sum(harmless)
+    assert true / (true + missed) >= 0.9 and true / (true + false) >= 0.85
+
+
+def test_phrases_and_weights_are_learned_from_reviews(spark):
+    rng = np.random.default_rng(4)
+    filler = lambda: " ".join(rng.choice(["build", "index", "cache", "table", "stream", "column", "patch", "queue"], 12))
+    bad = "a chair has more wits than the likes of you"
+    rows = [(i, "a", f"{filler()} {bad if i % 5 == 0 else ''} {filler()}") for i in range(400)]
+    rows += [(1000 + i, "b", f"{filler()} they say dildo twice {filler()}") for i in range(120)]
+    documents = spark.createDataFrame([*rows, (5000, "c", None), (5001, "c", f"x {bad} y"), (5002, "c", "the chair has four legs and more wits")], "doc_id bigint, source string, text string")
+    labels = [(i, "r1", int(i % 5 == 0), "Insult " if i % 5 == 0 else None) for i in range(200)] + [(1000 + i, "r1", 0, None) for i in range(100)]
+    labels += [(5000, "r1", 1, None), (9999, "r1", 1, "threat"), (None, "r1", 1, None), (3, "r2", None, None), (6, "r2", 1, "hate"), (10, "r2", 1, None)]
+    reviews = spark.createDataFrame(labels, "doc_id bigint, reviewer string, is_abusive int, category string")
+    scratch = Scratch(spark)
+    context = spark.sparkContext
+    known = learned(documents, reviews, scratch, context.broadcast(ordinary_words()))
+    assert len(known.phrases) and set(known.categories) == {"insult"} and known.kinds["strong plain"] < 0.2 < WEIGHTS["strong plain"]
+    found = {r.doc_id: r for r in abuse_scores(documents, scratch, reviews).collect()}
+    held_out = [found[i].score >= FOUND for i in range(200, 400)]
+    assert held_out == [i % 5 == 0 for i in range(200, 400)]
+    assert found[5001].score >= FOUND and found[5001].category == "insult" and found[5002].score == 0 == found[5000].score and found[1110].score < FOUND
+    assert reviewed(reviews, 50).count() == 50 and 6 not in {r.doc_id for r in reviewed(reviews).collect()}
+    assert abuse_scores(documents, scratch, reviews.limit(0)).where("doc_id = 5001").first().score == 0
 
 
 def test_words_about_terms_take_back_mentions_only(lexicon):
     for text in ("i will kill you if you touch the policy", "fix the filter, you moron", "the policy was written by an idiot"):
-        assert score(lexicon.hits(text)) >= FOUND
+        assert scored(lexicon, Learned(), text)[0] >= FOUND
     for text in ("the term moron is in the list", "add idiot to the blocklist", 'the filter drops "moron" now', "slurs like whore and slut"):
-        assert score(lexicon.hits(text)) < FOUND
-
-
-def test_repeated_abuse_with_a_misspelling_is_no_ordinary_word(spark):
-    rows = [(i, "a", "you are a complete scumbga") for i in range(40)] + [(100, "a", "what a scumbga")]
-    found = abuse_scores(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Scratch(spark))
-    assert found.where("score >= 0.5").count() == 41
+        assert scored(lexicon, Learned(), text)[0] < FOUND
