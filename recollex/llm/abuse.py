@@ -274,8 +274,8 @@ class Lexicon:
         plain = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), plain)
         plain = _MASKED.sub(lambda m: self.unmasked(m[0]), plain)
         words = [w for word in _WORD.findall(plain) for w in (word.replace("’", "'").split("'") if "'" in word or "’" in word else (word,)) if w]
-        canonical = self.canonical
-        return plain, words, [canonical(w) for w in words]
+        memo, canonical = self.memo, self.canonical
+        return plain, words, [memo.get(w) or canonical(w) for w in words]
 
     def hits(self, text: str | None) -> list[tuple[str, str, str, bool]]:
         """(category, term, kind, quoted) of each hit; no text has none."""
@@ -376,16 +376,17 @@ class Lexicon:
         """What phrases are learned of: the words as they were mended, and single CJK characters."""
         return [t for term, _ in same for t in (term if _CHINESE_RUN.search(term) else (term,))]
 
-    def hashed(self, tokens: list[str]) -> np.ndarray:
+    def hashed(self, same: list[tuple[str, int]]) -> np.ndarray:
+        """Hashes of `tokens`."""
         memo = self.hashes
         if len(memo) > MEMO:
             memo.clear()
-        made = []
-        for t in tokens:
-            h = memo.get(t)
-            if h is None:
-                h = memo[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-            made.append(h)
+        made: list[int] = []
+        for term, _ in same:
+            known = memo.get(term)
+            if known is None:
+                known = memo[term] = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in self.tokens([(term, 0)])]
+            made += known
         return np.array(made, dtype=np.uint64)
 
 
@@ -412,16 +413,14 @@ class Learned:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     categories: list[str] = field(default_factory=list)
 
-    def phrase(self, tokens: list[str], hashes: np.ndarray) -> tuple[float, str, str] | None:
-        """(weight, category, words) of the best phrase of a text."""
+    def phrase(self, hashes: np.ndarray) -> tuple[float, str, int, int] | None:
+        """(weight, category, place, words) of the best phrase of a text."""
         best = None
         for n, run in phrases(hashes):
-            if not len(self.phrases):
-                return None
             at = np.minimum(np.searchsorted(self.phrases, run), len(self.phrases) - 1)
             for i in np.flatnonzero(self.phrases[at] == run).tolist():
                 if best is None or self.weights[at[i]] > best[0]:
-                    best = float(self.weights[at[i]]), self.categories[at[i]], " ".join(tokens[i : i + n])
+                    best = float(self.weights[at[i]]), self.categories[at[i]], i, n
         return best
 
 
@@ -438,10 +437,9 @@ def scored(lexicon: Lexicon, known: Learned, text: str | None) -> tuple[float, f
     if not words:
         return 0.0, 0.0, None, []
     hits = [(known.kinds[kind], category, term, quoted) for category, term, kind, quoted in lexicon._hits(plain, words, same)]
-    tokens = lexicon.tokens(same)
-    phrase = known.phrase(tokens, lexicon.hashed(tokens))
-    if phrase:
-        hits.append((*phrase, False))
+    if len(known.phrases) and (phrase := known.phrase(lexicon.hashed(same))):
+        weight, category, at, n = phrase
+        hits.append((weight, category, " ".join(lexicon.tokens(same)[at : at + n]), False))
     if not hits:
         return 0.0, 0.0, None, []
     return score([h[0] for h in hits]), score([h[0] for h in hits if h[3]]), max(hits, key=lambda h: (h[0], h[1]))[1], sorted({h[2] for h in hits})
@@ -469,7 +467,7 @@ def _evidence(ordinary) -> Callable:
             keys, rows = [], []
             for text, rate, category in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 plain, words, same = lexicon.read(text)
-                runs = [run for _, run in phrases(lexicon.hashed(lexicon.tokens(same)))]
+                runs = [run for _, run in phrases(lexicon.hashed(same))]
                 if kinds := {kind for _, _, kind, _ in lexicon._hits(plain, words, same)}:
                     runs.append(np.array([_key(max(kinds, key=lambda k: (WEIGHTS[k], k)))], dtype=np.uint64))
                 made = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
