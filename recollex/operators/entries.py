@@ -108,13 +108,14 @@ def list_by_importance(entries: DataFrame, workspace: str | None, limit: int) ->
 
 
 def summary_view(entries: DataFrame) -> DataFrame:
-    """The nine columns of a summary; tags joined by commas."""
-    return entries.select("id", "workspace", "session_id", "kind", "content", "importance", F.array_join("tags", ",").alias("tags"), "status", micros("created_at").alias("created_us"))
+    """The nine columns of a summary; tags joined by commas, an importance that is no number null."""
+    importance = F.when(~F.isnan("importance"), F.col("importance")).alias("importance")
+    return entries.select("id", "workspace", "session_id", "kind", "content", importance, F.array_join("tags", ",").alias("tags"), "status", micros("created_at").alias("created_us"))
 
 
 def detail_view(entries: DataFrame) -> DataFrame:
     """A summary and its further fields as JSON without those that are null."""
-    return summary_view(entries).join(entries.select("id", F.to_json(F.struct("self_relevance", "superseded_by", "supersedes", "access_count", "dedup_key")).alias("detail")), "id")
+    return summary_view(entries).join(entries.select("id", F.to_json(F.struct(F.when(~F.isnan("self_relevance"), F.col("self_relevance")).alias("self_relevance"), "superseded_by", "supersedes", "access_count", "dedup_key")).alias("detail")), "id")
 
 
 def validation_errors() -> Column:

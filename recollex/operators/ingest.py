@@ -83,7 +83,7 @@ def log_of(entries: DataFrame) -> DataFrame:
     at = F.col("a.at")
     micro = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
     return a.select(
-        (micro * 16 + F.least(F.col("position"), F.lit(15))).alias("op_id"), "id", op.alias("op"), at.alias("at"), F.col("a.by").alias("by"), F.col("importance"),
+        (micro * 512 + F.col("position")).alias("op_id"), "id", op.alias("op"), at.alias("at"), F.col("a.by").alias("by"), F.col("importance"),
         F.when(created, F.col("kind")).alias("kind"), F.when(created, F.col("tags")).alias("tags"), F.when(created, F.col("content")).alias("content"), F.when(created, F.col("workspace")).alias("workspace"), F.col("superseded_by").alias("other"))
 
 

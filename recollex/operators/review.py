@@ -8,37 +8,68 @@ from pyspark.sql import DataFrame, functions as F
 from recollex.sources.shared import Scratch, shuffle_width
 
 
-def judged(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Verdicts (focus_id, peer_id, action, ...) with outcome, and which of both memories stays and goes.
+def judged(verdicts: DataFrame, entries: DataFrame, order: tuple[str, ...] = ("output_id", "position")) -> DataFrame:
+    """Verdicts (focus_id, peer_id, action, ...) one after the other in their order, with outcome, which of both memories
+    stays and goes, and the importance that the one that stays has then if a merge raised it.
 
-    Both must be there, active, not superseded and of one workspace; the newer by
-    (created_at, id) stays.
+    Both must be there, active, not superseded and of one workspace, also after what earlier verdicts
+    did; the newer by (created_at, id) stays.  Verdicts that name neither memory of each other don't
+    matter to each other, so each connected set of memories is folded on its own.
     """
-    ends = entries.select("id", "status", "superseded_by", "workspace", "created_at")
+    ends = entries.select("id", "status", "superseded_by", "workspace", "created_at", "importance")
     f = ends.select(*[F.col(c).alias(f"f_{c}") for c in ends.columns])
     p = ends.select(*[F.col(c).alias(f"p_{c}") for c in ends.columns])
     rows = verdicts.join(f, F.col("focus_id") == F.col("f_id"), "left").join(p, F.col("peer_id") == F.col("p_id"), "left")
-    outcome = (
-        F.when(F.col("f_id").isNull() | F.col("p_id").isNull() | (F.col("f_status") != "active") | (F.col("p_status") != "active"), "skip invalid")
-        .when(F.col("f_superseded_by").isNotNull() | F.col("p_superseded_by").isNotNull(), "skip superseded")
-        .when(~F.col("f_workspace").eqNullSafe(F.col("p_workspace")), "skip invalid")
-        .when(F.col("action") == "none", "skip none").otherwise(F.col("action"))
+    gone = F.col("f_id").isNull() | F.col("p_id").isNull() | ~F.coalesce(F.col("f_status") == "active", F.lit(False)) | ~F.coalesce(F.col("p_status") == "active", F.lit(False))
+    alone = (
+        F.when(gone, "skip invalid").when(F.col("f_superseded_by").isNotNull() | F.col("p_superseded_by").isNotNull(), "skip superseded")
+        .when(~F.col("f_workspace").eqNullSafe(F.col("p_workspace")), "skip invalid").when(F.col("action") == "none", "skip none").otherwise(F.col("action"))
     )
-    newer = F.struct("f_created_at", "f_id") > F.struct("p_created_at", "p_id")
-    done = outcome.isin("merge", "archive")
-    return rows.select(*verdicts.columns, outcome.alias("outcome"), F.when(done, F.when(newer, F.col("f_id")).otherwise(F.col("p_id"))).alias("keep_id"), F.when(done, F.when(newer, F.col("p_id")).otherwise(F.col("f_id"))).alias("drop_id"))
+    newer = F.coalesce(F.struct("f_created_at", "f_id") > F.struct("p_created_at", "p_id"), F.lit(False))
+    named = rows.select(*verdicts.columns, gone.alias("_gone"), alone.alias("_alone"), F.when(newer, F.col("f_id")).otherwise(F.col("p_id")).alias("_new"), F.when(newer, F.col("p_id")).otherwise(F.col("f_id")).alias("_old"),
+                        F.when(newer, F.col("f_importance")).otherwise(F.col("p_importance")).alias("_new_imp"), F.when(newer, F.col("p_importance")).otherwise(F.col("f_importance")).alias("_old_imp"))
+    named = Scratch(verdicts.sparkSession).keep(named)
+    there = named.where("not _gone")
+    labels = connected(there.where("_new <> _old"), "_new", "_old")
+    there = there.join(labels, there["_new"] == labels["id"], "left").withColumn("_label", F.coalesce("label", "_new")).drop("id", "label")
+    kinds, names = dict(named.dtypes), verdicts.columns
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(list(order), kind="stable")
+        importance, archived, made = {}, set(), []
+        for alone, new, old, new_importance, old_importance in part[["_alone", "_new", "_old", "_new_imp", "_old_imp"]].itertuples(index=False):
+            outcome = "skip invalid" if new in archived or old in archived else alone
+            raised = None
+            if outcome == "merge":
+                now, other = importance.get(new, new_importance), importance.get(old, old_importance)
+                if other > now:
+                    raised = importance[new] = other
+            if outcome in ("merge", "archive"):
+                archived.add(old)
+            done = outcome in ("merge", "archive")
+            made.append((outcome, new if done else None, old if done else None, raised))
+        return part[names].assign(**dict(zip(("outcome", "keep_id", "drop_id", "importance"), map(list, zip(*made)))))
+
+    columns = [*[f"`{c}` {kinds[c]}" for c in names], "outcome string", "keep_id string", "drop_id string", "importance double"]
+    # Of a fixed number, so that adaptive execution doesn't join partitions that are small in bytes but not in work.
+    folded = there.repartition(shuffle_width(verdicts.sparkSession), "_label").groupBy("_label").applyInPandas(run, ", ".join(columns))
+    none = F.lit(None)
+    missing = named.where("_gone").select(*verdicts.columns, F.col("_alone").alias("outcome"), none.cast("string").alias("keep_id"), none.cast("string").alias("drop_id"), none.cast("double").alias("importance"))
+    return folded.unionByName(missing)
 
 
-def connected(pairs: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(id, label): the least id reached over pairs, by passing labels on until none changes.  Pairs of near-copies
-    reach each other in a few steps."""
+def connected(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+    """(id, label): the least id reached over pairs.  In a round each takes the least label of its neighbours, and then that
+    label's own label, so rounds grow with the logarithm of the longest chain."""
     scratch = Scratch(pairs.sparkSession)
     both = pairs.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(pairs.select(F.col(b).alias("id"), F.col(a).alias("other"))).distinct()
     both = scratch.keep(both)
     labels = scratch.keep(both.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("label")))
     for _ in range(rounds):
         passed = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        new = scratch.keep(labels.join(passed, "id").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")))
+        near = labels.join(passed, "id").select("id", "label", F.least("label", "near").alias("near"))
+        jumped = near.join(labels.select(F.col("id").alias("near"), F.col("label").alias("far")), "near", "left")
+        new = scratch.keep(jumped.select("id", F.least("near", F.coalesce("far", "near")).alias("new"), "label").select("id", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
         if new.where("changed").isEmpty():
             return new.drop("changed")
         labels = new.drop("changed")

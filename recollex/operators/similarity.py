@@ -1,9 +1,11 @@
 """Exact set-similarity joins within blocks, and the joins of upkeep and review built on them.
 
 A pair at or above a threshold shares at least one of the first tokens of both sets in
-any common order; with rare tokens first few pairs meet by chance.  Candidates come
-from an equi-join on (block, token), lengths that cannot reach the threshold are cut
-in the join, and integers decide on full sets: no pair is lost or invented.
+any common order; with rare tokens first few pairs meet by chance.  Rows of one block with
+equal token sets form a class, so a text that a third of all rows have is compared once.
+Candidates come from an equi-join on (block, token) of classes, tokens being ordered by how many
+classes of the block have them; lengths that cannot reach the threshold are cut in the join,
+and integers decide on full sets: no pair is lost or invented.
 """
 
 from __future__ import annotations
@@ -11,54 +13,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollex.functions.scoring import cosine, usable_vector
-from recollex.functions.text import normalize_content
-from recollex.operators.entries import latest
 from recollex.operators.search import with_tokens
+from recollex.sources.shared import Scratch
 
 DAY = 86_400_000_000
+#: Parts into which a prefix token is split that more than `HOT` classes of a block share.
+SALTS, HOT = 16, 20_000
 
 
-def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], carry: list[str] = (), condition: Column | None = None) -> DataFrame:
-    """Pairs a_id < b_id of rows in one block with shared / all tokens >= above / below.
+def token_classes(rows: DataFrame, block: list[str]) -> DataFrame:
+    """Rows with `class`, a hash of the block and the set of tokens, those without tokens or with a null in the block left out."""
+    rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0).dropna(subset=list(block))
+    return rows.withColumn("class", F.xxhash64(*block, "tokens"))
 
-    `rows` has a unique id, the block's columns, tokens, and `carry`, which come back as
-    a_... and b_... and may be used in `condition`; that cuts pairs before they are checked.
-    Rows without tokens or with a null in the block form no pair.
+
+def similar_classes(sets: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
+    """(a, b, shared, total): pairs a < b of classes (block, class, tokens) of one block at or above the threshold.
+
+    A token that very many classes of a block share in their prefixes is joined in salted parts: each of its classes
+    is in one part on the one side and in all parts on the other.
     """
-    rows = rows.select("id", *block, *carry, F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0).dropna(subset=list(block))
-    posts = rows.select("id", F.explode("tokens").alias("token"))
-    counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = posts.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))  # one record's tokens
+    posts = sets.select(*block, "class", F.explode("tokens").alias("token"))
+    counts = posts.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = posts.join(counts, [*block, "token"]).groupBy(*block, "class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))  # one record's tokens
     size = F.size("o")
     kept = size - F.ceil(size * above / below) + 1
-    prefix = ordered.select("id", size.alias("size"), F.explode(F.slice("o", F.lit(1), kept.cast("int"))).alias("p")).select("id", "size", "p.token")
-    prefix = prefix.join(rows.select("id", *block, *carry), "id")
-    a = prefix.select(*block, "token", *[F.col(c).alias(f"a_{c}") for c in ("id", "size", *carry)])
-    b = prefix.select(*block, "token", *[F.col(c).alias(f"b_{c}") for c in ("id", "size", *carry)])
-    met = a.join(b, [*block, "token"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_size") * below >= F.col("b_size") * above) & (F.col("b_size") * below >= F.col("a_size") * above))
-    if condition is not None:
-        met = met.where(condition)
-    carried = [f"{s}_{c}" for c in carry for s in "ab"]
-    met = met.select(*block, "a_id", "b_id", *carried).distinct()
-    one, two = rows.select(F.col("id").alias("a_id"), F.col("tokens").alias("a_t")), rows.select(F.col("id").alias("b_id"), F.col("tokens").alias("b_t"))
-    both = met.join(one, "a_id").join(two, "b_id")
+    prefix = ordered.select(*block, "class", size.alias("size"), F.explode(F.slice("o", F.lit(1), kept.cast("int"))).alias("p")).select(*block, "class", "size", "p.*")
+    hot = F.col("n") > HOT
+    own = F.when(hot, F.pmod("class", F.lit(SALTS))).otherwise(-1)
+    every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))
+    a = prefix.select(*block, "token", own.cast("int").alias("salt"), F.col("class").alias("a"), F.col("size").alias("a_size"))
+    b = prefix.select(*block, "token", every.alias("salt"), F.col("class").alias("b"), F.col("size").alias("b_size"))
+    met = a.join(b, [*block, "token", "salt"]).where((F.col("a") < F.col("b")) & (F.col("a_size") * below >= F.col("b_size") * above) & (F.col("b_size") * below >= F.col("a_size") * above))
+    met = met.select("a", "b").distinct()
+    one, two = sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_t")), sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_t"))
+    both = met.join(one, "a").join(two, "b")
     checked = both.withColumn("shared", F.size(F.array_intersect("a_t", "b_t"))).withColumn("total", F.size("a_t") + F.size("b_t") - F.col("shared"))
-    return checked.where(F.col("shared") * below >= F.col("total") * above).drop("a_t", "b_t")
+    return checked.where(F.col("shared") * below >= F.col("total") * above).select("a", "b", "shared", "total")
 
 
-def without_copies(entries: DataFrame, block: list[str]) -> DataFrame:
-    """One row per normalised content in a block, active ones first, then the oldest: writing merges copies, so
-    joins are between different texts, and a text that a third of all rows have meets others once."""
-    rows = entries.where("content is not null").withColumn("_normal", F.xxhash64(normalize_content("content")))
-    order = [(F.col("status") == "active").desc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-    return latest(rows, [*block, "_normal"], order).drop("_normal")
+def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], carry: list[str] = (), condition: Column | None = None) -> DataFrame:
+    """Pairs a_id < b_id of rows in one block with shared / all tokens >= above / below, copies included.
+
+    `rows` has a unique id, the block's columns, tokens, and `carry`, which come back as
+    a_... and b_... and may be used in `condition`.  Rows without tokens or with a null in the
+    block form no pair.  By definition the pairs of a text with many copies are quadratic in these;
+    `token_classes` and `similar_classes` give the same links as classes and membership.
+    """
+    scratch = Scratch(rows.sparkSession)
+    kept = scratch.keep(token_classes(rows.select("id", *block, *carry, "tokens"), block))
+    sets = kept.groupBy(*block, "class").agg(F.first("tokens").alias("tokens"))
+    between = similar_classes(sets, above, below, block)
+    within = kept.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("tokens")).alias("size")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").alias("shared"), F.col("size").alias("total"))
+    linked = between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "total")).unionByName(within)
+    x = kept.select(*block, F.col("class").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("id", *carry)])
+    y = kept.select(F.col("class").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("id", *carry)])
+    pairs = linked.join(x, "a").join(y, "b").where("a_id < b_id")
+    if condition is not None:
+        pairs = pairs.where(condition)
+    return pairs.select(*block, "a_id", "b_id", *[f"{s}_{c}" for c in carry for s in "ab"], "shared", "total")
 
 
 def supersede_pairs(entries: DataFrame, now: str) -> DataFrame:
     """(old_id, new_id, shared, total): the newer memory restates the older, active one of the same
     workspace and kind within 30 days, at a similarity of 0.7."""
     at = F.lit(now).cast("timestamp_ntz")
-    rows = with_tokens(without_copies(entries.where(F.col("created_at") <= at), ["workspace", "kind"]))
+    rows = with_tokens(entries.where(F.col("created_at") <= at))
     gap = F.timestamp_diff("MICROSECOND", F.col("a_created_at"), F.col("b_created_at"))
     pairs = similar_pairs(rows, 7, 10, ["workspace", "kind"], ["created_at", "status"], F.abs(gap) <= 30 * DAY)
     a_old = (F.col("a_created_at") < F.col("b_created_at")) | ((F.col("a_created_at") == F.col("b_created_at")) & (F.col("a_id") < F.col("b_id")))
@@ -78,7 +98,7 @@ def merge_pairs(entries: DataFrame) -> DataFrame:
     """(keep_id, drop_id, shared, total): active, not superseded memories of one workspace and kind with
     importances at most 2 apart and a similarity of 0.85; the newer is kept."""
     usable = entries.where("status = 'active' and superseded_by is null and importance is not null and not isnan(importance)")
-    rows = with_tokens(without_copies(usable, ["workspace", "kind"]))
+    rows = with_tokens(usable)
     near = F.abs(F.col("a_importance") - F.col("b_importance")) <= 2
     pairs = similar_pairs(rows, 17, 20, ["workspace", "kind"], ["created_at", "importance"], near)
     a_new = F.struct("a_created_at", "a_id") > F.struct("b_created_at", "b_id")
@@ -87,7 +107,7 @@ def merge_pairs(entries: DataFrame) -> DataFrame:
 
 def summary_pairs(entries: DataFrame) -> DataFrame:
     """(old_id, new_id, shared, total): summaries of one session that share half of their tokens."""
-    rows = with_tokens(without_copies(entries.where("status = 'active' and array_contains(tags, 'session-summary')"), ["session_id"]))
+    rows = with_tokens(entries.where("status = 'active' and array_contains(tags, 'session-summary')"))
     pairs = similar_pairs(rows, 1, 2, ["session_id"], ["created_at"])
     a_old = F.struct("a_created_at", "a_id") < F.struct("b_created_at", "b_id")
     return pairs.select("session_id", F.when(a_old, F.col("a_id")).otherwise(F.col("b_id")).alias("old_id"), F.when(a_old, F.col("b_id")).otherwise(F.col("a_id")).alias("new_id"), "shared", "total")

@@ -40,9 +40,10 @@ def tag_operations(entries: DataFrame, now: str) -> DataFrame:
 
 
 def verdict_operations(verdicts: DataFrame, entries: DataFrame, now: str) -> DataFrame:
-    """What verdicts lead to: the first one that archives a memory counts."""
+    """What verdicts lead to, applied in their order: memories archived, and importances that merges raised."""
     done = judged(verdicts, entries).where("drop_id is not null")
-    return _operation(done.groupBy("drop_id").agg(F.min("keep_id").alias("keep_id")), 5, F.col("drop_id"), "archive", now, other=F.col("keep_id"))
+    raised = done.where("importance is not null").groupBy("keep_id").agg(F.max("importance").alias("importance"))
+    return _operation(raised, 5, F.col("keep_id"), "update", now, importance=F.col("importance")).unionByName(_operation(done, 6, F.col("drop_id"), "archive", now, other=F.col("keep_id")))
 
 
 def cycle(entries: DataFrame, now: str, verdicts: DataFrame | None = None, first: int = 1) -> DataFrame:

@@ -176,7 +176,7 @@ def _q(sql: str) -> str:
     return E + sql
 
 
-_SUMMARY = "SELECT id, workspace, session_id, kind, content, importance, array_to_string(list_filter(tags, lambda t: t IS NOT NULL), ',') AS tags, status, epoch_us(created_at) AS created_us FROM "
+_SUMMARY = "SELECT id, workspace, session_id, kind, content, CASE WHEN NOT isnan(importance) THEN importance END AS importance, array_to_string(list_filter(tags, lambda t: t IS NOT NULL), ',') AS tags, status, epoch_us(created_at) AS created_us FROM "
 _LINE = "concat('- [', kind, '] ', content, '（重要度 ', CAST(floor({i}) AS BIGINT), '，记忆 #', substring(id, 1, 8), '，来自会话 ', substring(regexp_replace(session_id, '^session-', ''), 1, 8), coalesce('，创建于 ' || strftime(created_at, '%Y-%m-%d'), ''), '）')".format(i=S.IMPORTANCE)
 
 

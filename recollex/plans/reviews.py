@@ -18,7 +18,7 @@ def jaccard_pairs(spark, d):
     """Visible memories of one workspace and kind that share half of their tokens."""
     from recollex.operators.search import with_tokens
 
-    rows = with_tokens(sim.without_copies(en.candidates(entries(spark, d)), ["workspace", "kind"]))
+    rows = with_tokens(en.candidates(entries(spark, d)))
     return sim.similar_pairs(rows, 1, 2, ["workspace", "kind"]).select("a_id", "b_id", "shared", "total")
 
 
@@ -157,13 +157,8 @@ def supersede_chain(spark, d):
 _E = S.ENTRIES
 
 
-def _first(source: str, block: str, name: str = "firsts") -> str:
-    """The first row of each normalised content in a block."""
-    return f"{name} AS (SELECT * FROM {source} WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {block}, {S.normal('content')} ORDER BY coalesce(status = 'active', false) DESC, created_at NULLS LAST, id) = 1)"
-
-
 _OLD = "(a_created_at < b_created_at OR (a_created_at = b_created_at AND a_id < b_id))"
-_SUPER = (_E, f"src AS (SELECT * FROM entries WHERE created_at <= TIMESTAMP '{NOW}')", _first("src", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 7, 10, "true", "created_at, status"))
+_SUPER = (_E, f"src AS (SELECT * FROM entries WHERE created_at <= TIMESTAMP '{NOW}')", S.pairs("src", ["workspace", "kind"], 7, 10, "true", "created_at, status"))
 _SUPER_PAIRS = f"sp AS (SELECT CASE WHEN {_OLD} THEN a_id ELSE b_id END AS old_id, CASE WHEN {_OLD} THEN b_id ELSE a_id END AS new_id, CASE WHEN {_OLD} THEN b_created_at ELSE a_created_at END AS new_at, CASE WHEN {_OLD} THEN a_created_at ELSE b_created_at END AS old_at, shared, total FROM pairs WHERE abs(epoch_us(a_created_at) - epoch_us(b_created_at)) <= {30 * 86_400_000_000} AND CASE WHEN {_OLD} THEN a_status ELSE b_status END = 'active')"
 _WINDOW = "win AS (SELECT * FROM (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 400) WHERE NOT coalesce(list_has_any(tags, ['session-summary', 'snapshot']), false))"
 _REVIEW = (
@@ -214,9 +209,16 @@ def _rating(path: str) -> str:
 
 _DECISIONS = (_ANSWERS, _items("decisions"), f"dec AS (SELECT * FROM (SELECT output_id, recorded_at, position, {_text('$.focusId')} AS focus_id, {_text('$.peerId')} AS peer_id, {_text('$.action')} AS action_, {_text('$.reason')} AS reason FROM it) WHERE focus_id <> '' AND peer_id <> '' AND action_ IN ('merge', 'archive', 'none') AND reason IS NOT NULL)")
 _EDGES = (_ANSWERS, _items("edges"), f"prop AS (SELECT * FROM (SELECT output_id, position, {_text('$.sourceId')} AS source_id, {_text('$.targetId')} AS target_id, {_number('$.confidence')} AS confidence, {_text('$.justification')} AS justification FROM it) WHERE source_id <> '' AND target_id <> '' AND confidence IS NOT NULL)")
+#: Verdicts one after the other, each seeing which memories earlier ones archived.
 _APPLY = (
-    "app AS (SELECT output_id, position, action_, CASE WHEN f.id IS NULL OR p.id IS NULL OR f.status <> 'active' OR p.status <> 'active' THEN 'skip invalid' WHEN f.superseded_by IS NOT NULL OR p.superseded_by IS NOT NULL THEN 'skip superseded' "
-    "WHEN f.workspace IS DISTINCT FROM p.workspace THEN 'skip invalid' WHEN action_ = 'none' THEN 'skip none' ELSE action_ END AS o, (f.created_at, f.id) > (p.created_at, p.id) AS fnew, f.id AS fid, p.id AS pid FROM dec LEFT JOIN entries f ON f.id = focus_id LEFT JOIN entries p ON p.id = peer_id)"
+    "st AS (SELECT row_number() OVER (ORDER BY output_id, position) AS n, output_id, position, action_, focus_id, peer_id, (f.created_at, f.id) > (p.created_at, p.id) AS fnew, "
+    "f.id IS NULL OR p.id IS NULL OR coalesce(f.status <> 'active', true) OR coalesce(p.status <> 'active', true) AS bad, f.superseded_by IS NOT NULL OR p.superseded_by IS NOT NULL AS sup, f.workspace IS DISTINCT FROM p.workspace AS apart "
+    "FROM dec LEFT JOIN entries f ON f.id = focus_id LEFT JOIN entries p ON p.id = peer_id)",
+    "steps(n, gone, o, keep_id, drop_id) AS (SELECT 0::BIGINT, []::VARCHAR[], ''::VARCHAR, NULL::VARCHAR, NULL::VARCHAR UNION ALL "
+    "SELECT x.n, CASE WHEN x.o IN ('merge', 'archive') THEN list_append(x.gone, x.old_) ELSE x.gone END, x.o, CASE WHEN x.o IN ('merge', 'archive') THEN x.new_ END, CASE WHEN x.o IN ('merge', 'archive') THEN x.old_ END "
+    "FROM (SELECT st.n, steps.gone, CASE WHEN bad OR list_contains(steps.gone, focus_id) OR list_contains(steps.gone, peer_id) THEN 'skip invalid' WHEN sup THEN 'skip superseded' WHEN apart THEN 'skip invalid' WHEN action_ = 'none' THEN 'skip none' ELSE action_ END AS o, "
+    "CASE WHEN fnew THEN focus_id ELSE peer_id END AS new_, CASE WHEN fnew THEN peer_id ELSE focus_id END AS old_ FROM steps JOIN st ON st.n = steps.n + 1) x)",
+    "app AS (SELECT output_id, position, action_, o, keep_id, drop_id FROM st JOIN steps USING (n))",
 )
 
 _ACCEPT = (
@@ -225,7 +227,7 @@ _ACCEPT = (
 )
 
 QUERIES = {
-    "jaccard_pairs": (jaccard_pairs, S.with_(_E, S.VISIBLE, _first("visible", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 1, 2)) + "SELECT a_id, b_id, shared, total FROM pairs"),
+    "jaccard_pairs": (jaccard_pairs, S.with_(_E, S.VISIBLE, S.pairs("visible", ["workspace", "kind"], 1, 2)) + "SELECT a_id, b_id, shared, total FROM pairs"),
     "supersede_pairs": (supersede_pairs, S.with_(*_SUPER, _SUPER_PAIRS) + "SELECT old_id, new_id, shared, total FROM sp"),
     "supersede_pointers": (
         supersede_pointers,
@@ -234,14 +236,14 @@ QUERIES = {
     ),
     "maintenance_merge_pairs": (
         maintenance_merge_pairs,
-        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", _first("src", "workspace, kind"), S.pairs("firsts", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
+        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", S.pairs("src", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
         + "SELECT CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN a_id ELSE b_id END AS keep_id, CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN b_id ELSE a_id END AS drop_id, shared, total FROM pairs",
     ),
     "maintenance_merge": (maintenance_merge, None),
     "maintenance_cycle": (maintenance_cycle, None),
     "summary_supersede": (
         summary_supersede,
-        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND list_contains(tags, 'session-summary'))", _first("src", "session_id"), S.pairs("firsts", ["session_id"], 1, 2, "true", "created_at"))
+        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND list_contains(tags, 'session-summary'))", S.pairs("src", ["session_id"], 1, 2, "true", "created_at"))
         + "SELECT session_id, CASE WHEN (a_created_at, a_id) < (b_created_at, b_id) THEN a_id ELSE b_id END AS old_id, CASE WHEN (a_created_at, a_id) < (b_created_at, b_id) THEN b_id ELSE a_id END AS new_id, shared, total FROM pairs",
     ),
     "reflection_pairs": (reflection_pairs, S.with_(*_REVIEW) + "SELECT a_id, b_id, sim, basis FROM rpairs"),
@@ -257,13 +259,13 @@ QUERIES = {
     ),
     "parse_decisions": (parse_decisions, S.with_(*_DECISIONS) + "SELECT output_id, position, focus_id, peer_id, action_ AS \"action\", reason FROM dec"),
     "parse_edges": (parse_edges, S.with_(*_EDGES) + "SELECT output_id, position, source_id, target_id, confidence, justification FROM prop"),
-    "reflection_apply": (reflection_apply, S.with_(_E, *_DECISIONS, _APPLY) + "SELECT output_id, position, action_ AS \"action\", o AS outcome, CASE WHEN o IN ('merge', 'archive') THEN CASE WHEN fnew THEN fid ELSE pid END END AS keep_id, CASE WHEN o IN ('merge', 'archive') THEN CASE WHEN fnew THEN pid ELSE fid END END AS drop_id FROM app"),
+    "reflection_apply": (reflection_apply, S.recursive(_E, *_DECISIONS, *_APPLY) + "SELECT output_id, position, action_ AS \"action\", o AS outcome, keep_id, drop_id FROM app"),
     "reflection_cumulative": (
         reflection_cumulative,
         S.with_(*_DECISIONS, "rounds AS (SELECT CAST(recorded_at AS DATE) AS round, count(*) AS decisions, count(*) FILTER (WHERE action_ = 'none') AS skipped FROM dec WHERE recorded_at IS NOT NULL GROUP BY 1)", "run AS (SELECT *, sum(CASE WHEN decisions > skipped THEN 1 ELSE 0 END) OVER (ORDER BY round) AS runs FROM rounds)")
         + "SELECT CAST(round AS VARCHAR) AS round, decisions, skipped, CAST(sum(decisions) OVER (ORDER BY round) AS BIGINT) AS total_decisions, CAST(sum(skipped) OVER (ORDER BY round) AS BIGINT) AS total_skipped, CAST(sum(CASE WHEN decisions > skipped THEN 0 ELSE 1 END) OVER (PARTITION BY runs ORDER BY round) AS BIGINT) AS empty_rounds FROM run",
     ),
-    "skip_rate": (skip_rate, S.with_(_E, *_DECISIONS, _APPLY) + "SELECT count(*) AS decisions, count(*) FILTER (WHERE o LIKE 'skip%') AS skipped, round(count(*) FILTER (WHERE o LIKE 'skip%') / (count(*) + count(*) FILTER (WHERE o LIKE 'skip%')), 6) AS panel_rate, round(count(*) FILTER (WHERE o LIKE 'skip%') / count(*), 6) AS rate FROM app"),
+    "skip_rate": (skip_rate, S.recursive(_E, *_DECISIONS, *_APPLY) + "SELECT count(*) AS decisions, count(*) FILTER (WHERE o LIKE 'skip%') AS skipped, round(count(*) FILTER (WHERE o LIKE 'skip%') / (count(*) + count(*) FILTER (WHERE o LIKE 'skip%')), 6) AS panel_rate, round(count(*) FILTER (WHERE o LIKE 'skip%') / count(*), 6) AS rate FROM app"),
     "confidence_hist": (confidence_hist, S.with_(S.EDGES, _HIST) + "SELECT * FROM hist"),
     "adaptive_confidence": (adaptive_confidence, S.with_(S.EDGES, _HIST) + "SELECT below_55, below_75, CAST(CASE WHEN below_55 > 1.5 * below_75 AND below_55 > 3 THEN 0.5 WHEN below_75 > below_55 AND below_75 > 3 THEN 0.6 ELSE 0.55 END AS DOUBLE) AS least_confidence FROM hist"),
     "causal_neighbors": (

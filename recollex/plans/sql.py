@@ -73,6 +73,10 @@ def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
+def recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+
 def pairs(source: str, block: list[str], above: int, below: int, extra: str = "true", carry: str = "") -> str:
     """CTEs t, p and pairs(a_id, b_id, shared, total): similar pairs of a relation by shared tokens."""
     same = " AND ".join(f"a.{b} = b.{b}" for b in block)

@@ -12,7 +12,8 @@ from recollex.plans import registry
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+        assert not math.isnan(value)
+        return round(value, 6)
     return value
 
 
