@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollex.functions.seams import Embedder
-from recollex.functions.text import dedup_key
-from recollex.operators import context, entries as en, graph, ingest, search, similarity, vectors as vx
+from recollex.functions.text import dedup_key, excerpt
+from recollex.operators import context, entries as en, graph, ingest, search, sessions, similarity, vectors as vx
 from recollex.sources import schema as sc
 
 ACTORS = ("extractor", "tool", "user", "system")
@@ -160,25 +160,51 @@ class Memory:
     # writes, as operations
 
     def note(self, rows: DataFrame, by: str = "tool") -> tuple[DataFrame, DataFrame]:
-        """(operations, rejected) of new memories (op_id, workspace, kind, content, importance, tags).
+        """(operations, rejected) of new memories (op_id, workspace, kind, content, importance, tags, and if given session_id,
+        self_relevance, source).
 
-        A memory with the key of an active one of its workspace and kind becomes an update of that
-        one's importance; the extractor's gate rejects worthless and empty ones.
+        The extractor's gate rejects worthless and empty ones.  A memory with the key of an active one
+        of its workspace and kind, or of an earlier one of these rows, is merged into that: greatest importance,
+        union of event numbers, latest excerpt.  Others are created; those that restate active memories of the last
+        30 days supersede them, and name the earliest.  Rows without a source get one of their session and content.
         """
         if by not in ACTORS:
             raise ValueError(f"unknown actor {by!r}")
+        for name, kind in (("session_id", "string"), ("self_relevance", "double"), ("source", sc.SOURCE)):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None).cast(kind))
         gated = rows.withColumn("reason", ingest.gate_reason(F.lit(by)))
         rejected = gated.where("reason is not null")
-        keyed = gated.where("reason is null").withColumn("key", dedup_key("content"))
-        held = self.entries.where("status = 'active' and content is not null").select("workspace", "kind", dedup_key("content").alias("key"), F.col("id").alias("held"), "created_at", F.col("importance").alias("old"))
-        first = held.groupBy("workspace", "kind", "key").agg(F.min_by(F.struct("held", "old"), F.struct("created_at", "held")).alias("h"))
-        joined = keyed.join(first, ["workspace", "kind", "key"], "left")
-        new_id = F.sha2(F.concat_ws("|", "workspace", "kind", "key"), 256)
-        at = F.lit(self.now).cast("timestamp_ntz")
-        known = F.col("h.held").isNotNull()
-        return joined.select(
-            "op_id", F.coalesce("h.held", new_id).alias("id"), F.when(known, "update").otherwise("create").alias("op"), at.alias("at"), F.lit(by).alias("by"), F.when(known, F.greatest("importance", "h.old")).otherwise(F.coalesce("importance", F.lit(5.0))).alias("importance"),
-            F.when(~known, F.col("kind")).alias("kind"), F.when(~known, F.col("tags")).alias("tags"), F.when(~known, F.col("content")).alias("content"), F.when(~known, F.col("workspace")).alias("workspace"), F.lit(None).cast("string").alias("other")), rejected
+        own = F.struct(F.coalesce("session_id", F.lit("none")).alias("session_id"), F.array().cast("array<bigint>").alias("event_seqs"), excerpt("content").alias("excerpt"))
+        key = F.sha2(F.concat_ws("|", F.coalesce("workspace", F.lit("")), F.coalesce("kind", F.lit("")), dedup_key("content")), 256)
+        new = gated.where("reason is null").withColumn("source", F.coalesce("source", own.cast(sc.SOURCE))).withColumn("key", key).withColumn("rated", F.when(F.isnan("importance"), 5.0).otherwise(F.coalesce("importance", F.lit(5.0))))
+        active = self.entries.where("status = 'active' and content is not null")
+        held = active.select(key.alias("key"), F.struct("id", F.when(~F.isnan("importance"), F.col("importance")).alias("importance"), "source").alias("h"), "created_at")
+        held = held.join(new.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min_by("h", F.struct("created_at", "h.id")).alias("h"))
+        batch = new.groupBy("key").agg(F.min("op_id").alias("first"), F.max("rated").alias("top"), F.min_by("source.session_id", "op_id").alias("origin"))
+        numbers = new.select("key", F.explode("source.event_seqs").alias("n")).unionByName(held.select("key", F.explode("h.source.event_seqs").alias("n"))).where("n is not null").distinct()
+        joined = new.join(batch, "key").join(held, "key", "left").join(numbers.groupBy("key").agg(F.array_sort(F.collect_list("n")).alias("numbers")), "key", "left")
+        at, created = F.lit(self.now).cast("timestamp_ntz"), F.col("h").isNull() & (F.col("op_id") == F.col("first"))
+        merged = F.struct(F.coalesce("h.source.session_id", "origin").alias("session_id"), F.coalesce("numbers", F.array().cast("array<bigint>")).alias("event_seqs"), F.col("source.excerpt").alias("excerpt"))
+        joined = joined.withColumn("created", created).withColumn("id", F.coalesce("h.id", "key"))
+        recent = active.where((F.col("created_at") <= at) & (F.col("created_at") >= at - F.make_dt_interval(F.lit(30))))
+        fresh = search.with_tokens(joined.where("created").select("id", "workspace", "kind", "content"))
+        found = similarity.matches(fresh, search.with_tokens(recent.select("id", "workspace", "kind", "content", "created_at")), 7, 10, ["workspace", "kind"])
+        dated = found.join(recent.select(F.col("id").alias("old_id"), "created_at"), "old_id")
+        earliest = dated.groupBy(F.col("new_id").alias("id")).agg(F.min_by("old_id", F.struct("created_at", "old_id")).alias("earliest"))
+        only = lambda c: F.when(F.col("created"), F.col(c))
+        given = {
+            "op_id": F.col("op_id"), "id": F.col("id"), "op": F.when(F.col("created"), "create").otherwise("merge"), "at": at, "by": F.lit(by), "importance": F.when(F.col("created"), F.col("rated")).otherwise(F.greatest("top", "h.importance")),
+            "source": F.when(F.col("created"), F.col("source")).otherwise(merged.cast(sc.SOURCE)), "supersedes": only("earliest")} | {c: only(c) for c in ("kind", "tags", "content", "workspace", "session_id", "self_relevance")}
+        fields = sc.struct(ingest.LOG).fields
+        written = joined.join(earliest, "id", "left").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        back = {"op_id": F.col("op_id"), "id": F.col("old_id"), "op": F.lit("supersede"), "at": at, "by": F.lit(by), "other": F.col("new_id")}
+        pointers = found.join(joined.where("created").select(F.col("id").alias("new_id"), "op_id"), "new_id").select(*[back.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        return written.unionByName(pointers), rejected
+
+    def accessed(self, accesses: DataFrame, first: int) -> DataFrame:
+        """Operations of accesses (session_id, memory_id, event_id, at), of which a session counts one of a memory a minute."""
+        return ingest.access_operations(sessions.throttled(accesses, ["session_id", "memory_id"], "at", "event_id"), first)
 
     def _operation(self, op_id: int, id: str, op: str, by: str, **fields) -> DataFrame:
         if by not in ACTORS:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollex.functions.text import dedup_key, normalize_content, tokenize
+from recollex.sources.schema import MEMORY, SOURCE, struct
 
 #: Importance and tokens that an extracted memory must have.  Fixed values.
 IMPORTANCE_FLOOR, MIN_TOKENS = 1, 2
@@ -43,19 +44,22 @@ def merge_duplicates(entries: DataFrame) -> DataFrame:
     return merged.join(joined, same[0] & same[1] & same[2], "left").select(*[merged[c] for c in key], "merged", "id", "importance", "content", "session_id", "excerpt", F.coalesce("event_seqs", F.lit("")).alias("event_seqs"))
 
 
-#: Columns of the operation log: op_id orders it, op is create, update, archive, supersede or delete.
-LOG = "op_id bigint, id string, op string, at timestamp_ntz, by string, importance double, kind string, tags array<string>, content string, workspace string, other string"
-STATE = "id string, workspace string, kind string, content string, importance double, tags array<string>, status string, superseded_by string, created_at timestamp_ntz, updated_at timestamp_ntz, actions int, missing int"
+#: Columns of the operation log: op_id orders the operations on one id; op is create, update, merge, archive, supersede, access or delete.
+LOG = (
+    "op_id bigint, id string, op string, at timestamp_ntz, by string, importance double, kind string, tags array<string>, content string, workspace string, other string, "
+    f"session_id string, self_relevance double, source {SOURCE}, supersedes string"
+)
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """The state after all operations, one row per id that was created, and ids that only had other
-    operations with `missing` counting those.
+    """The state after all operations in the columns of memories, one row per id that was created, and ids that only had
+    other operations with `missing` counting those; `actions` counts operations since the creation.
 
     Fields are last-written-wins, which aggregates express with partial results on the map
-    side: no id's operations are collected.  A patch changes kind, importance and tags only;
-    superseding leaves the status; archiving is final until the id is created again;
-    deleting removes the row until then.
+    side: no id's operations are collected.  A patch changes kind, importance and tags only, a merge
+    importance and source; superseding leaves the status; archiving is final until the id is created again;
+    an access raises access_count and sets last_access_at only; deleting removes the row until the next
+    creation.  Audits stay in the log (`history`).
     """
     born = log.where("op = 'create'").groupBy("id").agg(F.max("op_id").alias("born"), F.min("op_id").alias("first"))
     dead = log.where("op = 'delete'").groupBy("id").agg(F.max("op_id").alias("dead"))
@@ -64,27 +68,57 @@ def fold(log: DataFrame) -> DataFrame:
 
     def last(column: str, *ops: str) -> Column:
         given = live & F.col("op").isin(*ops) & F.col(column).isNotNull()
-        return F.max_by(column, F.when(given, F.col("op_id")))
+        return F.max_by(column, F.when(given, F.col("op_id"))).alias(column)
 
     folded = rows.groupBy("id").agg(
-        last("workspace", "create").alias("workspace"), last("kind", "create", "update").alias("kind"), last("content", "create").alias("content"), last("importance", "create", "update").alias("importance"),
-        last("tags", "create", "update").alias("tags"), F.when(F.max(F.when(live & (F.col("op") == "archive"), 1)) == 1, "archived").otherwise("active").alias("status"), last("other", "supersede").alias("superseded_by"),
-        F.max_by("at", F.when(live & (F.col("op") == "create"), F.col("op_id"))).alias("created_at"), F.max_by("at", F.when(live, F.col("op_id"))).alias("updated_at"),
+        last("workspace", "create"), last("session_id", "create"), last("kind", "create", "update"), last("content", "create"), last("importance", "create", "update", "merge"), last("self_relevance", "create"),
+        last("tags", "create", "update"), last("source", "create", "merge"), last("supersedes", "create"),
+        F.when(F.max(F.when(live & (F.col("op") == "archive"), 1)) == 1, "archived").otherwise("active").alias("status"), last("other", "supersede").alias("superseded_by"),
+        F.max_by("at", F.when(live & (F.col("op") == "create"), F.col("op_id"))).alias("created_at"), F.max_by("at", F.when(live & (F.col("op") != "access"), F.col("op_id"))).alias("updated_at"),
+        F.max(F.when(live & F.col("op").isin("create", "access"), F.col("at"))).alias("last_access_at"), F.count_if(live & (F.col("op") == "access")).alias("access_count"),
         F.count_if(live).cast("int").alias("actions"), F.count_if(F.col("first").isNull() | (F.col("op_id") < F.col("first"))).cast("int").alias("missing"),
         F.max("born").alias("_born"), F.max("dead").alias("_dead"))
-    return folded.where("_dead is null or (_born is not null and _dead < _born)").drop("_born", "_dead")
-
-
-def log_of(entries: DataFrame) -> DataFrame:
-    """The operation log that the audits of memories tell, with the current fields at creation."""
-    a = entries.select("*", F.posexplode("audit").alias("position", "a"))
-    op = F.when(F.col("a.action") == "merge", "update").otherwise(F.col("a.action"))
-    created = F.col("a.action") == "create"
-    at = F.col("a.at")
-    micro = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
-    return a.select(
-        (micro * 512 + F.col("position")).alias("op_id"), "id", op.alias("op"), at.alias("at"), F.col("a.by").alias("by"), F.col("importance"),
-        F.when(created, F.col("kind")).alias("kind"), F.when(created, F.col("tags")).alias("tags"), F.when(created, F.col("content")).alias("content"), F.when(created, F.col("workspace")).alias("workspace"), F.col("superseded_by").alias("other"))
+    folded = folded.where("_dead is null or (_born is not null and _dead < _born)")
+    folded = folded.withColumn("dedup_key", dedup_key("content")).withColumn("content_tokens", F.array_join(tokenize("content"), " ")).withColumn("ingested_at", F.col("updated_at")).withColumn("audit", F.lit(None))
+    return folded.select(*[F.col(f.name).cast(f.dataType) for f in struct(MEMORY).fields], "actions", "missing")
+
+
+def memories_of(log: DataFrame) -> DataFrame:
+    """The memories that a log has created, as `api.Memory` reads them."""
+    return fold(log).where("actions > 0").drop("actions", "missing")
+
+
+def history(log: DataFrame, id: str) -> DataFrame:
+    """The operations on one memory, oldest first: its audit."""
+    return log.where(F.col("id") == id).select("op_id", F.col("op").alias("action"), "at", "by", "other").orderBy("op_id")
+
+
+def access_operations(kept: DataFrame, first: int, memory: str = "memory_id", at_us: str = "at_us") -> DataFrame:
+    """Operations of accesses that a throttle kept: each raises its memory's access_count by one.  An access has the number
+    `first` plus its place in time in microseconds, which need not be unique, as accesses of one memory add up."""
+    given = {"op_id": F.col(at_us) + first, "id": F.col(memory), "op": F.lit("access"), "at": F.timestamp_micros(at_us).cast("timestamp_ntz"), "by": F.lit("system")}
+    return kept.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(LOG).fields])
+
+
+def log_of_versions(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The operations that the stored versions of memories tell: the first one creates, later ones update; one that is
+    archived or superseded does that.  Numbers order the operations of one id."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    v = rows.where("id is not null").withColumn("_v", place)
+    later = F.coalesce("updated_at", "created_at")
+    first = F.col("_v") == 1
+    names = [f.name for f in struct(LOG).fields]
+
+    def op(k: int, name: Column, at: Column, when: Column, *fields: str, other: Column | None = None) -> Column:
+        values = {"op_id": F.col("_v") * 8 + k, "id": F.col("id"), "op": name, "at": at, "by": F.lit("system"), "other": other if other is not None else F.lit(None)}
+        made = F.struct(*[(F.col(f.name) if f.name in fields else values.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in struct(LOG).fields])
+        return F.when(when, made)
+
+    everything = ("importance", "kind", "tags", "content", "workspace", "session_id", "self_relevance", "source", "supersedes")
+    ops = F.array(
+        op(0, F.lit("create"), F.col("created_at"), first, *everything), op(1, F.lit("update"), later, ~first, "importance", "kind", "tags"),
+        op(2, F.lit("archive"), later, F.coalesce(F.col("status") == "archived", F.lit(False))), op(3, F.lit("supersede"), later, F.col("superseded_by").isNotNull(), other=F.col("superseded_by")))
+    return v.select(F.explode(F.filter(ops, lambda o: o.isNotNull())).alias("o")).select(*[F.col(f"o.{n}").alias(n) for n in names])
 
 
 def stale(entries: DataFrame, now: str, days: int = 90) -> DataFrame:

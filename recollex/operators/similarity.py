@@ -22,34 +22,50 @@ SALTS, HOT = 16, 20_000
 
 
 def token_classes(rows: DataFrame, block: list[str]) -> DataFrame:
-    """Rows with `class`, a hash of the block and the set of tokens, those without tokens or with a null in the block left out."""
+    """Rows with `_class`, a hash of the block and the set of tokens, those without tokens or with a null in the block left out."""
     rows = rows.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0).dropna(subset=list(block))
-    return rows.withColumn("class", F.xxhash64(*block, "tokens"))
+    return rows.withColumn("_class", F.xxhash64(*block, "tokens"))
 
 
-def similar_classes(sets: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
-    """(a, b, shared, total): pairs a < b of classes (block, class, tokens) of one block at or above the threshold.
+def _prefixes(sets: DataFrame, counts: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
+    """(block, _class, _size, _n, _token): of each class the tokens of which a similar one must have one, n being its count."""
+    posts = sets.select(*block, "_class", F.explode("tokens").alias("_token"))
+    ordered = posts.join(counts, [*block, "_token"]).groupBy(*block, "_class").agg(F.sort_array(F.collect_list(F.struct("_n", "_token"))).alias("_o"))  # one record's tokens
+    size = F.size("_o")
+    kept = size - F.ceil(size * above / below) + 1
+    return ordered.select(*block, "_class", size.alias("_size"), F.explode(F.slice("_o", F.lit(1), kept.cast("int"))).alias("_p")).select(*block, "_class", "_size", "_p.*")
+
+
+def similar_classes(sets: DataFrame, above: int, below: int, block: list[str], others: DataFrame | None = None) -> DataFrame:
+    """(_a, _b, shared, total): pairs _a < _b of classes (block, _class, tokens) of one block at or above the threshold, or, with
+    `others`, pairs of one of `sets` and another one of `others`.
 
     A token that very many classes of a block share in their prefixes is joined in salted parts: each of its classes
     is in one part on the one side and in all parts on the other.
     """
-    posts = sets.select(*block, "class", F.explode("tokens").alias("token"))
-    counts = posts.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = posts.join(counts, [*block, "token"]).groupBy(*block, "class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))  # one record's tokens
-    size = F.size("o")
-    kept = size - F.ceil(size * above / below) + 1
-    prefix = ordered.select(*block, "class", size.alias("size"), F.explode(F.slice("o", F.lit(1), kept.cast("int"))).alias("p")).select(*block, "class", "size", "p.*")
-    hot = F.col("n") > HOT
-    own = F.when(hot, F.pmod("class", F.lit(SALTS))).otherwise(-1)
+    whole = sets if others is None else sets.unionByName(others).dropDuplicates(["_class"])
+    counts = whole.select(*block, F.explode("tokens").alias("_token")).groupBy(*block, "_token").agg(F.count(F.lit(1)).alias("_n"))
+    prefix = _prefixes(sets, counts, above, below, block)
+    second = prefix if others is None else _prefixes(others, counts, above, below, block)
+    hot = F.col("_n") > HOT
+    own = F.when(hot, F.pmod("_class", F.lit(SALTS))).otherwise(-1)
     every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))
-    a = prefix.select(*block, "token", own.cast("int").alias("salt"), F.col("class").alias("a"), F.col("size").alias("a_size"))
-    b = prefix.select(*block, "token", every.alias("salt"), F.col("class").alias("b"), F.col("size").alias("b_size"))
-    met = a.join(b, [*block, "token", "salt"]).where((F.col("a") < F.col("b")) & (F.col("a_size") * below >= F.col("b_size") * above) & (F.col("b_size") * below >= F.col("a_size") * above))
-    met = met.select("a", "b").distinct()
-    one, two = sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_t")), sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_t"))
-    both = met.join(one, "a").join(two, "b")
-    checked = both.withColumn("shared", F.size(F.array_intersect("a_t", "b_t"))).withColumn("total", F.size("a_t") + F.size("b_t") - F.col("shared"))
-    return checked.where(F.col("shared") * below >= F.col("total") * above).select("a", "b", "shared", "total")
+    a = prefix.select(*block, "_token", own.cast("int").alias("_salt"), F.col("_class").alias("_a"), F.col("_size").alias("_a_size"))
+    b = second.select(*block, "_token", every.alias("_salt"), F.col("_class").alias("_b"), F.col("_size").alias("_b_size"))
+    met = a.join(b, [*block, "_token", "_salt"]).where((F.col("_a_size") * below >= F.col("_b_size") * above) & (F.col("_b_size") * below >= F.col("_a_size") * above))
+    met = met.where("_a < _b" if others is None else "_a <> _b").select("_a", "_b").distinct()
+    one, two = sets.select(F.col("_class").alias("_a"), F.col("tokens").alias("_a_t")), (others if others is not None else sets).select(F.col("_class").alias("_b"), F.col("tokens").alias("_b_t"))
+    both = met.join(one, "_a").join(two, "_b")
+    checked = both.withColumn("shared", F.size(F.array_intersect("_a_t", "_b_t"))).withColumn("total", F.size("_a_t") + F.size("_b_t") - F.col("shared"))
+    return checked.where(F.col("shared") * below >= F.col("total") * above).select("_a", "_b", "shared", "total")
+
+
+def matches(new: DataFrame, old: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
+    """(new_id, old_id): rows (id, block, tokens) of `new` with the similar ones of `old`; old ones are not compared with each other."""
+    x, y = token_classes(new.select("id", *block, "tokens"), block), token_classes(old.select("id", *block, "tokens"), block)
+    sets = [r.groupBy(*block, "_class").agg(F.first("tokens").alias("tokens")) for r in (x, y)]
+    linked = similar_classes(sets[0], above, below, block, sets[1]).select("_a", "_b").unionByName(sets[0].select(F.col("_class").alias("_a"), F.col("_class").alias("_b")))
+    return linked.join(x.select(F.col("_class").alias("_a"), F.col("id").alias("new_id")), "_a").join(y.select(F.col("_class").alias("_b"), F.col("id").alias("old_id")), "_b").select("new_id", "old_id")
 
 
 def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], carry: list[str] = (), condition: Column | None = None) -> DataFrame:
@@ -62,13 +78,13 @@ def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], car
     """
     scratch = Scratch(rows.sparkSession)
     kept = scratch.keep(token_classes(rows.select("id", *block, *carry, "tokens"), block))
-    sets = kept.groupBy(*block, "class").agg(F.first("tokens").alias("tokens"))
+    sets = kept.groupBy(*block, "_class").agg(F.first("tokens").alias("tokens"))
     between = similar_classes(sets, above, below, block)
-    within = kept.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("tokens")).alias("size")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("size").alias("shared"), F.col("size").alias("total"))
-    linked = between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "total")).unionByName(within)
-    x = kept.select(*block, F.col("class").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("id", *carry)])
-    y = kept.select(F.col("class").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("id", *carry)])
-    pairs = linked.join(x, "a").join(y, "b").where("a_id < b_id")
+    within = kept.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"), F.first(F.size("tokens")).alias("_size")).where("_n > 1").select(F.col("_class").alias("_a"), F.col("_class").alias("_b"), F.col("_size").alias("shared"), F.col("_size").alias("total"))
+    linked = between.unionByName(between.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "shared", "total")).unionByName(within)
+    x = kept.select(*block, F.col("_class").alias("_a"), *[F.col(c).alias(f"a_{c}") for c in ("id", *carry)])
+    y = kept.select(F.col("_class").alias("_b"), *[F.col(c).alias(f"b_{c}") for c in ("id", *carry)])
+    pairs = linked.join(x, "_a").join(y, "_b").where("a_id < b_id")
     if condition is not None:
         pairs = pairs.where(condition)
     return pairs.select(*block, "a_id", "b_id", *[f"{s}_{c}" for c in carry for s in "ab"], "shared", "total")

@@ -155,9 +155,9 @@ def dedup_merge(spark, d):
 
 
 def ingest_fold(spark, d):
-    """State of every memory as its own operation log tells it."""
-    folded = ingest.fold(ingest.log_of(entries(spark, d)))
-    return folded.select("id", "kind", "status", "superseded_by", text.micros("created_at").alias("created_us"), text.micros("updated_at").alias("updated_us"), "actions", "missing")
+    """State of every memory after the operations that its stored versions tell."""
+    folded = ingest.fold(ingest.log_of_versions(table(spark, d, "memory_entries"), en.VERSION))
+    return folded.select("id", "workspace", "kind", F.when(~F.isnan("importance"), F.col("importance")).alias("importance"), "status", "superseded_by", text.micros("created_at").alias("created_us"), text.micros("updated_at").alias("updated_us"), "actions", "missing")
 
 
 def snapshot_select(spark, d):
@@ -245,7 +245,14 @@ QUERIES = {
     "write_gate": (write_gate, _q(f"SELECT id, reason FROM (SELECT id, CASE WHEN coalesce(CASE WHEN isnan(importance) THEN 5.0 ELSE importance END, 5.0) < 1 THEN 'worthless' WHEN len({S.tokens('content')}) < 2 THEN 'noise' END AS reason FROM entries) WHERE reason IS NOT NULL")),
     "dedup_probe": (dedup_probe, S.with_(S.ENTRIES, _MERGE) + "SELECT workspace, kind, key, merged AS n, id AS first_id FROM g WHERE merged > 1"),
     "dedup_merge": (dedup_merge, S.with_(S.ENTRIES, _MERGE) + "SELECT g.workspace, g.kind, g.key, merged, id, importance, session_id, coalesce(event_seqs, '') AS event_seqs FROM g LEFT JOIN s ON g.workspace IS NOT DISTINCT FROM s.workspace AND g.kind IS NOT DISTINCT FROM s.kind AND g.key = s.key"),
-    "ingest_fold": (ingest_fold, None),
+    "ingest_fold": (
+        ingest_fold,
+        f"WITH v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in en.VERSION)}) AS v FROM memory_entries WHERE id IS NOT NULL) "
+        "SELECT id, first(workspace ORDER BY v) AS workspace, first(kind ORDER BY v DESC) FILTER (WHERE kind IS NOT NULL) AS kind, first(CASE WHEN NOT isnan(importance) THEN importance END ORDER BY v DESC) FILTER (WHERE importance IS NOT NULL) AS importance, CASE WHEN bool_or(status = 'archived') THEN 'archived' ELSE 'active' END AS status, "
+        "first(superseded_by ORDER BY v DESC) FILTER (WHERE superseded_by IS NOT NULL) AS superseded_by, epoch_us(first(created_at ORDER BY v)) AS created_us, "
+        "epoch_us(first(CASE WHEN v = 1 AND coalesce(status <> 'archived', true) AND superseded_by IS NULL THEN created_at ELSE coalesce(updated_at, created_at) END ORDER BY v DESC)) AS updated_us, "
+        "count(*) + count(*) FILTER (WHERE status = 'archived') + count(*) FILTER (WHERE superseded_by IS NOT NULL) AS actions, 0 AS missing FROM v GROUP BY id",
+    ),
     "snapshot_select": (
         snapshot_select,
         V + f"SELECT rank, id, effective FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY rank) AS place FROM (SELECT row_number() OVER (ORDER BY eff DESC, created_at DESC NULLS LAST, id) AS rank, id, round(eff, 6) AS effective, sid FROM (SELECT *, {S.EFFECTIVE} AS eff, source.session_id AS sid FROM visible ORDER BY eff DESC, created_at DESC NULLS LAST, id LIMIT 30))) WHERE place <= 3",

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recollex.api import Memory
 from recollex.functions import judge as jd
 from recollex.functions.seams import Judge
+from recollex.functions.text import excerpt
 from recollex.operators.ingest import LOG
+from recollex.operators.ranking import global_rank
 from recollex.sources import schema as sc
 
 #: Operations that one epoch may have, for numbers that grow with epochs.
@@ -35,12 +37,14 @@ def asked(batches: DataFrame, judge: Judge) -> DataFrame:
 
 
 def memories(answered: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """(op_id, workspace, kind, content, importance, tags) of the memories in answers; op_id is the place in
-    the epoch.  `workspaces` is (session_id, workspace); sessions it does not know are in 'default'."""
-    found = jd.memories(answered).join(answered.select("output_id", "session_id", "first_seq"), "output_id").join(workspaces.select("session_id", "workspace"), "session_id", "left")
+    """(op_id, workspace, session_id, kind, content, importance, self_relevance, tags, source) of the memories in answers; op_id
+    is the place in the epoch.  `workspaces` is (session_id, workspace); sessions it does not know are in 'default'."""
+    about = answered.select("output_id", "session_id", "first_seq", "seqs", "transcript")
+    found = jd.memories(answered).join(about, "output_id").join(workspaces.select("session_id", "workspace"), "session_id", "left")
     tags = F.filter(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: t != "")
-    order = F.xxhash64("session_id", "first_seq", "position").bitwiseAND(F.lit(EPOCH_SPAN - 1))
-    return found.select(order.alias("op_id"), F.coalesce("workspace", F.lit("default")).alias("workspace"), "kind", "content", F.col("importance").cast("double").alias("importance"), tags.alias("tags"))
+    source = F.struct("session_id", F.col("seqs").alias("event_seqs"), excerpt("transcript").alias("excerpt")).cast(sc.SOURCE)
+    placed = global_rank(found, "op_id", F.col("session_id").asc(), F.col("first_seq").asc(), F.col("output_id").asc(), F.col("position").asc())
+    return placed.select("op_id", F.coalesce("workspace", F.lit("default")).alias("workspace"), "session_id", "kind", "content", F.col("importance").cast("double").alias("importance"), F.col("self_relevance").cast("double").alias("self_relevance"), tags.alias("tags"), source.alias("source"))
 
 
 def log_sink(spark: SparkSession, entries: DataFrame, workspaces: DataFrame, judge: Judge, log: str, now: str) -> Callable[[DataFrame, int], None]:

@@ -93,7 +93,7 @@ def test_fold_equals_operations_one_by_one(spark, seed):
         op = rng.choices(["create", "update", "archive", "supersede", "delete"], [3, 4, 1, 2, 1])[0]
         log.append({"op_id": n, "id": f"m{rng.randrange(150)}", "op": op, "at": None, "by": "user", "importance": rng.choice([None, 1.0, 9.0]) if op in ("create", "update") else 3.0, "kind": rng.choice(["fact", "todo", None]) if op == "update" else "fact", "tags": None, "content": "c", "workspace": "w", "other": rng.choice([None, "x", "y"])})
     names = [f.name for f in sc.struct(ingest.LOG).fields]
-    rows = spark.createDataFrame([tuple(o[n] for n in names) for o in log], sc.struct(ingest.LOG)).repartition(7)
+    rows = spark.createDataFrame([tuple(o.get(n) for n in names) for o in log], sc.struct(ingest.LOG)).repartition(7)
     # operations on an id between its deletion and its next creation have no effect in either
     found = {r.id: r for r in ingest.fold(rows).collect()}
     state, missing = model(log)
@@ -124,10 +124,39 @@ def test_note_merges_into_an_active_memory(spark):
     api = Memory(spark, frame(spark, [memory("held", content="Same  Words", importance=3.0)]))
     new = spark.createDataFrame([(1, "w", "fact", "same words", 8.0, None), (2, "w", "todo", "same words", None, None)], "op_id bigint, workspace string, kind string, content string, importance double, tags array<string>")
     found = {r.op_id: r for r in api.note(new)[0].collect()}
-    assert (found[1].op, found[1].id, found[1].importance) == ("update", "held", 8.0)
+    assert (found[1].op, found[1].id, found[1].importance, found[1].source.event_seqs) == ("merge", "held", 8.0, [1])
     assert (found[2].op, found[2].importance) == ("create", 5.0)
 
 
+NEW = "op_id bigint, workspace string, kind string, content string, importance double, tags array<string>, session_id string, source struct<session_id string, event_seqs array<bigint>, excerpt string>"
+
+
+def test_a_written_memory_is_found_again(spark, tmp_path):
+    log = str(tmp_path / "log")
+    old = frame(spark, [memory("old", content="the nightly job writes parquet files to the shared folder now", created_at="2026-01-10 00:00:00"), memory("far", content="the nightly job writes parquet files to the shared folder", created_at="2025-10-01 00:00:00"), memory("other", kind="todo", content="the nightly job writes parquet files to the shared folder now")])
+    new = [
+        (1, "w", "fact", "the nightly job writes parquet files to the shared folder", 6.0, ["db"], "s9", ("s9", [4, 2], "said so")), (2, "w", "fact", "The nightly job  writes parquet files to the shared folder", 8.0, None, "s9", ("s8", [7, 4], "again")),
+        (3, None, "fact", "no workspace here at all", None, None, None, None), (4, "w", "fact", "something quite different", float("nan"), None, "s9", None),
+    ]
+    operations, _ = Memory(spark, old).note(spark.createDataFrame(new, NEW))
+    stores.append_operations(operations, log)
+    found = {(r.op_id, r.op, r.other): r for r in stores.read_log(spark, log).collect()}
+    id = found[1, "create", None].id if (1, "create", None) in found else found[1, "merge", None].id
+    assert found[1, "merge", None].id == "far" and found[2, "merge", None].id == "far"  # an active memory with that key, however old
+    assert (found[2, "merge", None].importance, found[2, "merge", None].source.event_seqs, found[2, "merge", None].source.excerpt) == (8.0, [1, 2, 4, 7], "again") and id == "far"
+    fresh = Memory(spark, old.where("id <> 'far'"))
+    stores.append_operations(fresh.note(spark.createDataFrame(new, NEW))[0], str(tmp_path / "log2"))
+    rows = stores.read_log(spark, str(tmp_path / "log2"))
+    made = {(r.op_id, r.op): r for r in rows.collect()}
+    note = made[1, "create"]
+    assert made[1, "supersede"].id == "old" and made[1, "supersede"].other == note.id and note.supersedes == "old" and (2, "merge") in made and (2, "supersede") not in made
+    again = Memory(spark, ingest.memories_of(rows.unionByName(fresh.accessed(spark.createDataFrame([("s", note.id, 1, "2026-01-15 01:00:00"), ("s", note.id, 2, "2026-01-15 01:00:30"), ("t", note.id, 3, "2026-01-15 01:00:40")], "session_id string, memory_id string, event_id bigint, at string").withColumn("at", F.col("at").cast("timestamp_ntz")), 0))))
+    hit = again.search("nightly parquet shared folder", workspace="w").first()
+    assert (hit.id, hit.importance, hit.source.event_seqs, hit.access_count, hit.session_id, hit.tags) == (note.id, 8.0, [2, 4, 7], 2, "s9", ["db"])
+    assert again.search("something quite different").first().importance == 5.0 and again.search("no workspace here").count() == 1
+    assert [r.action for r in ingest.history(rows, note.id).collect()] == ["create", "merge"]
+
+
 def test_arguments_are_checked(spark, data):
     api = Memory(spark, table(spark, data, "memory_entries"), table(spark, data, "memory_vectors"), table(spark, data, "causal_edges"))
     for call in (
@@ -290,6 +319,29 @@ def test_budget_packing(spark):
     assert packed(lines, 10).count() == 0
 
 
+def test_verdicts_see_what_earlier_ones_did(spark):
+    from recollex.operators.review import judged
+    from recollex.operators.upkeep import verdict_operations
+
+    entries = frame(spark, [memory(i, created_at=f"2026-01-0{n} 00:00:00", importance=float(n)) for n, i in enumerate("abcde", 1)] + [memory("x", workspace="v"), memory("gone", status="archived"), memory("s", superseded_by="a")])
+    rows = [(1, 0, "a", "e", "merge"), (1, 1, "a", "b", "merge"), (1, 2, "e", "d", "archive"), (2, 0, "e", "c", "none"), (2, 1, "c", "x", "merge"), (2, 2, "c", "gone", "merge"), (3, 0, "s", "c", "merge"), (3, 1, "b", "c", "merge"), (3, 2, "c", "nobody", "none"), (3, 3, "b", "s", "none")]
+    verdicts = spark.createDataFrame(rows, "output_id bigint, position bigint, focus_id string, peer_id string, action string")
+    found = {(r.output_id, r.position): (r.outcome, r.keep_id, r.drop_id) for r in judged(verdicts, entries).collect()}
+    skip = lambda why: (f"skip {why}", None, None)
+    assert found == {(1, 0): ("merge", "e", "a"), (1, 1): skip("invalid"), (1, 2): ("archive", "e", "d"), (2, 0): skip("none"), (2, 1): skip("invalid"), (2, 2): skip("invalid"), (3, 0): skip("superseded"), (3, 1): ("merge", "c", "b"), (3, 2): skip("invalid"), (3, 3): skip("invalid")}
+    low = frame(spark, [memory("new", created_at="2026-01-03 00:00:00", importance=2.0), memory("mid", created_at="2026-01-02 00:00:00", importance=7.0), memory("old", importance=9.0)])
+    merges = spark.createDataFrame([(1, 0, "old", "mid", "merge"), (1, 1, "mid", "new", "merge")], verdicts.schema)
+    made = {(r.op, r.id): r.importance for r in verdict_operations(merges, low, NOW).collect()}
+    assert made == {("archive", "old"): None, ("archive", "mid"): None, ("update", "mid"): 9.0, ("update", "new"): 9.0}
+
+
+def test_long_chains_are_connected(spark):
+    from recollex.operators.review import connected
+
+    pairs = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(200)] + [("x", "y")], "a string, b string")
+    assert {r.id: r.label for r in connected(pairs, "a", "b", 12).collect()} == {f"{i:03d}": "000" for i in range(201)} | {"x": "x", "y": "x"}
+
+
 def test_ranks_over_all_tasks(spark):
     from recollex.operators.ranking import global_rank
 
@@ -340,6 +392,6 @@ def test_events_become_memories(spark, tmp_path):
         run()
     run()
     found = {(r.op, r.content, r.workspace, r.importance) for r in stores.read_log(spark, str(tmp_path / "log")).collect()}
-    assert found == {("create", "Use Parquet", "w1", 8.0), ("update", None, None, 9.0)}
+    assert found == {("create", "Use Parquet", "w1", 8.0), ("merge", None, None, 9.0)}
     run()
     assert stores.read_log(spark, str(tmp_path / "log")).count() == 2
