@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recollex.functions.scoring import jaccard
+from recollex.functions.scoring import jaccard, safe_importance
 from recollex.functions.text import catalog_row, render_condensed, render_line
 from recollex.operators.entries import list_by_importance
 from recollex.operators.search import with_tokens
@@ -59,7 +59,7 @@ def snapshot(entries: DataFrame, workspace: str | None, size: int = SNAPSHOT_SIZ
 
 def snapshot_pack(entries: DataFrame, workspace: str | None) -> DataFrame:
     rows = snapshot(entries, workspace)
-    lines = rows.select("rank", "id", render_line("kind", "content", "importance", "id", "source.session_id", "created_at").alias("line"))
+    lines = rows.select("rank", "id", render_line("kind", "content", safe_importance("importance"), "id", "source.session_id", "created_at").alias("line"))
     return packed(lines, SNAPSHOT_BUDGET, note="（另有 {} 条高重要度记忆未入快照，可用 memory_recall 检索）").drop("titles")
 
 
@@ -75,7 +75,7 @@ def fold_similar(found: DataFrame) -> DataFrame:
 
 def tiered_lines(found: DataFrame) -> DataFrame:
     """(rank, id, line, title): full lines from a relevance of 0.7, short ones below."""
-    full = render_line("kind", "content", "importance", "id", "session_id", "created_at")
+    full = render_line("kind", "content", safe_importance("importance"), "id", "session_id", "created_at")
     return found.select("rank", "id", F.when(F.col("relevance") >= FULL_LINE, full).otherwise(render_condensed("kind", "content", "id")).alias("line"), catalog_row("kind", "content", "id").alias("title"))
 
 

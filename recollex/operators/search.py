@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recollex.functions.scoring import cosine, idf_value, rrf, time_importance, usable_vector
+from recollex.functions.scoring import bm25_idf, cosine, idf_value, rrf, time_importance, usable_vector
 from recollex.functions.text import tokenize
 from recollex.operators.ranking import global_rank
 
@@ -95,6 +95,23 @@ def keyword_searches(candidates: DataFrame, queries: dict[str, str], now: str, l
     return ranked.where(F.col("rank") <= limit)
 
 
+def matched_searches(candidates: DataFrame, queries: DataFrame, now: str, limit: int = LIMIT, min_score: float = MIN_SCORE) -> DataFrame:
+    """(query, rank, id, relevance, score) of many or long searches, as rows (query, token) of which there may be any number:
+    the tokens of candidates that a query has are joined with them, so no plan grows with the queries."""
+    rows = with_tokens(candidates)
+    asked = queries.select("query", "token").distinct()
+    posts = rows.select("id", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    known = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("token", bm25_idf("n", "df").alias("idf"))  # n is one row
+    weighed = asked.join(known, "token")
+    whole = weighed.groupBy("query").agg(F.sum("idf").alias("whole"))
+    hits = posts.join(weighed, "token").groupBy("query", "id").agg(F.sum("idf").alias("part")).join(whole, "query")
+    found = hits.withColumn("relevance", F.col("part") / F.col("whole")).where(F.col("relevance") >= max(RELEVANCE_FLOOR, min_score)).select("query", "id", "relevance")
+    scored = found.join(rows.select("id", _time(now).alias("time")), "id").withColumn("score", F.col("relevance") * F.col("time")).drop("time")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")))
+    return ranked.where(F.col("rank") <= limit).select("query", "rank", "id", "relevance", "score")
+
+
 def keyword_ranks(candidates: DataFrame, query: str) -> DataFrame:
     """(id, hits, keyword_rank) by plain hit ratio of at least 0.3, ranked over all tasks."""
     rows = with_tokens(candidates).select("id", F.round(hit_ratio(query_tokens(query)), 9).alias("hits")).where(F.col("hits") >= RELEVANCE_FLOOR)

@@ -192,12 +192,21 @@ def throttled(rows: DataFrame, keys: list[str], time: str, id: str, seconds: int
     return ordered.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
-def injection_visible(events: DataFrame) -> DataFrame:
-    """(session_id, seq, visible): own injected messages, and whether no later compaction covers them."""
-    own = events.where((F.col("event_type") == "user/message") & (F.col("source_kind") == "plugin") & (F.col("source_plugin") == OWN_PLUGIN)).select("session_id", "seq")
-    cover = events.where("event_type = 'compaction/summary' and shadowed_end is not null").select("session_id", F.col("seq").alias("at"), "shadowed_end")
-    hidden = own.join(cover, "session_id").where((F.col("at") > F.col("seq")) & (F.col("seq") <= F.col("shadowed_end"))).select("session_id", "seq").distinct().withColumn("hidden", F.lit(True))
-    return own.join(hidden, ["session_id", "seq"], "left").select("session_id", "seq", F.col("hidden").isNull().alias("visible"))
+def injection_visible(events: DataFrame, part: int = PART) -> DataFrame:
+    """(session_id, seq, visible): own injected messages, and whether no later compaction covers them.
+
+    A message is covered if the greatest end of all later compactions reaches it: a running maximum from the
+    end of a session, within parts of a fixed span of events and over the maxima of the parts behind.
+    """
+    own = events.where((F.col("event_type") == "user/message") & (F.col("source_kind") == "plugin") & (F.col("source_plugin") == OWN_PLUGIN)).select("session_id", "seq", F.lit(None).cast("bigint").alias("end"))
+    cover = events.where("event_type = 'compaction/summary' and shadowed_end is not null").select("session_id", "seq", F.col("shadowed_end").alias("end"))
+    rows = own.withColumn("own", F.lit(True)).unionByName(cover.withColumn("own", F.lit(False))).where("session_id is not null and seq is not null").withColumn("part", F.floor(F.col("seq") / part))
+    behind = Window.partitionBy("session_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("session_id", "part").agg(F.max("end").alias("most")).withColumn("after", F.max("most").over(behind)).drop("most")
+    within = Window.partitionBy("session_id", "part").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.withColumn("later", F.max("end").over(within)).join(parts, ["session_id", "part"]).where("own")
+    covered = F.coalesce(F.greatest("later", "after") >= F.col("seq"), F.lit(False))
+    return reached.select("session_id", "seq", (~covered).alias("visible"))
 
 
 def snapshot_rebuilds(requests: DataFrame, ttl: int = 300, least: int = 60) -> DataFrame:

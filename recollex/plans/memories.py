@@ -10,6 +10,8 @@ from recollex.plans import sql as S
 from recollex.sources.tables import table
 
 NOW = S.NOW
+#: A repeated memory between two paragraphs, behind every content.
+REPEATED = "\n\n \t[参考记忆] an old note\nof two lines\n\nthe end"
 E = S.with_(S.ENTRIES)
 V = S.with_(S.ENTRIES, S.VISIBLE)
 
@@ -104,7 +106,7 @@ def text_forms(spark, d):
     created = F.col("created_at")
     return entries(spark, d).select(
         "id", text.short_session("session_id").alias("short_session"), text.truncate_latest("content", 100).alias("latest"), text.truncate_sentence("content", 120).alias("sentence"),
-        text.cut_with_note("content", 400, "摘录").alias("excerpt"), text.strip_paragraphs("content").alias("stripped"),
+        text.cut_with_note("content", 400, "摘录").alias("excerpt"), text.strip_paragraphs(F.concat("content", F.lit(REPEATED))).alias("stripped"),
         text.render_line("kind", "content", F.floor(scoring.safe_importance("importance")), "id", "session_id", created).alias("line"),
         text.render_condensed("kind", "content", "id").alias("condensed"), text.catalog_row("kind", "content", "id").alias("title"))
 
@@ -151,7 +153,7 @@ def dedup_probe(spark, d):
 
 
 def dedup_merge(spark, d):
-    return ingest.merge_duplicates(entries(spark, d)).select("workspace", "kind", "key", "merged", "id", "importance", "session_id", "event_seqs")
+    return ingest.merge_duplicates(entries(spark, d)).select("workspace", "kind", "key", "merged", "id", "importance", "content", "session_id", "excerpt", "event_seqs")
 
 
 def ingest_fold(spark, d):
@@ -180,6 +182,10 @@ _SUMMARY = "SELECT id, workspace, session_id, kind, content, CASE WHEN NOT isnan
 _LINE = "concat('- [', kind, '] ', content, '（重要度 ', CAST(floor({i}) AS BIGINT), '，记忆 #', substring(id, 1, 8), '，来自会话 ', substring(regexp_replace(session_id, '^session-', ''), 1, 8), coalesce('，创建于 ' || strftime(created_at, '%Y-%m-%d'), ''), '）')".format(i=S.IMPORTANCE)
 
 
+_REPEATED = "concat(content, chr(10), chr(10), ' ', chr(9), '[参考记忆] an old note', chr(10), 'of two lines', chr(10), chr(10), 'the end')"
+_STRIPPED = f"array_to_string(list_filter(string_split(CASE WHEN content IS NOT NULL THEN {_REPEATED} END, chr(10) || chr(10)), lambda p: NOT starts_with(regexp_replace(p, '^{S.SPACE}', ''), '[参考记忆]')), chr(10) || chr(10))"
+
+
 def _sentence(limit: int) -> str:
     whole = f"regexp_extract(substring(content, 1, {limit}), '(?s)^.*[。！？!?.\\n]')"
     return f"CASE WHEN length(content) <= {limit} THEN content WHEN length({whole}) >= {limit // 2} THEN {whole} ELSE substring(content, 1, {limit}) END"
@@ -202,7 +208,18 @@ _ERRORS = "concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{name}' END" fo
 _MERGE = (
     f"d AS (SELECT *, {S.fnv('normal')} AS key FROM (SELECT *, {S.normal('content')} AS normal FROM entries WHERE status = 'active' AND content IS NOT NULL)), "
     "s AS (SELECT workspace, kind, key, array_to_string(list_sort(list_distinct(list(x))), ',') AS event_seqs FROM (SELECT workspace, kind, key, unnest(source.event_seqs) AS x FROM d) WHERE x IS NOT NULL GROUP BY 1, 2, 3), "
-    "g AS (SELECT workspace, kind, key, count(*) AS merged, first(id ORDER BY created_at NULLS FIRST, id) AS id, max(importance) FILTER (WHERE NOT isnan(importance)) AS importance, first(session_id ORDER BY created_at NULLS FIRST, id) AS session_id FROM d GROUP BY 1, 2, 3)"
+    "g AS (SELECT workspace, kind, key, count(*) AS merged, first(id ORDER BY created_at NULLS FIRST, id) AS id, max(importance) FILTER (WHERE NOT isnan(importance)) AS importance, first(session_id ORDER BY created_at NULLS FIRST, id) AS session_id, first(content ORDER BY created_at NULLS FIRST, id) AS content, first(source.excerpt ORDER BY created_at DESC NULLS LAST, id DESC) AS excerpt FROM d GROUP BY 1, 2, 3)"
+)
+
+_DETAIL = ", ".join(
+    ["CASE WHEN NOT isnan(self_relevance) THEN '\"self_relevance\":' || CAST(self_relevance AS VARCHAR) END", *[f"'\"{c}\":' || CAST(to_json({c}) AS VARCHAR)" for c in ("superseded_by", "supersedes")], "'\"access_count\":' || CAST(access_count AS VARCHAR)", "'\"dedup_key\":' || CAST(to_json(dedup_key) AS VARCHAR)"])
+_RATED = _LINE.replace('session_id,', 'source.session_id,').replace(f"CAST(floor({S.IMPORTANCE}) AS BIGINT)", f"CASE WHEN {S.IMPORTANCE} = floor({S.IMPORTANCE}) THEN CAST(CAST({S.IMPORTANCE} AS BIGINT) AS VARCHAR) ELSE CAST({S.IMPORTANCE} AS VARCHAR) END")
+_BUDGET, _HEAD = context.SNAPSHOT_BUDGET, context.HEADER
+#: Lines in the order of their rank, each taken if it fits into what is left.
+_PACKED = (
+    f"lines AS (SELECT row_number() OVER (ORDER BY rank) AS n, id, {_RATED} AS line FROM (SELECT *, row_number() OVER (PARTITION BY source.session_id ORDER BY rank) AS place FROM (SELECT *, row_number() OVER (ORDER BY eff DESC, created_at DESC NULLS LAST, id) AS rank FROM (SELECT *, {S.EFFECTIVE} AS eff FROM visible ORDER BY eff DESC, created_at DESC NULLS LAST, id LIMIT 30))) WHERE place <= 3), "
+    f"fit(n, used, kept) AS (SELECT 0::BIGINT, {len(_HEAD) + 1}::BIGINT, false UNION ALL SELECT l.n, f.used + CASE WHEN f.used + length(l.line) + 1 <= {_BUDGET} THEN length(l.line) + 1 ELSE 0 END, coalesce(f.used + length(l.line) + 1 <= {_BUDGET}, false) FROM fit f JOIN lines l ON l.n = f.n + 1), "
+    "packed AS (SELECT string_agg(line, chr(10) ORDER BY n) FILTER (WHERE kept) AS body, count(*) FILTER (WHERE NOT kept) AS left_, coalesce(string_agg(id, ',' ORDER BY n) FILTER (WHERE kept), '') AS rendered, coalesce(string_agg(id, ',' ORDER BY n) FILTER (WHERE NOT kept), '') AS skipped FROM fit JOIN lines USING (n))"
 )
 
 QUERIES = {
@@ -211,7 +228,7 @@ QUERIES = {
     "source_integrity": (source_integrity, _q(f"SELECT id, source IS NULL AS no_source FROM entries WHERE NOT {S.WELL_FORMED}")),
     "schema_validation": (schema_validation, _q(f"SELECT id, {_ERRORS} AS errors FROM entries WHERE {_ERRORS} <> ''")),
     "summaries": (summaries, _q(_SUMMARY + "entries")),
-    "details": (details, None),
+    "details": (details, _q(f"SELECT id, concat('{{', array_to_string(list_filter([{_DETAIL}], lambda x: x IS NOT NULL), ','), '}}') AS detail FROM entries")),
     "browse": (browse, V + "SELECT id, kind FROM visible WHERE kind = 'decision' ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20"),
     "list_recent": (list_recent, _q("SELECT id, status FROM entries WHERE superseded_by IS NULL ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 200")),
     "keyset_page": (keyset_page, _q("SELECT id FROM entries WHERE (created_at, id) < (TIMESTAMP '2025-12-01 00:00:00', '8') ORDER BY created_at DESC, id DESC LIMIT 200")),
@@ -227,7 +244,7 @@ QUERIES = {
     "text_forms": (
         text_forms,
         _q(
-            f"SELECT id, substring(regexp_replace(session_id, '^session-', ''), 1, 8) AS short_session, {_latest('content', 100)} AS latest, {_sentence(120)} AS sentence, {_noted('content', 400, '摘录')} AS excerpt, content AS stripped, "
+            f"SELECT id, substring(regexp_replace(session_id, '^session-', ''), 1, 8) AS short_session, {_latest('content', 100)} AS latest, {_sentence(120)} AS sentence, {_noted('content', 400, '摘录')} AS excerpt, {_STRIPPED} AS stripped, "
             f"CASE WHEN content IS NOT NULL AND session_id IS NOT NULL AND kind IS NOT NULL THEN {_LINE} END AS line, "
             "CASE WHEN content IS NOT NULL AND kind IS NOT NULL THEN concat('- [', kind, '] ', CASE WHEN length(content) > 80 THEN concat(substring(content, 1, 80), '…（原文 ', length(content), ' 字符，记忆 #') ELSE concat(content, '（记忆 #') END, substring(id, 1, 8), '）') END AS condensed, "
             "CASE WHEN content IS NOT NULL AND kind IS NOT NULL THEN concat('- [', kind, '] ', substring(content, 1, 24), '（记忆 #', substring(id, 1, 8), '）') END AS title FROM entries"
@@ -244,7 +261,7 @@ QUERIES = {
     "decay_coverage": (decay_coverage, _q(f"SELECT count(*) AS memories, round(avg(CASE WHEN {S.days('last_access_at')} <= 90 THEN 1 ELSE 0 END), 6) AS coverage FROM entries")),
     "write_gate": (write_gate, _q(f"SELECT id, reason FROM (SELECT id, CASE WHEN coalesce(CASE WHEN isnan(importance) THEN 5.0 ELSE importance END, 5.0) < 1 THEN 'worthless' WHEN len({S.tokens('content')}) < 2 THEN 'noise' END AS reason FROM entries) WHERE reason IS NOT NULL")),
     "dedup_probe": (dedup_probe, S.with_(S.ENTRIES, _MERGE) + "SELECT workspace, kind, key, merged AS n, id AS first_id FROM g WHERE merged > 1"),
-    "dedup_merge": (dedup_merge, S.with_(S.ENTRIES, _MERGE) + "SELECT g.workspace, g.kind, g.key, merged, id, importance, session_id, coalesce(event_seqs, '') AS event_seqs FROM g LEFT JOIN s ON g.workspace IS NOT DISTINCT FROM s.workspace AND g.kind IS NOT DISTINCT FROM s.kind AND g.key = s.key"),
+    "dedup_merge": (dedup_merge, S.with_(S.ENTRIES, _MERGE) + "SELECT g.workspace, g.kind, g.key, merged, id, importance, content, session_id, excerpt, coalesce(event_seqs, '') AS event_seqs FROM g LEFT JOIN s ON g.workspace IS NOT DISTINCT FROM s.workspace AND g.kind IS NOT DISTINCT FROM s.kind AND g.key = s.key"),
     "ingest_fold": (
         ingest_fold,
         f"WITH v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in en.VERSION)}) AS v FROM memory_entries WHERE id IS NOT NULL) "
@@ -257,6 +274,9 @@ QUERIES = {
         snapshot_select,
         V + f"SELECT rank, id, effective FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY rank) AS place FROM (SELECT row_number() OVER (ORDER BY eff DESC, created_at DESC NULLS LAST, id) AS rank, id, round(eff, 6) AS effective, sid FROM (SELECT *, {S.EFFECTIVE} AS eff, source.session_id AS sid FROM visible ORDER BY eff DESC, created_at DESC NULLS LAST, id LIMIT 30))) WHERE place <= 3",
     ),
-    "budget_pack": (budget_pack, None),
+    "budget_pack": (
+        budget_pack,
+        S.recursive(S.ENTRIES, S.VISIBLE, _PACKED) + f"SELECT concat('{_HEAD}', chr(10), body, CASE WHEN left_ > 0 THEN concat(chr(10), '（另有 ', left_, ' 条高重要度记忆未入快照，可用 memory_recall 检索）') ELSE '' END) AS text, rendered, skipped FROM packed WHERE rendered <> ''",
+    ),
     "ext_kind_cube": (ext_kind_cube, _q("SELECT coalesce(kind, '(all)') AS kind, coalesce(status, '(all)') AS status, count(*) AS n FROM entries GROUP BY CUBE (kind, status)")),
 }

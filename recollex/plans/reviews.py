@@ -78,7 +78,8 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_json(spark, d):
-    return answers(spark, d).select("output_id", judge.balanced_json("raw_text").alias("object")).where("object is not null")
+    """The first whole object of each answer that is JSON."""
+    return answers(spark, d).select("output_id", judge.balanced_json("raw_text").alias("object")).where(F.try_parse_json("object").isNotNull())
 
 
 def load_quarantine(spark, d):
@@ -226,6 +227,16 @@ _ACCEPT = (
     + "SELECT source_id, target_id, 'causal' AS relation, confidence FROM val WHERE bad IS NULL AND NOT EXISTS (SELECT 1 FROM edge_set g WHERE g.source_id = val.source_id AND g.target_id = val.target_id AND g.relation = 'causal') QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY output_id, position) = 1"
 )
 
+_MERGE = (_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", S.pairs("src", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
+_MERGE_PAIRS = "SELECT CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN a_id ELSE b_id END AS keep_id, CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN b_id ELSE a_id END AS drop_id, shared, total FROM pairs"
+#: Pairs in their order, each seeing which memories earlier ones dropped and how important those they kept are.
+_MERGED = (
+    f"mp AS ({_MERGE_PAIRS})", "ord AS (SELECT row_number() OVER (ORDER BY k.created_at DESC, keep_id DESC, d.created_at DESC, drop_id DESC) AS n, keep_id, drop_id, k.importance AS ki, d.importance AS di FROM mp JOIN entries k ON k.id = keep_id JOIN entries d ON d.id = drop_id)",
+    "fold(n, gone, names, vals, keep_id, drop_id, importance, ok) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::DOUBLE[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, false UNION ALL "
+    "SELECT n, CASE WHEN ok THEN list_append(gone, drop_id) ELSE gone END, CASE WHEN ok THEN list_prepend(keep_id, names) ELSE names END, CASE WHEN ok THEN list_prepend(greatest(kn, dn), vals) ELSE vals END, keep_id, drop_id, greatest(kn, dn), ok "
+    "FROM (SELECT *, NOT list_contains(gone, keep_id) AND NOT list_contains(gone, drop_id) AND abs(kn - dn) <= 2 AS ok FROM (SELECT ord.n, gone, names, vals, ord.keep_id, ord.drop_id, coalesce(vals[list_position(names, ord.keep_id)], ki) AS kn, coalesce(vals[list_position(names, ord.drop_id)], di) AS dn FROM fold JOIN ord ON ord.n = fold.n + 1)))",
+)
+
 QUERIES = {
     "jaccard_pairs": (jaccard_pairs, S.with_(_E, S.VISIBLE, S.pairs("visible", ["workspace", "kind"], 1, 2)) + "SELECT a_id, b_id, shared, total FROM pairs"),
     "supersede_pairs": (supersede_pairs, S.with_(*_SUPER, _SUPER_PAIRS) + "SELECT old_id, new_id, shared, total FROM sp"),
@@ -234,12 +245,8 @@ QUERIES = {
         S.with_(*_SUPER, _SUPER_PAIRS, "l AS (SELECT old_id AS id, last(new_id ORDER BY new_at, new_id) AS superseded_by FROM sp GROUP BY 1)", "f AS (SELECT new_id AS id, first(old_id ORDER BY old_at, old_id) AS supersedes FROM sp GROUP BY 1)")
         + "SELECT coalesce(l.id, f.id) AS id, superseded_by, supersedes FROM l FULL JOIN f ON l.id = f.id",
     ),
-    "maintenance_merge_pairs": (
-        maintenance_merge_pairs,
-        S.with_(_E, "src AS (SELECT * FROM entries WHERE status = 'active' AND superseded_by IS NULL AND importance IS NOT NULL AND NOT isnan(importance))", S.pairs("src", ["workspace", "kind"], 17, 20, "abs(a.importance - b.importance) <= 2", "created_at, importance"))
-        + "SELECT CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN a_id ELSE b_id END AS keep_id, CASE WHEN (a_created_at, a_id) > (b_created_at, b_id) THEN b_id ELSE a_id END AS drop_id, shared, total FROM pairs",
-    ),
-    "maintenance_merge": (maintenance_merge, None),
+    "maintenance_merge_pairs": (maintenance_merge_pairs, S.with_(*_MERGE) + _MERGE_PAIRS),
+    "maintenance_merge": (maintenance_merge, S.recursive(*_MERGE, *_MERGED) + "SELECT keep_id, drop_id, importance FROM fold WHERE ok"),
     "maintenance_cycle": (maintenance_cycle, None),
     "summary_supersede": (
         summary_supersede,
@@ -249,7 +256,7 @@ QUERIES = {
     "reflection_pairs": (reflection_pairs, S.with_(*_REVIEW) + "SELECT a_id, b_id, sim, basis FROM rpairs"),
     "reflection_candidates": (reflection_candidates, _candidates("true")),
     "reflection_incremental": (reflection_incremental, _candidates("(created_at, id) > (TIMESTAMP '2026-01-10 00:00:00', '0')")),
-    "balanced_json": (balanced_json, None),
+    "balanced_json": (balanced_json, S.with_(_ANSWERS) + "SELECT output_id, o AS object FROM ans WHERE j IS NOT NULL"),
     "load_quarantine": (load_quarantine, S.with_(_ANSWERS) + "SELECT judge, count(*) AS rows, count(*) FILTER (WHERE j IS NULL) AS bad FROM ans GROUP BY 1"),
     "parse_extraction": (
         parse_extraction,

@@ -61,15 +61,12 @@ def hybrid_search(spark, d):
 
 
 def recall_at_k(spark, d):
-    """Whether the 20 most important memories are among the first 5 for their own first words."""
-    targets = search.with_tokens(en.list_by_importance(entries(spark, d), None, 20)).select("id", F.slice("tokens", 1, 12).alias("t")).collect()
-    searches = {r.id: " ".join(r.t) for r in targets if r.t}
-    if not searches:
-        return spark.range(1).select(F.lit(0).alias("searches"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("answered"), F.lit(0).alias("retrieved"))
-    found = search.keyword_searches(visible(spark, d), searches, NOW, limit=5, min_score=0.0)
+    """Whether the 20 most important memories are among the first 5 for their own words."""
+    targets = search.with_tokens(en.list_by_importance(entries(spark, d), None, 20)).select(F.col("id").alias("query"), F.explode("tokens").alias("token"))
+    found = search.matched_searches(visible(spark, d), targets, NOW, limit=5, min_score=0.0)
+    asked = targets.agg(F.countDistinct("query").alias("searches"))
     hits = found.agg(F.count_if(F.col("query") == F.col("id")).alias("hits"), F.countDistinct("query").alias("answered"), F.countDistinct("id").alias("retrieved"))
-    n = len(searches)
-    return hits.select(F.lit(n).alias("searches"), F.round(F.col("hits") / n, 6).alias("recall"), F.round(F.col("answered") / n, 6).alias("answered"), "retrieved")
+    return asked.join(F.broadcast(hits)).select("searches", F.round(F.try_divide("hits", "searches"), 6).alias("recall"), F.round(F.try_divide("answered", "searches"), 6).alias("answered"), "retrieved")  # one row each
 
 
 def recall_minus_snapshot(spark, d):
@@ -155,11 +152,24 @@ QUERIES = {
         S.with_(*_V, S.VECTORS, _TARGET, _WORDS, _near(400), "fused AS (SELECT coalesce(w.id, s.id) AS id, (coalesce(1.0 / (60 + keyword_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0)) / (2.0 / 61) AS relevance FROM words w FULL JOIN near s ON w.id = s.id)")
         + f"SELECT id, round(relevance, 6) AS relevance, round(score, 6) AS score FROM (SELECT v.id, relevance, relevance * tif AS score FROM (SELECT *, {S.TIME} AS tif FROM visible) v JOIN fused f ON v.id = f.id WHERE relevance >= 0.15) ORDER BY round(score, 9) DESC, id LIMIT 20",
     ),
-    "recall_at_k": (recall_at_k, None),
+    "recall_at_k": (
+        recall_at_k,
+        S.with_(
+            *_V, f"cand AS (SELECT *, {S.tokens('content')} AS tk, {S.TIME} AS tif FROM visible)", f"top AS (SELECT id, tk FROM (SELECT *, {S.EFFECTIVE} AS eff FROM cand ORDER BY eff DESC, created_at DESC NULLS LAST, id LIMIT 20))", "q AS (SELECT id AS query, unnest(tk) AS token FROM top)",
+            "post AS (SELECT id, tif, unnest(tk) AS token FROM cand)", "idf AS (SELECT token, greatest(0.0, ln(((SELECT count(*) FROM cand) - count(*) + 0.5) / (count(*) + 0.5) + 1)) AS idf FROM post WHERE token IN (SELECT token FROM q) GROUP BY 1)",
+            "whole AS (SELECT query, sum(idf) AS w FROM q JOIN idf USING (token) GROUP BY 1)", "rel AS (SELECT query, id, sum(idf) / any_value(w) AS relevance, sum(idf) / any_value(w) * any_value(tif) AS score FROM q JOIN idf USING (token) JOIN whole USING (query) JOIN post USING (token) GROUP BY 1, 2)",
+            "found AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM rel WHERE relevance >= 0.3 QUALIFY rank <= 5)", "n AS (SELECT count(DISTINCT query) AS searches FROM q)",
+        )
+        + "SELECT any_value(searches) AS searches, round(count(*) FILTER (WHERE query = id) / any_value(searches), 6) AS recall, round(count(DISTINCT query) / any_value(searches), 6) AS answered, count(DISTINCT id) AS retrieved FROM found, n",
+    ),
     "recall_minus_snapshot": (recall_minus_snapshot, S.with_(*_V, _SEARCH, _SNAPSHOT) + "SELECT query, id FROM found WHERE id NOT IN (SELECT id FROM snap)"),
     "context_pack": (context_pack, None),
     "pack_counts": (pack_counts, None),
-    "render_catalog": (render_catalog, None),
+    "render_catalog": (
+        render_catalog,
+        S.with_(*_V, _SNAPSHOT, f"t AS (SELECT string_agg(concat('- [', kind, '] ', substring(content, 1, 24), '（记忆 #', substring(id, 1, 8), '）'), chr(10) ORDER BY {S.EFFECTIVE} DESC, created_at DESC NULLS LAST, id) FILTER (WHERE content IS NOT NULL) AS titles FROM visible WHERE id IN (SELECT id FROM snap))", "c AS (SELECT concat(chr(10), '## 未展示的记忆目录（可 memory_recall 检索）', chr(10), titles) AS c FROM t)")
+        + "SELECT CASE WHEN length(c) > 1500 THEN concat(substring(c, 1, 1500), chr(10), '（目录截断，可用 memory_recall 检索更多）') ELSE c END AS catalog FROM c",
+    ),
     "vector_missing": (vector_missing, S.with_(*_X) + "SELECT id FROM shown WHERE id NOT IN (SELECT memory_id FROM held)"),
     "vector_coverage": (vector_coverage, S.with_(*_X, _COVERAGE) + "SELECT * FROM cov"),
     "vector_cleanup": (vector_cleanup, S.with_(*_X) + "SELECT memory_id, dim FROM current_vectors WHERE memory_id IN (SELECT id FROM shown)"),

@@ -92,7 +92,16 @@ QUERIES = {
         compaction_targets,
         S.with_(*_O, "sh AS (SELECT DISTINCT session_id, seq AS summary_seq, unnest(shadowed_seqs) AS seq FROM once WHERE event_type = 'compaction/summary')") + "SELECT sh.session_id, summary_seq, sh.seq FROM sh JOIN spoken s ON s.session_id = sh.session_id AND s.seq = sh.seq",
     ),
-    "turn_batches": (turn_batches, None),
+    "turn_batches": (
+        turn_batches,
+        S.recursive(
+            *_O, "ev AS (SELECT session_id, seq, length(said) + 1 AS chars, false AS e FROM spoken UNION ALL SELECT session_id, seq, 0, true FROM once WHERE event_type = 'turn/end')", "num AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM ev)",
+            "fold(session_id, n, b, f, l, c, emitted, ob, of_, ol, oc) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, false, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM num UNION ALL "
+            "SELECT session_id, n, CASE WHEN emits THEN b + 1 ELSE b END, CASE WHEN emits THEN NULL WHEN e THEN f ELSE coalesce(f, seq) END, CASE WHEN emits THEN NULL WHEN e THEN l ELSE seq END, CASE WHEN emits THEN 0 ELSE c + chars END, emits, b, f, l, c - 1 "
+            f"FROM (SELECT num.session_id, num.n, num.seq, num.chars, num.e, b, f, l, c, coalesce(num.e AND f IS NOT NULL AND c - 1 >= {se.EMIT_CHARS}, false) AS emits FROM fold JOIN num ON num.session_id = fold.session_id AND num.n = fold.n + 1))",
+        )
+        + "SELECT session_id, ob AS batch, of_ AS first_seq, ol AS last_seq, oc AS chars, true AS closed FROM fold WHERE emitted UNION ALL SELECT session_id, b, f, l, c - 1, false FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1) WHERE f IS NOT NULL",
+    ),
     "injection_visible": (
         injection_visible,
         S.with_(S.EVENTS) + f"SELECT session_id, seq, NOT EXISTS (SELECT 1 FROM once c WHERE c.session_id = o.session_id AND c.event_type = 'compaction/summary' AND c.seq > o.seq AND o.seq <= c.shadowed_end) AS visible FROM once o WHERE event_type = 'user/message' AND source_kind = 'plugin' AND source_plugin = '{se.OWN_PLUGIN}'",
@@ -107,8 +116,24 @@ QUERIES = {
         S.with_(S.ENTRIES, S.EVENTS, "r AS (SELECT session_id, count(*) AS memories, count(*) FILTER (WHERE coalesce(list_contains(tags, 'session-summary'), false)) AS summaries FROM entries GROUP BY 1)", "c AS (SELECT session_id, max(seq) AS seq, arg_max(event_time, seq) AS at_ FROM once WHERE event_type = 'agent/disposed' GROUP BY 1)")
         + "SELECT c.session_id, seq, 'insight' AS kind, concat('会话快照：会话 ', c.session_id, coalesce('（' || strftime(at_, '%Y-%m-%dT%H:%M:%S.%g') || 'Z 结束）', ''), '，期间产生记忆 ', coalesce(memories, 0), ' 条（含会话摘要 ', coalesce(summaries, 0), ' 份）。可用 memory_search kind=insight 检索本会话的摘要内容。') AS content, 5.0::DOUBLE AS importance, 'snapshot' AS tags FROM c LEFT JOIN r ON r.session_id = c.session_id",
     ),
-    "access_throttle": (access_throttle, None),
-    "snapshot_rebuilds": (snapshot_rebuilds, None),
+    "access_throttle": (
+        access_throttle,
+        S.recursive(
+            "num AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts), event_id) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL)",
+            "fold(user_id, event_type, n, event_id, at_us, last_, kept) AS (SELECT user_id, event_type, n, event_id, at_us, at_us, true FROM num WHERE n = 1 UNION ALL "
+            "SELECT num.user_id, num.event_type, num.n, num.event_id, num.at_us, CASE WHEN num.at_us - last_ >= 3600000000 THEN num.at_us ELSE last_ END, num.at_us - last_ >= 3600000000 FROM fold JOIN num ON num.user_id = fold.user_id AND num.event_type = fold.event_type AND num.n = fold.n + 1)",
+        )
+        + "SELECT user_id, event_type, event_id, at_us FROM fold WHERE kept",
+    ),
+    "snapshot_rebuilds": (
+        snapshot_rebuilds,
+        S.recursive(
+            S.EVENTS, "num AS (SELECT session_id AS workspace, seq, epoch_us(event_time) AS t, CAST(floor(seq / 3.0) AS BIGINT) AS revision, row_number() OVER (PARTITION BY session_id ORDER BY event_time, seq) AS n FROM once WHERE event_time IS NOT NULL)",
+            "fold(workspace, n, seq, built, held, rebuilt) AS (SELECT workspace, n, seq, t, revision, true FROM num WHERE n = 1 UNION ALL "
+            "SELECT workspace, n, seq, CASE WHEN again THEN t ELSE built END, CASE WHEN again THEN revision ELSE held END, again FROM (SELECT num.workspace, num.n, num.seq, num.t, num.revision, built, held, num.t - built >= 300000000 OR (num.revision <> held AND num.t - built >= 60000000) AS again FROM fold JOIN num ON num.workspace = fold.workspace AND num.n = fold.n + 1))",
+        )
+        + "SELECT workspace, seq, rebuilt FROM fold",
+    ),
     "ext_tumbling_events": (ext_tumbling_events, "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"),
     "ext_session_window": (
         ext_session_window,
