@@ -6,9 +6,11 @@ drawn from a hash of seed, mix and document.  The draw of a document depends on
 nothing else, so it is the same however the data are partitioned, and the only
 shuffle is of one partial sum per source and task.
 
-A source whose target would need more than its `max_repeats` gives what it can; what
-is missing is asked of the mix's other sources in proportion to their shares, so the
-mix keeps its size where the sources allow it.
+A source whose target would need more than its `max_repeats` gives what it can.  By the rule
+"size" what is missing is asked of the mix's other sources in proportion to their shares, so the
+mix keeps its size where the sources allow it; by the rule "shares" the whole mix becomes as
+much smaller as its scarcest source asks, so those that have documents keep their shares.
+What the draw of whole documents may add or take is told as a standard deviation.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ def plain_source(column: str | Column) -> Column:
     return F.when(name != "", name)
 
 
-def rates_of(targets: pd.DataFrame) -> pd.DataFrame:
+def rates_of(targets: pd.DataFrame, keep: str = "size") -> pd.DataFrame:
     """Rates of one mix: of rows source, target_share, max_repeats, wanted (tokens of the mix), tokens (of the source).
 
-    Shares are weights; null, NaN and negative ones count as 0.  A source without tokens has rate 0.
+    Shares are weights; null, NaN and negative ones count as 0.  A source without tokens has rate 0, and does not count
+    as scarce.  `keep` is the rule for capped sources, "size" or "shares".
     """
+    if keep not in ("size", "shares"):
+        raise ValueError(f"unknown rule {keep!r}")
     t = targets.sort_values("source").reset_index(drop=True).copy()
     weight = pd.to_numeric(t["target_share"]).fillna(0).clip(lower=0)
     t["share"] = weight / weight.sum() if weight.sum() > 0 else 0.0
@@ -40,6 +45,11 @@ def rates_of(targets: pd.DataFrame) -> pd.DataFrame:
     most = tokens * t["max_repeats"].fillna(0).clip(lower=0)
     given, open_ = pd.Series(0.0, t.index), t["share"] > 0
     left = float(t["wanted"].iloc[0])
+    if keep == "shares":
+        there = open_ & (tokens > 0)
+        part = t["share"] / t["share"][there].sum() if there.any() else t["share"]
+        given[there] = part[there] * min(left, (most[there] / part[there]).min()) if there.any() else 0.0
+        left = 0.0
     while open_.any() and left > 0:
         asked = left * t["share"] / t["share"][open_].sum()
         full = open_ & (asked >= most)
@@ -50,25 +60,30 @@ def rates_of(targets: pd.DataFrame) -> pd.DataFrame:
         left -= most[full].sum()
         open_ &= ~full
     t["rate"] = (given / tokens.where(tokens > 0)).fillna(0.0)
+    t["expected_share"] = given / given.sum() if given.sum() > 0 else 0.0
     t["capped"] = (t["share"] > 0) & (given < t["wanted"] * t["share"] - 1e-9)
     return t
 
 
-def mixing_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_name, source, share, wanted, tokens, max_repeats, rate, capped): a row per target.
+def mixing_rates(sized: DataFrame, targets: DataFrame, keep: str = "size") -> DataFrame:
+    """(mix_name, source, share, wanted, tokens, max_repeats, rate, capped, expected_share, deviation): a row per target;
+    the share reached is the expected one but for about `deviation`, as documents are drawn whole.
 
     `sized` is (doc_id, source, n_tokens), sources in plain form; several targets of a mix for one source count together.
     """
-    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"))
     whole = sized.agg(F.sum("n_tokens")).first()[0] or 0
     asked = targets.withColumn("source", plain_source("source")).where("source is not null and mix_name is not null")
     asked = asked.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("size_ratio").alias("size_ratio"))
     rows = asked.join(totals, "source", "left").withColumn("wanted", F.lit(float(whole)) * F.coalesce("size_ratio", F.lit(0.0)))
-    schema = "mix_name string, source string, share double, wanted double, tokens bigint, max_repeats int, rate double, capped boolean"
+    schema = "mix_name string, source string, share double, wanted double, tokens bigint, max_repeats int, rate double, capped boolean, expected_share double, deviation double"
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        made = rates_of(part)
+        made = rates_of(part, keep)
+        spread = (made["squares"].fillna(0) * (made["rate"] % 1) * (1 - made["rate"] % 1)).clip(lower=0) ** 0.5
+        size = float((made["rate"] * made["tokens"].fillna(0)).sum())
+        made["deviation"] = spread / size if size > 0 else 0.0
         made["tokens"] = made["tokens"].fillna(0).astype("int64")
         made["max_repeats"] = made["max_repeats"].fillna(0).astype("int32")
         return made[columns]

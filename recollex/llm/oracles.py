@@ -34,7 +34,20 @@ _TAGS = (
     "tags4 AS (SELECT * FROM tg WHERE id IN (SELECT id FROM tg GROUP BY 1 HAVING count(*) >= 4))"
 )
 
+
+
+def _classes(source: str, pairs: str, name: str) -> str:
+    """Every id with the least id of equal sets, how many there are, and the classes that are paired with its own."""
+    return (
+        f"{name}_k AS (SELECT id, min(id) OVER (PARTITION BY s) AS class, count(*) OVER (PARTITION BY s) AS copies FROM (SELECT id, string_agg(token, chr(10) ORDER BY token) AS s FROM {source} GROUP BY 1)), "
+        f"{name}_l AS (SELECT x.class, count(DISTINCT y.class) AS links FROM (SELECT id_a AS a, id_b AS b FROM {pairs} UNION ALL SELECT id_b, id_a FROM {pairs}) e JOIN {name}_k x ON x.id = a JOIN {name}_k y ON y.id = b WHERE x.class <> y.class GROUP BY 1), "
+        f"{name} AS (SELECT id, {name}_k.class AS class, copies, coalesce(links, 0) AS links FROM {name}_k LEFT JOIN {name}_l ON {name}_k.class = {name}_l.class)"
+    )
+
+
 SQL = {
+    "p1_classes": f"WITH {_P1}, {_classes('w', 'p1', 'k')} SELECT id, class, copies, links FROM k",
+    "p4_links": f"WITH {_TOKENS}, {_TAGS}, {_pairs('tok', 1, 2, 'c')}, {_pairs('tags4', 3, 5, 'd')}, {_classes('tok', 'c', 'ck')}, {_classes('tags4', 'd', 'dk')} SELECT 'content_tokens' AS basis, id, class, copies, links FROM ck UNION ALL SELECT 'tags', id, class, copies, links FROM dk",
     "p1_found": f"WITH {_P1} SELECT id_a, id_b FROM p1",
     "p2_found": (
         f"WITH RECURSIVE {_P1}, links AS (SELECT id_a AS a, id_b AS b FROM p1), {_groups('links', 'g')}, "

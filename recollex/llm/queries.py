@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
-    """Every memory with words, its class of equal word sets and the links of the class."""
+    """Every memory with words, the least id with equal words, how many have them, and the classes similar to its own."""
     return duplicate_classes(_texts(spark, directory), Scratch(spark))
 
 

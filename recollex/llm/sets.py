@@ -165,7 +165,7 @@ def between_ids(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def linked_classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, class, copies, links): the ids in the class, and the other classes it is paired with."""
+    """(id, class, copies, links): the least id of the class, the ids in it, and the other classes it is paired with."""
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    return members.join(sizes, "class").join(links, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    about = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")).join(links, "class", "left")
+    return members.join(about, "class").select("id", F.col("least").alias("class"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -71,6 +71,14 @@ def test_rates():
     assert rates_of(target(max_repeats=[1, 1], wanted=[5000.0, 5000.0])).rate.tolist() == [1.0, 1.0]
 
 
+def test_shares_are_kept_where_asked():
+    kept = rates_of(target(source=["a", "b", "gone"], target_share=[1.0, 3.0, 2.0], max_repeats=[2, 3, 2], wanted=[1000.0] * 3, tokens=[1000, 100, None]), "shares")
+    assert kept.expected_share.tolist() == [0.25, 0.75, 0.0] and kept.rate.tolist() == [0.1, 3.0, 0.0] and kept.capped.tolist() == [True, True, True]
+    assert rates_of(target(), "shares").rate.tolist() == [0.25, 7.5]
+    with pytest.raises(ValueError):
+        rates_of(target(), "odd")
+
+
 def test_mix_reaches_its_shares(spark):
     sized = spark.createDataFrame([(i, "big" if i % 10 else "small", 10 + i % 7, 1.0) for i in range(6000)] + [(9000, None, 50, 1.0), (9001, "big", 0, 1.0)], "doc_id bigint, source string, n_tokens bigint, rate double")
     targets = spark.createDataFrame([("m", "Big ", 1.0, 2, 0.5), ("m", "SMALL", 1.0, 3, 0.5), ("m", "none", 0.0, 1, 0.5)], "mix_name string, source string, target_share double, max_repeats int, size_ratio double")
@@ -78,7 +86,7 @@ def test_mix_reaches_its_shares(spark):
     rates = mixing_rates(sized, targets)
     draws = drawn(sized, rates, scratch)
     report = {r.source: r for r in shares(rates, draws).collect()}
-    assert abs(report["big"].reached_share - 0.5) < 0.03 and report["none"].drawn_tokens == 0
+    assert abs(report["big"].reached_share - report["big"].expected_share) < 4 * report["big"].deviation < 0.05 and report["none"].drawn_tokens == 0
     copies = draws.groupBy("source").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi")).collect()
     assert {(r.source, r.lo, r.hi) for r in copies} == {("small", 2, 3), ("big", 1, 1)}
     assert emitted(draws).count() == draws.agg(F.sum("copies")).first()[0]
