@@ -406,21 +406,25 @@ def phrases(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 @dataclass
 class Learned:
-    """What reviews taught: weights of kinds, and phrases by hash (ascending) with weight and category."""
+    """What reviews taught: weights of kinds, and phrases with weight and category."""
 
     kinds: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
-    phrases: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    categories: list[str] = field(default_factory=list)
-
-    def phrase(self, hashes: np.ndarray) -> tuple[float, str, int, int] | None:
-        """(weight, category, place, words) of the best phrase of a text."""
-        best = None
-        for n, run in phrases(hashes):
-            at = np.minimum(np.searchsorted(self.phrases, run), len(self.phrases) - 1)
-            for i in np.flatnonzero(self.phrases[at] == run).tolist():
-                if best is None or self.weights[at[i]] > best[0]:
-                    best = float(self.weights[at[i]]), self.categories[at[i]], i, n
+    phrases: dict[str, tuple[float, str]] = field(default_factory=dict)
+    words: frozenset[str] = frozenset()
+
+    def phrase(self, tokens: list[str]) -> tuple[float, str, str] | None:
+        """(weight, category, phrase) of the best phrase of a text: looked for where words of phrases follow each other."""
+        words, best, start = self.words, None, 0
+        for i, token in enumerate([*tokens, ""]):
+            if token in words:
+                continue
+            if i - start >= PHRASE_WORDS[0]:
+                for n in PHRASE_WORDS:
+                    for at in range(start, i - n + 1):
+                        found = self.phrases.get(" ".join(tokens[at : at + n]))
+                        if found and (best is None or found[0] > best[0]):
+                            best = *found, " ".join(tokens[at : at + n])
+            start = i + 1
         return best
 
 
@@ -437,9 +441,8 @@ def scored(lexicon: Lexicon, known: Learned, text: str | None) -> tuple[float, f
     if not words:
         return 0.0, 0.0, None, []
     hits = [(known.kinds[kind], category, term, quoted) for category, term, kind, quoted in lexicon._hits(plain, words, same)]
-    if len(known.phrases) and (phrase := known.phrase(lexicon.hashed(same))):
-        weight, category, at, n = phrase
-        hits.append((weight, category, " ".join(lexicon.tokens(same)[at : at + n]), False))
+    if known.phrases and (phrase := known.phrase(lexicon.tokens(same) if _CHINESE_RUN.search(plain) else [t for t, _ in same])):
+        hits.append((*phrase, False))
     if not hits:
         return 0.0, 0.0, None, []
     return score([h[0] for h in hits]), score([h[0] for h in hits if h[3]]), max(hits, key=lambda h: (h[0], h[1]))[1], sorted({h[2] for h in hits})
@@ -482,6 +485,27 @@ def _evidence(ordinary) -> Callable:
     return run
 
 
+def _named(ordinary, chosen) -> Callable:
+    """(doc_id, text) to (key, phrase): the words of chosen phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, seen = worker_lexicon(ordinary), set()
+        for batch in batches:
+            keys, names = [], []
+            for text in batch.column(1).to_pylist():
+                same = lexicon.read(text)[2]
+                tokens = lexicon.tokens(same)
+                for n, run_ in phrases(lexicon.hashed(same)):
+                    for i in np.flatnonzero(np.isin(run_, chosen.value)).tolist():
+                        if int(run_[i]) not in seen:
+                            seen.add(int(run_[i]))
+                            keys.append(run_[i])
+                            names.append(" ".join(tokens[i : i + n]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(names, pa.string())], ["key", "phrase"])
+
+    return run
+
+
 def reviewed(reviews: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """(doc_id, rate, category) of at most `labelled` reviewed documents, by a hash of the id: the part of reviews that call
     it abusive, without ties, and the category most of them name."""
@@ -506,15 +530,17 @@ def learned(documents: DataFrame, reviews: DataFrame, scratch, ordinary, labelle
     ratio = 2 * (F.col("abusive") * F.log(F.col("abusive") / (F.col("n") * chance)) + F.when(harmless > 0, harmless * F.log(harmless / (F.col("n") * (1 - chance)))).otherwise(0.0))
     kinds = {_key(k) - (1 << 64 if _key(k) >> 63 else 0): k for k in WEIGHTS}
     telling = (F.col("abusive") >= PHRASE_LEAST) & (F.col("abusive") >= F.col("n") * PHRASE_PART) & (ratio >= LOG_RATIO)
-    rows = sums.where(telling | F.col("key").isin(*kinds)).collect()  # phrases of a bounded sample
-    found = []
-    for r in rows:
+    found = {}
+    for r in sums.where(telling | F.col("key").isin(*kinds)).collect():  # phrases of a bounded sample
         if r.key in kinds:
             known.kinds[kinds[r.key]] = (PRIOR * WEIGHTS[kinds[r.key]] + r.abusive) / (PRIOR + r.n)
         else:
-            found.append((r.key % (1 << 64), min(0.95, (r.abusive + 1) / (r.n + 2)), max(CATEGORIES, key=lambda c: r[c])))
-    found.sort()
-    known.phrases, known.weights, known.categories = np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1] for f in found]), [f[2] for f in found]
+            found[r.key] = min(0.95, (r.abusive + 1) / (r.n + 2)), max(CATEGORIES, key=lambda c: r[c])
+    if found:
+        chosen = documents.sparkSession.sparkContext.broadcast(np.array([k % (1 << 64) for k in found], dtype=np.uint64))
+        names = rows.select("doc_id", "text").mapInArrow(_named(ordinary, chosen), "key bigint, phrase string").distinct().collect()
+        known.phrases = {r.phrase: found[r.key] for r in names}
+        known.words = frozenset(w for p in known.phrases for w in p.split(" "))
     return known
 
 
