@@ -75,6 +75,7 @@ def _pairs(text: str) -> dict[str, str]:
 
 
 _FOLD = str.maketrans(_pairs(T.LOOKALIKES))
+_ALIKE = re.compile(f"[{T.LOOKALIKES[::2]}]")
 _STAND_INS = str.maketrans(_pairs(T.STAND_INS))
 
 
@@ -139,7 +140,10 @@ def folded(text: str) -> str:
     next to Latin ones."""
     if text.isascii():
         return text.lower()
-    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_FOLD)
+    plain = unicodedata.normalize("NFKC", text).lower()
+    if _INVISIBLE.search(plain):
+        plain = _INVISIBLE.sub("", plain)
+    return plain.translate(_FOLD) if _ALIKE.search(plain) else plain
 
 
 def ordinary_words(files: tuple[str, ...] = ORDINARY) -> frozenset[str]:
