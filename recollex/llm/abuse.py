@@ -550,9 +550,9 @@ def learned(documents: DataFrame, reviews: DataFrame, scratch, ordinary, labelle
 
 def _scores(ordinary, known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = worker_lexicon(ordinary)
+        lexicon, taught = worker_lexicon(ordinary), Learned(*known.value)
         for batch in batches:
-            made = [scored(lexicon, known.value, text) for text in batch.column(2).to_pylist()]
+            made = [scored(lexicon, taught, text) for text in batch.column(2).to_pylist()]
             kinds = (pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds))], ["doc_id", "source", "score", "quoted_score", "category", "terms"])
 
@@ -570,7 +570,8 @@ def abuse_scores(documents: DataFrame, scratch, reviews: DataFrame | None = None
     """
     context = documents.sparkSession.sparkContext
     words = context.broadcast(ordinary_words(ordinary))  # of files of a fixed size
-    known = context.broadcast(learned(documents, reviews, scratch, words) if reviews is not None else Learned())
+    taught = learned(documents, reviews, scratch, words) if reviews is not None else Learned()
+    known = context.broadcast((taught.kinds, taught.phrases, taught.words))  # plain values, which load wherever the package is; of a bounded sample
     rows = documents.select("doc_id", plain_source("source").alias("source"), "text")
     found = rows.mapInArrow(_scores(words, known), "doc_id bigint, source string, score double, quoted_score double, category string, terms array<string>")
     return found.withColumns({c: F.round(c, 6) for c in ("score", "quoted_score")})
