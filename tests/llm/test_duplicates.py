@@ -211,3 +211,11 @@ def test_hot_vertices_are_salted(spark, monkeypatch):
     links = [(1, i) for i in range(2, 200)] + [(500, 501)]
     found = {r.vertex: r.group for r in components.hash_to_min(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b", Scratch(spark)).collect()}
     assert found == components_by_force(links)
+
+
+def test_pairs_at_the_threshold_are_next_to_never_lost(spark):
+    rows, texts = [], 1500
+    for t in range(texts):  # 14 words of 20 shared: 0.7
+        shared = [f"s{t}x{i}" for i in range(14)]
+        rows += [(f"{t}-{side}", " ".join(shared + [f"{side}{t}x{i}" for i in range(3)])) for side in "ab"]
+    assert near_duplicates(spark.createDataFrame(rows, TEXTS), Scratch(spark)).count() == texts
