@@ -395,3 +395,16 @@ def test_events_become_memories(spark, tmp_path):
     assert found == {("create", "Use Parquet", "w1", 8.0), ("merge", None, None, 9.0)}
     run()
     assert stores.read_log(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    from recollex.sources.shared import CLEANUP, Scratch
+
+    def shuffles():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    before, held, scratch = spark.conf.get(CLEANUP, None), shuffles(), Scratch(spark)
+    scratch.keep(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    scratch.keep_bucketed(spark.range(1000).groupBy("id").count(), "id", 4)
+    assert shuffles() <= held
+    assert spark.conf.get(CLEANUP, None) == before
