@@ -24,12 +24,17 @@ leaf, in blocks of `BLOCKED` records when it is large: a task gets two blocks at
 no leaf, however large, is one task's work and no pair in it is left out.
 Compared are bit sketches, another one in trees of even and odd number; every pair whose
 sketches are compatible is checked on the full sets.
+
+A set has more leaves the more sets there are, so leaves are not written all at once: the
+walk takes as many trees in a turn as have some `AT_ONCE` leaves a set, or a part of one
+tree's first branches.  What a turn leaves on disk are its candidate pairs, each once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +56,9 @@ HEAVY = 200_000
 #: Branching below a root, and rounds of splitting leaves that came out large.
 DEPTH = 8
 ROUNDS = 4
-#: Sets that are branched together.
+#: Sets that are branched together, and leaves of a set that are on disk at a time, by the number expected.
 BLOCK = 512
+AT_ONCE = 24
 #: One-bit min-hashes in a sketch, 64 a word; compatible is what a pair at the threshold is in all but 1 % of cases,
 #: and in all but 0.01 % in one of both sketches.
 SKETCH = 192
@@ -76,6 +82,17 @@ def trees_for(threshold: float, recall: float, levels: int) -> int:
     return max(trees(recall, 2 / (1 + threshold)), trees(CONTAINED, 1.0))
 
 
+def turns_for(trees: int, leaves: float) -> list[tuple[np.ndarray, int, int]]:
+    """(trees, part, parts): the trees of each turn, and which part of their first branches; together all branches of all trees.
+
+    leaves: of one set in one tree, as expected.  Even trees come first, since they share a sketch.
+    """
+    order = np.argsort(np.arange(trees) % 2, kind="stable")
+    parts = max(1, math.ceil(leaves / AT_ONCE))
+    chunks = np.array_split(order, math.ceil(trees / max(1, int(AT_ONCE / leaves))))
+    return [(chunk, part, parts) for chunk in chunks for part in range(parts)]
+
+
 def differing_bits(threshold: float) -> int:
     """Bits in which two sketches of similarity `threshold` differ at most, but for about 1 %."""
     p = (1 - threshold) / 2
@@ -97,18 +114,20 @@ def sketches(values: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray
     return out
 
 
-def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: tuple[int, int], logs: Callable, stop: float, opened: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def branch(values: np.ndarray, ends: np.ndarray, turn: tuple[np.ndarray, int, int], threshold: tuple[int, int], logs: Callable, stop: float, opened: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(record, key, path, tree) of all leaves of a block of sets, path being 0, and of the nodes above
     them where a similar set may share the path's tokens only, path being their number.
 
+    turn: numbers of the trees, and of their first branches which part of how many.
     logs: log frequency by token; stop: log frequency of a path at which it ends.
     opened: marks (key and record mixed) of all leaves to go on below, and of those
     opened last; only descendants of the latter are returned.
     """
     sizes = np.diff(ends)
-    records, tree = np.repeat(np.arange(len(sizes)), trees), np.tile(np.arange(trees), len(sizes))
-    roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    nodes, paths = roots[tree], np.zeros(len(records))
+    trees, part, parts = turn
+    records, tree = np.repeat(np.arange(len(sizes)), len(trees)), np.tile(trees, len(sizes))
+    nodes = _mix((tree + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    paths = np.zeros(len(records))
     below = np.zeros(len(records), dtype=bool)
     taken: list[np.ndarray] = []
     shared, union = threshold
@@ -127,6 +146,9 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: tuple[in
             chosen &= tokens != earlier[parent]
         parent, tokens = parent[chosen], tokens[chosen]
         nodes = _mix(nodes[parent] * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
+        if depth == 0 and parts > 1:
+            own = nodes % np.uint64(parts) == part
+            nodes, parent, tokens = nodes[own], parent[own], tokens[own]
         paths, records, tree, below = paths[parent] + logs(tokens), records[parent], tree[parent], below[parent]
         taken = [*(t[parent] for t in taken), tokens]
         ended = (paths <= stop) | (depth + 1 >= DEPTH)
@@ -145,8 +167,8 @@ def branch(values: np.ndarray, ends: np.ndarray, trees: int, threshold: tuple[in
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
 
 
-def _leaves(trees: int, threshold: tuple[int, int], heavy, least: float, stop: float) -> Callable:
-    """Rows (leaf, class, words of the sketch) of leaves, whose keys are even, and (node, class, size, path, 0) of
+def _leaves(turn: tuple[np.ndarray, int, int], threshold: tuple[int, int], heavy, least: float, stop: float) -> Callable:
+    """Rows (leaf, class, words of the sketch) of a turn's leaves, whose keys are even, and (node, class, size, path, 0) of
     nodes with pairs that share no more than the path, whose keys are odd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +190,10 @@ def _leaves(trees: int, threshold: tuple[int, int], heavy, least: float, stop: f
                 if batch.num_columns > 2:
                     lists = [flat_sets(batch.column(c).slice(a, b - a)) for c in (2, 3)]
                     opened = tuple(_mix(keys + np.repeat(np.arange(b - a), np.diff(key_ends)).astype(np.uint64)) for keys, key_ends in lists)
-                records, keys, paths, tree = branch(part, cuts, trees, threshold, logs, stop, opened)
-                bits = np.stack([sketches(part, cuts), sketches(part, cuts, 12)])[tree % 2, records]
+                records, keys, paths, tree = branch(part, cuts, turn, threshold, logs, stop, opened)
+                bits = np.zeros((len(records), len(WORDS)), dtype=np.uint64)
+                for odd in np.unique(tree % 2):
+                    bits[tree % 2 == odd] = sketches(part, cuts, 11 + odd)[records[tree % 2 == odd]]
                 alone = paths > 0
                 bits[alone] = np.stack([np.diff(cuts)[records[alone]], paths[alone], 0 * paths[alone]], axis=1).astype(np.uint64)
                 keys = (keys & ~np.uint64(1)) | alone.astype(np.uint64)
@@ -194,7 +218,7 @@ def _frequencies(spark: SparkSession, sets: DataFrame, count: int, tokens: int):
 
 
 def similar_sets(sets: DataFrame, scratch: Scratch, threshold: tuple[int, int], recall: float = 0.97) -> DataFrame:
-    """(a, b, shared, total): pairs a < b of classes with shared / all tokens at or above the fraction.
+    """(a, b, shared, total), kept: pairs a < b of classes with shared / all tokens at or above the fraction.
 
     `sets` is (class, tokens) as `class_sets` keeps them: equal sets are one class, null and
     empty ones none; a table without sets gives no pair.  `recall` is met for equally large sets
@@ -205,31 +229,45 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: tuple[int, int],
     heavy, least, mean = _frequencies(sets.sparkSession, sets, max(size.n, 1), size.t or 0)
     stop = math.log(LEAF_AIM / max(size.n, LEAF_AIM))
     levels = min(DEPTH, max(1, math.ceil(stop / mean)) + 1) if mean < 0 else 1  # paths of frequent tokens are longer than the mean
-    run = _leaves(trees_for(fraction, recall, levels), threshold, heavy, least, stop)
+    near: list[DataFrame] = []
+    for turn in turns_for(trees_for(fraction, recall, levels), fraction**-levels):
+        near += _met(sets, scratch, _leaves(turn, threshold, heavy, least, stop), threshold)
+    made = scratch.keep(similar(reduce(DataFrame.unionByName, near).distinct(), sets, *threshold))
+    for kept in near:
+        scratch.drop(kept)
+    return made
+
+
+def _met(sets: DataFrame, scratch: Scratch, run: Callable, threshold: tuple[int, int]) -> list[DataFrame]:
+    """Candidate pairs (a, b) of one turn's leaves, a kept table for each round; the leaves themselves are dropped."""
     schema = ", ".join(["leaf bigint", "class bigint", *(f"{c} bigint" for c in WORDS)])
     leaves = sets.mapInArrow(run, schema)
-    near = opened = None
-    for turn in range(ROUNDS + 1):
+    near, opened = [], []
+    for step in range(ROUNDS + 1):
         kept = scratch.keep(leaves)
         leaves, alone = kept.where("leaf & 1 = 0"), _sharing_the_path(kept.where("leaf & 1 = 1"), *threshold)
-        near = alone if near is None else near.unionByName(alone)
         counts = leaves.where(F.pmod("class", F.lit(MEASURED)) == 0).groupBy("leaf").agg((F.count(F.lit(1)) * MEASURED).alias("n"))
         counts = scratch.keep(counts.where(F.col("n") > BLOCKED).select("leaf", F.ceil(F.col("n") / BLOCKED).alias("blocks")))
         large = counts.where(F.col("blocks") > MOST_BLOCKS).select("leaf")
-        more = turn < ROUNDS and bool(large.take(1))
+        more = step < ROUNDS and bool(large.take(1))
         now, in_blocks = leaves, counts
         if more:
             now, in_blocks = leaves.join(large, "leaf", "left_anti"), counts.where(F.col("blocks") <= MOST_BLOCKS)
-        near = near.unionByName(_compared(now, in_blocks, fraction))
+        # kept by itself, so that the leaves and their shuffle are gone before the sets are fetched
+        near.append(scratch.keep(alone.unionByName(_compared(now, in_blocks, threshold[0] / threshold[1])).distinct()))
+        if more:
+            # the walk starts at the root again, so it must be led through the leaves of all rounds so far
+            opened.append(scratch.keep(leaves.join(large, "leaf", "left_semi").select("class", "leaf", F.lit(step).alias("step"))))
+            latest = F.collect_set(F.when(F.col("step") == step, F.col("leaf"))).alias("latest")
+            held = reduce(DataFrame.unionByName, opened).groupBy("class").agg(F.collect_set("leaf").alias("opened"), latest).where(F.size("latest") > 0)
+            leaves = sets.join(held, "class").select("class", "tokens", "opened", "latest").mapInArrow(run, schema)
+        scratch.drop(kept)
+        scratch.drop(counts)
         if not more:
             break
-        # the walk starts at the root again, so it must be led through the leaves of all turns so far
-        last = scratch.keep(leaves.join(large, "leaf", "left_semi").select("class", "leaf", F.lit(turn).alias("turn")))
-        opened = last if opened is None else opened.unionByName(last)
-        latest = F.collect_set(F.when(F.col("turn") == turn, F.col("leaf"))).alias("latest")
-        held = opened.groupBy("class").agg(F.collect_set("leaf").alias("opened"), latest).where(F.size("latest") > 0)
-        leaves = sets.join(held, "class").select("class", "tokens", "opened", "latest").mapInArrow(run, schema)
-    return similar(near.distinct(), sets, *threshold)
+    for last in opened:
+        scratch.drop(last)
+    return near
 
 
 def _compared(leaves: DataFrame, large: DataFrame, fraction: float) -> DataFrame:

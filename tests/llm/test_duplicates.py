@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -174,6 +175,47 @@ def test_contained_sets_meet_their_recall(spark):
     assert found <= wanted and len(found) >= 0.9 * len(wanted) > 1000
 
 
+def test_turns_together_are_the_whole_walk():
+    rng = np.random.default_rng(11)
+    sets = [np.sort(rng.choice(2**40, size=n, replace=False).astype(np.uint64)) for n in rng.integers(3, 40, 300)]
+    values, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+    def walked(turns):
+        made = [chosen_paths.branch(values, ends, turn, (1, 2), lambda t: np.full(len(t), -2.0), -6.0) for turn in turns]
+        return sorted(row for four in made for row in zip(*(x.tolist() for x in four)))
+
+    whole = walked([(np.arange(5), 0, 1)])
+    assert len(whole) > 5000
+    for leaves in (1, 8, 20, 24, 25, 130):
+        turns = chosen_paths.turns_for(5, leaves)
+        assert all(len(trees) * leaves / parts <= chosen_paths.AT_ONCE for trees, _, parts in turns)
+        assert walked(turns) == whole
+
+
+def test_leaves_are_on_disk_a_turn_at_a_time(spark, library, monkeypatch):
+    class Watched(Scratch):
+        most = 0
+
+        def keep(self, frame):
+            kept = super().keep(frame)
+            folder = Path(self.root.removeprefix("file://"))
+            held = [spark.read.parquet(str(f)) for f in folder.iterdir()]
+            self.most = max(self.most, sum(f.count() for f in held if "s0" in f.columns))
+            return kept
+
+    rows = spark.createDataFrame(list(library.items()), TEXTS)
+    found, most = [], []
+    for at_once in (10**6, 12):
+        monkeypatch.setattr(chosen_paths, "AT_ONCE", at_once, raising=False)
+        scratch = Watched(spark)
+        pairs = similar_sets(class_sets(rows, spaced_tokens, scratch), scratch, (1, 2), 0.999)
+        found.append({tuple(r) for r in pairs.collect()})
+        assert len(list(Path(scratch.root.removeprefix("file://")).iterdir())) == 2  # the sets and the pairs
+        most.append(scratch.most)
+    assert found[0] == found[1] and len(found[0]) > 50
+    assert 0 < 2 * most[1] < most[0]
+
+
 def components_by_force(links):
     parent = {}
 
