@@ -4,21 +4,28 @@ A pair at or above a threshold shares at least one of the first tokens of both s
 any common order; with rare tokens first few pairs meet by chance.  Rows of one block with
 equal token sets form a class, so a text that a third of all rows have is compared once.
 Candidates come from an equi-join on (block, token) of classes, tokens being ordered by how many
-classes of the block have them; lengths that cannot reach the threshold are cut in the join,
-and integers decide on full sets: no pair is lost or invented.
+classes of the block have them; pairs that lengths, places or bitmaps of tokens show to stay below the
+threshold are cut in the join, before anything is shuffled, and integers decide on full sets: no pair is
+lost or invented.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollex.functions.scoring import cosine, usable_vector
 from recollex.operators.search import with_tokens
-from recollex.sources.shared import Scratch
+from recollex.sources.shared import Scratch, shuffle_width
 
 DAY = 86_400_000_000
 #: Parts into which a prefix token is split that more than `HOT` classes of a block share.
 SALTS, HOT = 16, 20_000
+#: Of more tokens than these, the join is done in so many parts.
+PART_TOKENS, PARTS = 1_000_000, 4
+#: 64-bit words of a set's bitmap.
+BITMAP = 4
 
 
 def token_classes(rows: DataFrame, block: list[str]) -> DataFrame:
@@ -27,44 +34,87 @@ def token_classes(rows: DataFrame, block: list[str]) -> DataFrame:
     return rows.withColumn("_class", F.xxhash64(*block, "tokens"))
 
 
-def _prefixes(sets: DataFrame, counts: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
-    """(block, _class, _size, _n, _token): of each class the tokens of which a similar one must have one, n being its count."""
-    posts = sets.select(*block, "_class", F.explode("tokens").alias("_token"))
-    ordered = posts.join(counts, [*block, "_token"]).groupBy(*block, "_class").agg(F.sort_array(F.collect_list(F.struct("_n", "_token"))).alias("_o"))  # one record's tokens
-    size = F.size("_o")
-    kept = size - F.ceil(size * above / below) + 1
-    return ordered.select(*block, "_class", size.alias("_size"), F.explode(F.slice("_o", F.lit(1), kept.cast("int"))).alias("_p")).select(*block, "_class", "_size", "_p.*")
+def _posts(sets: DataFrame, block: list[str]) -> DataFrame:
+    """(_class, _size, _key): a row for each token of each class; the key is a hash of block and token."""
+    posts = sets.select(*block, "_class", F.size("tokens").alias("_size"), F.explode("tokens").alias("_token"))
+    return posts.select("_class", "_size", F.xxhash64(*block, "_token").alias("_key"))
 
 
-def similar_classes(sets: DataFrame, above: int, below: int, block: list[str], others: DataFrame | None = None) -> DataFrame:
-    """(_a, _b, shared, total): pairs _a < _b of classes (block, _class, tokens) of one block at or above the threshold, or, with
-    `others`, pairs of one of `sets` and another one of `others`.
+def _prefixes(posts: DataFrame, counts: DataFrame, above: int, below: int) -> DataFrame:
+    """(_class, _size, _more, _s0 ..., _n, _key, _left): of each class the keys of which a similar one must have one.
 
-    A token that very many classes of a block share in their prefixes is joined in salted parts: each of its classes
-    is in one part on the one side and in all parts on the other.
+    Keys are ordered by `_n`, how many classes have them.  `counts` leaves out those of one class: they come first and
+    meet nobody, so they only take up places.  `_more` is the number of the other keys, `_s0` and so on are a bitmap of
+    these, and `_left` is how many keys of the class are not before this one.
     """
-    whole = sets if others is None else sets.unionByName(others).dropDuplicates(["_class"])
-    counts = whole.select(*block, F.explode("tokens").alias("_token")).groupBy(*block, "_token").agg(F.count(F.lit(1)).alias("_n"))
-    prefix = _prefixes(sets, counts, above, below, block)
-    second = prefix if others is None else _prefixes(others, counts, above, below, block)
+    maps = [F.bit_or(F.when(F.expr(f"shiftright(_key, 6) & {BITMAP - 1} = {i}"), F.expr("shiftleft(1L, int(_key & 63))")).otherwise(F.lit(0).cast("bigint"))).alias(f"_s{i}") for i in range(BITMAP)]
+    ordered = posts.join(counts, "_key").groupBy("_class").agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("_n", "_key"))).alias("_o"), *maps)  # one record's tokens
+    size, more = F.col("_size"), F.size("_o")
+    kept = F.greatest(more - F.ceil(size * above / below) + 1, F.lit(0))
+    each = ordered.select("_class", "_size", more.alias("_more"), *[f"_s{i}" for i in range(BITMAP)], F.posexplode(F.slice("_o", F.lit(1), kept.cast("int"))).alias("_at", "_p"))
+    return each.select("_class", "_size", "_more", *[f"_s{i}" for i in range(BITMAP)], "_p.*", (F.col("_more") - F.col("_at")).alias("_left"))
+
+
+def _met(prefix: DataFrame, second: DataFrame, above: int, below: int, order: str) -> DataFrame:
+    """(_a, _b): candidates that have a key of their prefixes in common.  Cut are pairs whose sizes, whose tokens from the key
+    on, or whose bitmaps leave too few tokens to share: two sets differ in at least as many keys as their bitmaps in bits."""
     hot = F.col("_n") > HOT
     own = F.when(hot, F.pmod("_class", F.lit(SALTS))).otherwise(-1)
     every = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))
-    a = prefix.select(*block, "_token", own.cast("int").alias("_salt"), F.col("_class").alias("_a"), F.col("_size").alias("_a_size"))
-    b = second.select(*block, "_token", every.alias("_salt"), F.col("_class").alias("_b"), F.col("_size").alias("_b_size"))
-    met = a.join(b, [*block, "_token", "_salt"]).where((F.col("_a_size") * below >= F.col("_b_size") * above) & (F.col("_b_size") * below >= F.col("_a_size") * above))
-    met = met.where("_a < _b" if others is None else "_a <> _b").select("_a", "_b").distinct()
+    carried = ["size", "more", "left", *[f"s{i}" for i in range(BITMAP)]]
+    a = prefix.select("_key", own.cast("int").alias("_salt"), F.col("_class").alias("_a"), *[F.col(f"_{c}").alias(f"_a_{c}") for c in carried])
+    b = second.select("_key", every.alias("_salt"), F.col("_class").alias("_b"), *[F.col(f"_{c}").alias(f"_b_{c}") for c in carried])
+    differ = " + ".join(f"bit_count(_a_s{i} ^ _b_s{i})" for i in range(BITMAP))
+    sizes = f"_a_size * {below} >= _b_size * {above} AND _b_size * {below} >= _a_size * {above}"
+    left = f"least(_a_left, _b_left) * {above + below} >= (_a_size + _b_size) * {above}"
+    mapped = f"(_a_more + _b_more - ({differ})) * {above + below} >= 2 * (_a_size + _b_size) * {above}"
+    met = a.join(b, ["_key", "_salt"]).where(f"{order} AND {sizes} AND {left} AND {mapped}")
+    return met.select("_a", "_b").distinct()
+
+
+def similar_classes(sets: DataFrame, above: int, below: int, block: list[str], others: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(_a, _b, shared, total), kept: pairs _a < _b of classes (block, _class, tokens) of one block at or above the threshold, or,
+    with `others`, pairs of one of `sets` and another one of `others`.  Both are read several times, so pass kept tables.
+
+    A token that very many classes of a block share in their prefixes is joined in salted parts: each of its classes
+    is in one part on the one side and in all parts on the other.  Of many tokens, classes are given their prefixes, and
+    keys are joined, in `PARTS` one after the other, so that what these shuffle is on disk for one part at a time.
+    """
+    scratch = scratch or Scratch(sets.sparkSession)
+    sides = [sets] if others is None else [sets, others]
+    whole = sets if others is None else sets.unionByName(others).dropDuplicates(["_class"])
+    counts = scratch.keep(_posts(whole, block).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    tokens = sum(side.agg(F.sum(F.size("tokens"))).first()[0] or 0 for side in sides)
+    parts = PARTS if tokens > PART_TOKENS else 1
+    prefixes, made = [], [counts]
+    for side in sides:
+        kept = []
+        for part in range(parts):
+            own = side if parts == 1 else side.where(F.pmod("_class", F.lit(parts)) == part)
+            kept.append(scratch.keep(_prefixes(_posts(own, block), counts, above, below)))
+        made += kept
+        prefixes.append(reduce(DataFrame.unionByName, kept))
+    met = []
+    for part in range(parts):
+        of_part = [p if parts == 1 else p.where(F.pmod("_key", F.lit(parts)) == part) for p in prefixes]
+        met.append(scratch.keep(_met(of_part[0], of_part[-1], above, below, "_a < _b" if others is None else "_a <> _b")))
+    for kept in made:
+        scratch.drop(kept)
     one, two = sets.select(F.col("_class").alias("_a"), F.col("tokens").alias("_a_t")), (others if others is not None else sets).select(F.col("_class").alias("_b"), F.col("tokens").alias("_b_t"))
-    both = met.join(one, "_a").join(two, "_b")
+    both = reduce(DataFrame.unionByName, met).distinct().join(one, "_a").join(two, "_b")
     checked = both.withColumn("shared", F.size(F.array_intersect("_a_t", "_b_t"))).withColumn("total", F.size("_a_t") + F.size("_b_t") - F.col("shared"))
-    return checked.where(F.col("shared") * below >= F.col("total") * above).select("_a", "_b", "shared", "total")
+    found = scratch.keep(checked.where(F.col("shared") * below >= F.col("total") * above).select("_a", "_b", "shared", "total"))
+    for kept in met:
+        scratch.drop(kept)
+    return found
 
 
 def matches(new: DataFrame, old: DataFrame, above: int, below: int, block: list[str]) -> DataFrame:
     """(new_id, old_id): rows (id, block, tokens) of `new` with the similar ones of `old`; old ones are not compared with each other."""
     x, y = token_classes(new.select("id", *block, "tokens"), block), token_classes(old.select("id", *block, "tokens"), block)
-    sets = [r.groupBy(*block, "_class").agg(F.first("tokens").alias("tokens")) for r in (x, y)]
-    linked = similar_classes(sets[0], above, below, block, sets[1]).select("_a", "_b").unionByName(sets[0].select(F.col("_class").alias("_a"), F.col("_class").alias("_b")))
+    scratch = Scratch(new.sparkSession)
+    sets = [scratch.keep(r.groupBy(*block, "_class").agg(F.first("tokens").alias("tokens"))) for r in (x, y)]
+    linked = similar_classes(sets[0], above, below, block, sets[1], scratch).select("_a", "_b").unionByName(sets[0].select(F.col("_class").alias("_a"), F.col("_class").alias("_b")))
     return linked.join(x.select(F.col("_class").alias("_a"), F.col("id").alias("new_id")), "_a").join(y.select(F.col("_class").alias("_b"), F.col("id").alias("old_id")), "_b").select("new_id", "old_id")
 
 
@@ -77,10 +127,13 @@ def similar_pairs(rows: DataFrame, above: int, below: int, block: list[str], car
     `token_classes` and `similar_classes` give the same links as classes and membership.
     """
     scratch = Scratch(rows.sparkSession)
-    kept = scratch.keep(token_classes(rows.select("id", *block, *carry, "tokens"), block))
-    sets = kept.groupBy(*block, "_class").agg(F.first("tokens").alias("tokens"))
-    between = similar_classes(sets, above, below, block)
-    within = kept.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"), F.first(F.size("tokens")).alias("_size")).where("_n > 1").select(F.col("_class").alias("_a"), F.col("_class").alias("_b"), F.col("_size").alias("shared"), F.col("_size").alias("total"))
+    whole = scratch.keep(token_classes(rows.select("id", *block, *carry, "tokens"), block))
+    sets = scratch.keep_bucketed(whole.select(*block, "_class", "tokens").dropDuplicates(["_class"]), "_class", shuffle_width(scratch.spark))
+    kept = scratch.keep(whole.select("id", *block, *carry, "_class", F.size("tokens").alias("_size")))
+    scratch.drop(whole)
+    between = similar_classes(sets, above, below, block, scratch=scratch)
+    scratch.drop(sets)
+    within = kept.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size")).where("_n > 1").select(F.col("_class").alias("_a"), F.col("_class").alias("_b"), F.col("_size").alias("shared"), F.col("_size").alias("total"))
     linked = between.unionByName(between.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "shared", "total")).unionByName(within)
     x = kept.select(*block, F.col("_class").alias("_a"), *[F.col(c).alias(f"a_{c}") for c in ("id", *carry)])
     y = kept.select(F.col("_class").alias("_b"), *[F.col(c).alias(f"b_{c}") for c in ("id", *carry)])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollex.api import Memory
 from recollex.operators import ingest, sessions as se
+from recollex.operators import similarity
 from recollex.operators.similarity import similar_pairs
 from recollex.sources import schema as sc, stores
 from recollex.sources.tables import table
@@ -203,6 +204,20 @@ def test_similar_pairs_equal_brute_force(spark):
         assert found == wanted
 
 
+def test_pairs_that_cannot_be_similar_are_cut_in_the_join_of_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = [f"t{x}" for x in range(200)]
+    rows = [(f"{i:03d}", "x", rng.sample(pool, rng.randrange(25, 35))) for i in range(150)]
+    rows += [(f"c{i:03d}", "x", [*tokens[:-6], "new"]) for i, (_, _, tokens) in enumerate(rows[:20])]
+    wanted = {(i, j) for i, _, s in rows for j, _, t in rows if i < j and len(set(s) & set(t)) * 2 >= len(set(s) | set(t))}
+    join, met = similarity._met, []
+    monkeypatch.setattr(similarity, "PART_TOKENS", 0)
+    monkeypatch.setattr(similarity, "_met", lambda *given: met.append(join(*given).count()) or join(*given))
+    found = similar_pairs(spark.createDataFrame(rows, "id string, b string, tokens array<string>"), 1, 2, ["b"])
+    assert {(r.a_id, r.b_id) for r in found.collect()} == wanted and len(wanted) >= 20
+    assert len(met) == similarity.PARTS and sum(met) < len(rows) ** 2 / 2 * 0.1  # nearly all of them share a token of their prefixes
+
+
 def throttle_by_hand(times, seconds):
     kept, last = [], None
     for t, i in sorted(times):
