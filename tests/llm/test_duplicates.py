@@ -7,7 +7,7 @@ import pytest
 from recollex.llm import chosen_paths
 from recollex.llm.chosen_paths import similar_sets, survival, trees_for
 from recollex.llm.components import hash_to_min
-from recollex.llm.near_duplicates import band_keys, banding, duplicate_classes, grouped_texts, near_duplicates
+from recollex.llm.near_duplicates import LOST, RECALL, band_keys, banding, duplicate_classes, grouped_texts, near_duplicates, whole_recall
 from recollex.llm.sets import between_ids, class_sets, clean_tags, memberships, spaced_tokens, words
 from recollex.sources.shared import Scratch
 
@@ -261,3 +261,9 @@ def test_pairs_at_the_threshold_are_next_to_never_lost(spark):
         shared = [f"s{t}x{i}" for i in range(14)]
         rows += [(f"{t}-{side}", " ".join(shared + [f"{side}{t}x{i}" for i in range(3)])) for side in "ab"]
     assert near_duplicates(spark.createDataFrame(rows, TEXTS), Scratch(spark)).count() == texts
+
+
+def test_a_larger_table_is_not_expected_to_lose_more_pairs():
+    for n in (1, 1000, 250_000, 8_000_000, 10**9):
+        rows, bands = banding(n, 0.7, whole_recall(n))
+        assert n * (1 - 0.7**rows) ** bands <= LOST * 1.001 and 1 - (1 - 0.7**rows) ** bands >= RECALL
